@@ -76,10 +76,13 @@ def _read_calls(body: str | None) -> dict:
     return {"syntax_ok": True, "calls": found}
 
 
-@F.pandas_udf(ANALYSIS)
-def analyse(body: pd.Series) -> pd.DataFrame:
+def analyse(body: Column | str) -> Column:
     """Whether the text is valid Python and the calls it makes, in syntax-tree order."""
-    return pd.DataFrame([_read_calls(b) for b in body], columns=["syntax_ok", "calls"])
+
+    def read(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_read_calls(b) for b in bodies], columns=["syntax_ok", "calls"])
+
+    return F.pandas_udf(read, ANALYSIS)(body)
 
 
 def requirements(rules: DataFrame, body: str = "rule_body") -> DataFrame:

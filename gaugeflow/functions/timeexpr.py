@@ -25,8 +25,8 @@ UNIT_US = {
 NUMBER = r"\d+(?:\.\d+)?"
 TERM = rf"({NUMBER})(us|ms|s|m|h|d|y)"
 WHOLE = rf"^(?:{NUMBER}(?:us|ms|s|m|h|d|y))+$"
-# Longest duration accepted: 999999999 days.
-MAX_US = 999_999_999 * UNIT_US["d"]
+# Longest duration a bigint of microseconds holds, in whole days.
+MAX_US = 106_751_991 * UNIT_US["d"]
 
 
 def _unit_factor(unit: Column) -> Column:
@@ -34,24 +34,26 @@ def _unit_factor(unit: Column) -> Column:
     return F.element_at(table, unit)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def duration_us(text: Column, strict: bool = True, allow_negative: bool = False) -> Column:
     """Length of a duration text; null where it does not parse."""
     trimmed = F.trim(text)
-    negative = trimmed.startswith("-")
     body = F.trim(F.regexp_replace(trimmed, r"^-", ""))
     terms = F.zip_with(
         F.regexp_extract_all(body, F.lit(TERM), F.lit(1)),
         F.regexp_extract_all(body, F.lit(TERM), F.lit(2)),
         lambda number, unit: F.rint(number.cast("double") * _unit_factor(unit)),
     )
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-    found = body.rlike(WHOLE) if strict else F.size(terms) > 0
-    value = (
-        F.when((body == "") | (body == "0"), F.lit(0).cast("bigint"))
-        .when(found & (total <= MAX_US), total.try_cast("bigint"))
+    total = F.when(body.isin("", "0"), F.lit(0.0)).when(
+        body.rlike(WHOLE if strict else TERM), F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
     )
-    signed = F.when(negative, -value).otherwise(value)
-    return signed if allow_negative else F.when(signed >= 0, signed)
+    size = _let(total, lambda t: F.when(t <= F.lit(float(MAX_US)), t.cast("bigint")))
+    sign = F.when(~trimmed.startswith("-"), F.lit(1)).otherwise(F.lit(-1 if allow_negative else None).cast("int"))
+    return size * sign
 
 
 def interval(text: Column, strict: bool = True, allow_negative: bool = False) -> Column:
@@ -59,16 +61,12 @@ def interval(text: Column, strict: bool = True, allow_negative: bool = False) ->
     trimmed = F.trim(text)
     is_interval = trimmed.contains(":")
     halves = F.split(trimmed, ":", 2)
-    start = duration_us(halves.getItem(0), strict, allow_negative)
+    head = F.get(halves, F.lit(0))
+    start = F.when(F.trim(head) != "", duration_us(head, strict, allow_negative))
     end = F.when(is_interval, duration_us(F.get(halves, F.lit(1)), strict, allow_negative))
-    valid = (
-        (trimmed != "")
-        & start.isNotNull()
-        & F.when(is_interval, (F.trim(halves.getItem(0)) != "") & end.isNotNull()).otherwise(True)
-    )
-    return F.when(
-        valid,
+    return _let(
         F.struct(start.alias("start_us"), end.alias("end_us"), is_interval.alias("is_interval")),
+        lambda t: F.when(t["start_us"].isNotNull() & (~t["is_interval"] | t["end_us"].isNotNull()), t),
     )
 
 
@@ -82,8 +80,10 @@ def is_point(parsed: Column) -> Column:
 
 def range_us(parsed: Column) -> Column:
     """Start minus end; zero for a point."""
-    start, end = parsed.getField("start_us"), parsed.getField("end_us")
-    return F.when(parsed.getField("is_interval"), start - end).when(parsed.isNotNull(), F.lit(0).cast("bigint"))
+    return _let(
+        parsed,
+        lambda t: F.when(t["is_interval"], t["start_us"] - t["end_us"]).when(t.isNotNull(), F.lit(0).cast("bigint")),
+    )
 
 
 def window_samples(length_us: Column, granularity_us: int) -> Column:
@@ -92,8 +92,7 @@ def window_samples(length_us: Column, granularity_us: int) -> Column:
     return F.when(samples > 0, samples)
 
 
-def duration_text(us: Column) -> Column:
-    """Canonical text: years, days, hours, minutes, seconds, ms, us without the zero parts."""
+def _text(us: Column) -> Column:
     size = F.abs(us)
 
     def part(unit: str, modulus: int | None) -> Column:
@@ -109,10 +108,17 @@ def duration_text(us: Column) -> Column:
     return F.when(us == 0, F.lit("0")).when(us.isNotNull(), F.concat(sign, parts))
 
 
+def duration_text(us: Column) -> Column:
+    """Canonical text: years, days, hours, minutes, seconds, ms, us without the zero parts."""
+    return _let(us, _text)
+
+
 def interval_text(parsed: Column) -> Column:
-    start = duration_text(parsed.getField("start_us"))
-    end = duration_text(parsed.getField("end_us"))
-    return F.when(parsed.getField("is_interval"), F.concat(start, F.lit(":"), end)).otherwise(start)
+    def write(t: Column) -> Column:
+        start = duration_text(t["start_us"])
+        return F.when(t["is_interval"], F.concat(start, F.lit(":"), duration_text(t["end_us"]))).otherwise(start)
+
+    return _let(parsed, write)
 
 
 @dataclass(frozen=True, order=True)
@@ -153,6 +159,8 @@ class Duration:
         if not terms or (strict and not re.match(WHOLE, body)):
             raise ValueError(f"not a duration: {text!r}")
         total = sign * sum(round(float(number) * UNIT_US[unit]) for number, unit in terms)
+        if abs(total) > MAX_US:
+            raise ValueError(f"duration too long: {text!r}")
         if total < 0 and not allow_negative:
             raise ValueError(f"negative duration: {text!r}")
         return cls(total)

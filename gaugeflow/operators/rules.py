@@ -261,68 +261,50 @@ def check_rows(
     """Events of rules held as rows: the plan does not grow with the number of rules.
 
     Only the distinct (sensor, expression, statistic) come to the driver, and not more than
-    ``series_bound`` of them; they name the window columns. A rule is split by sensor. Its part on
-    a sensor is looked up by the first of its conditions and then tested as a whole on the
-    sensor's row, so a rule on one sensor never shuffles, and a mixed rule shuffles only the
-    parts that hold.
+    ``series_bound`` of them; they name the window columns. A rule is looked up by the first of
+    its conditions and tested as a whole on the row at hand, so only events leave the join. Rules
+    on one sensor are tested on that sensor's row; rules on several need the features of a moment
+    side by side first.
     """
     wanted = rule_rows.select("sensor_id", "time_expression", "statistic").distinct().limit(series_bound + 1).collect()
     if len(wanted) > series_bound:
         raise ValueError(f"more than {series_bound} distinct features; split the rules into several runs")
     reqs = [Requirement(*row) for row in wanted]
     sensors = sorted({r.sensor_id for r in reqs})
-    series = sorted({r.series for r in reqs})
     rows = rd.aligned(readings, sensors) if align else readings.where(F.col("sensor_id").isin(sensors))
     features = windows.features(rows, reqs, config)
 
-    condition = F.struct(
-        F.concat("time_expression", F.coalesce(F.concat(F.lit("@"), "statistic"), F.lit(""))).alias("series"), "op", "threshold"
+    series = F.concat("time_expression", F.coalesce(F.concat(F.lit("@"), "statistic"), F.lit("")))
+    condition = F.struct(series.alias("series"), F.concat("sensor_id", F.lit("|"), series).alias("name"), "op", "threshold")
+    conditions = rule_rows.groupBy("rule_id").agg(
+        F.max("rule_name").alias("rule_name"),
+        F.max("result").alias("result"),
+        F.count_distinct("sensor_id").alias("sensors"),
+        F.array_sort(F.collect_list(condition)).alias("conditions"),
     )
-    whole = rule_rows.groupBy("rule_id").agg(
-        F.count_distinct("sensor_id").alias("parts"), F.max("rule_name").alias("rule_name"), F.max("result").alias("result")
-    )
-    parts = (
-        rule_rows.groupBy("rule_id", "sensor_id")
-        .agg(F.array_sort(F.collect_list(condition)).alias("conditions"))
-        .join(whole, "rule_id")
-        .select(
-            "rule_id", "sensor_id", "parts", "rule_name", "result",
-            F.col("conditions")[0].alias("first"), F.slice("conditions", 2, F.size("conditions")).alias("rest"),
-        )
-        .withColumn("series", F.col("first.series"))
-    )
-    values = F.map_from_arrays(F.array(*[F.lit(s) for s in series]), F.array(*[F.col(f"`{s}`") for s in series]))
-    pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"`{s}`").alias("feature")) for s in series])
-    stacked = features.select(
-        *MOMENT, "sensor_id", values.alias("values"), F.inline(F.filter(pairs, lambda p: truthy(p["feature"], guard)))
-    )
-    met = (
-        stacked.join(layout.small(parts), ["sensor_id", "series"])
+    if conditions.where("sensors > 1").limit(1).count():
+        table = assemble(features, reqs)
+        cells = [(F.lit(r.name), F.col(f"`{r.name}`")) for r in reqs]
+    else:
+        table = features
+        cells = [(F.concat("sensor_id", F.lit("|" + s)), F.col(f"`{s}`")) for s in sorted({r.series for r in reqs})]
+    values = F.map_from_arrays(F.array(*[name for name, _ in cells]), F.array(*[value for _, value in cells]))
+    pairs = F.array(*[F.struct(name.alias("name"), value.alias("feature")) for name, value in cells])
+    seen = table.select(*MOMENT, values.alias("values"), F.inline(F.filter(pairs, lambda p: truthy(p["feature"], guard))))
+    lookup = conditions.select(
+        "rule_name", "result", F.col("conditions")[0].alias("first"), F.slice("conditions", 2, F.size("conditions")).alias("rest")
+    ).withColumn("name", F.col("first.name"))
+    fired = (
+        seen.join(layout.small(lookup), "name")
         .where(_compare(F.col("first.op"), F.col("feature"), F.col("first.threshold")))
         .where(
             F.forall(
                 "rest",
-                lambda c: truthy(F.col("values")[c["series"]], guard)
-                & _compare(c["op"], F.col("values")[c["series"]], c["threshold"]),
+                lambda c: truthy(F.col("values")[c["name"]], guard) & _compare(c["op"], F.col("values")[c["name"]], c["threshold"]),
             )
         )
-        .select(*MOMENT, "rule_id", "parts", "rule_name", "result")
-    )
-    alone = met.where("parts = 1").select(*MOMENT, "rule_name", "result")
-    mixed = (
-        met.where("parts > 1")
-        .groupBy(*MOMENT, "rule_id")
-        .agg(
-            F.count(F.lit(1)).alias("held"),
-            F.max("parts").alias("parts"),
-            F.max("rule_name").alias("rule_name"),
-            F.max("result").alias("result"),
-        )
-        .where("held = parts")
-        .select(*MOMENT, "rule_name", "result")
+        .select(*MOMENT, "rule_name", "result", F.lit("").alias("rule_description"))
     )
-    is_mixed = bool(whole.where("parts > 1").limit(1).count())
-    fired = (alone.unionByName(mixed) if is_mixed else alone).withColumn("rule_description", F.lit(""))
     return events(fired, readings if snapshot else None)
 
 
