@@ -28,10 +28,10 @@ def parse_answers(answers: DataFrame, answer: str = "answer", keys: tuple[str, .
     inner = F.regexp_extract(text, FENCE, 1)
     body = F.when(text.contains("```") & (inner != ""), inner).otherwise(text)
     parsed = F.from_json(
-        body, f"{ANSWER}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        F.col("body"), f"{ANSWER}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
     broken = F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull() | (F.trim(F.col("body")) == "")
-    rows = answers.select(*keys, body.alias("body")).select(*keys, "body", parsed.alias("parsed"))
+    rows = answers.select(*keys, body.alias("body")).withColumn("parsed", parsed)
     rows = rows.select(
         *keys,
         F.when(broken, F.lit("json")).alias("error"),
@@ -106,8 +106,10 @@ def resolve_times(rules: DataFrame, mappings: DataFrame) -> DataFrame:
     )
     # A common description may be a third of all calls: the dictionary is broadcast when it is
     # small, and otherwise adaptive execution splits the description.
-    known = found.join(layout.small(mappings), "time_description", "left")
-    parsed = timeexpr.interval(F.col("time_expression"))
+    known = found.join(layout.small(mappings), "time_description", "left").withColumn(
+        "parsed", timeexpr.interval(F.col("time_expression"))
+    )
+    parsed = F.col("parsed")
     statistic = F.nullif(F.col("time_statistic"), F.lit(""))
     new_call = F.when(
         parsed["is_interval"],
@@ -152,7 +154,7 @@ def verify(rules: DataFrame, sensors: DataFrame, statistics: tuple[str, ...] = V
     calls = read.where("read.syntax_ok").select("rule_id", *scope, F.posexplode("read.calls").alias("call_idx", "call"))
     calls = calls.select("rule_id", *scope, "call_idx", "call.*")
     known = layout.small(sensors.select(*scope, "sensor_id").distinct().withColumn("known", F.lit(True)))
-    parsed = timeexpr.interval(F.col("time_expression"))
+    parsed = F.col("parsed")
     given = F.coalesce(F.col("statistic"), F.lit("")) != ""
     status = (
         F.when(F.col("known").isNull(), F.lit("invalid_sensor"))
@@ -162,6 +164,7 @@ def verify(rules: DataFrame, sensors: DataFrame, statistics: tuple[str, ...] = V
     )
     faults = (
         calls.join(known, [*scope, "sensor_id"], "left")
+        .withColumn("parsed", timeexpr.interval(F.col("time_expression")))
         .select("rule_id", "call_idx", status.alias("fault"))
         .groupBy("rule_id")
         .agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("call_idx", "fault")))["fault"].alias("fault"))

@@ -27,10 +27,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, folder: str, statement: str, *tables: str) -> DataFrame:
-    """Rows of a SELECT over the named tables, which it mentions as {name}."""
+    """Rows of a SELECT over the named tables, which it mentions as {name}; other braces are doubled."""
     return spark.sql(statement, **{name: table(spark, folder, name) for name in tables})
 
 
+class _Names(dict):
+    def __missing__(self, name: str) -> str:
+        return name
+
+
 def plain(statement: str) -> str:
     """The same SELECT for an engine that knows the tables by name."""
-    return statement.replace("{", "").replace("}", "")
+    return statement.format_map(_Names())
