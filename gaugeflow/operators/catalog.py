@@ -270,20 +270,20 @@ def job_progress(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     return joined.withColumns({"status": status, "progress_percentage": progress}).drop("running")
 
 
-def latest_status(changes: DataFrame, key: str) -> DataFrame:
+def latest_status(changes: DataFrame, key: str, at: str = "at") -> DataFrame:
     """State of each key from its log of changes (status, at, error?, result?).
 
     The last change wins; it started at its first running change and ended at its last final one.
     """
     final = F.col("status").isin("completed", "failed")
     columns = [
-        F.max_by("status", "at").alias("status"),
-        F.min(F.when(F.col("status") == "running", F.col("at"))).alias("started_at"),
-        F.max(F.when(final, F.col("at"))).alias("completed_at"),
+        F.max_by("status", at).alias("status"),
+        F.min(F.when(F.col("status") == "running", F.col(at))).alias("started_at"),
+        F.max(F.when(final, F.col(at))).alias("completed_at"),
     ]
     for kept in ("error", "result"):
         if kept in changes.columns:
-            columns.append(F.max(F.when(F.col(kept).isNotNull(), F.struct("at", kept)))[kept].alias(kept))
+            columns.append(F.max(F.when(F.col(kept).isNotNull(), F.struct(at, kept)))[kept].alias(kept))
     return changes.groupBy(key).agg(*columns)
 
 

@@ -54,7 +54,7 @@ def status_table(
     return assemble(windows.features(rows, requirements, config), requirements)
 
 
-def _fired(table: DataFrame, compiled: list[tuple[Rule, Column]]) -> DataFrame:
+def fired(table: DataFrame, compiled: list[tuple[Rule, Column]]) -> DataFrame:
     """Rules whose predicate is true, one row each; a null predicate is no event."""
     parts = []
     for start in range(0, len(compiled), RULES_PER_PROJECTION):
@@ -105,17 +105,16 @@ def check(
             mixed.append((rule, predicate))
             mixed_needs.update(dict.fromkeys(reqs))
     if alone:
-        parts.append(_fired(features, [(rule, (F.col("sensor_id") == s) & rule.when(_RowStatus())) for s, group in alone.items() for rule, _ in group]))
+        parts.append(fired(features, [(rule, (F.col("sensor_id") == s) & rule.when(_RowStatus())) for s, group in alone.items() for rule, _ in group]))
     for rule in functions:
         mixed_needs.update(dict.fromkeys(rule.requirements))
     if mixed or functions:
         table = assemble(features, list(mixed_needs))
         if mixed:
-            parts.append(_fired(table, mixed))
+            parts.append(fired(table, mixed))
         if functions:
             parts.append(_called(table, functions, config).where("error is null").drop("error"))
-    fired = reduce(DataFrame.unionByName, parts)
-    return events(fired, readings if snapshot else None)
+    return events(reduce(DataFrame.unionByName, parts), readings if snapshot else None)
 
 
 class _RowStatus(Status):

@@ -372,33 +372,33 @@ def issue_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 # Changes of a job, one per order line of a supplier; the time is the shipping date and the line id breaks ties.
 CHANGES = f"""SELECT l_suppkey AS job_id, CASE l_linenumber % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' ELSE 'failed' END AS status,
-  o_orderdate AS at, {LINE_ID} AS line, CASE WHEN l_linenumber % 4 = 3 THEN 'error ' || l_partkey END AS error
+  o_orderdate AS changed, {LINE_ID} AS line, CASE WHEN l_linenumber % 4 = 3 THEN 'error ' || l_partkey END AS error
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"""
 
 
 @query(
     "c20_latest_status",
-    f"""WITH changes AS ({plain(CHANGES)}) SELECT job_id, max(at) AS last_change, min(at) FILTER (status = 'running') AS started_at,
-    max(at) FILTER (status IN ('completed', 'failed')) AS completed_at, arg_max(status, line) AS status, arg_max(error, line) FILTER (error IS NOT NULL) AS error
+    f"""WITH changes AS ({plain(CHANGES)}) SELECT job_id, max(changed) AS last_change, min(changed) FILTER (status = 'running') AS started_at,
+    max(changed) FILTER (status IN ('completed', 'failed')) AS completed_at, arg_max(status, line) AS status, arg_max(error, line) FILTER (error IS NOT NULL) AS error
     FROM changes GROUP BY job_id""",
 )
 def latest_status(spark: SparkSession, folder: str) -> DataFrame:
     changes = derived(spark, folder, CHANGES, "lineitem", "orders")
-    by_time = ct.latest_status(changes, "job_id").select("job_id", "started_at", "completed_at")
-    by_line = ct.latest_status(changes.withColumn("at", F.col("line")), "job_id").select("job_id", "status", "error")
-    last = changes.groupBy("job_id").agg(F.max("at").alias("last_change"))
+    by_time = ct.latest_status(changes, "job_id", "changed").select("job_id", "started_at", "completed_at")
+    by_line = ct.latest_status(changes, "job_id", "line").select("job_id", "status", "error")
+    last = changes.groupBy("job_id").agg(F.max("changed").alias("last_change"))
     return by_time.join(by_line, "job_id").join(last, "job_id")
 
 
 @query(
     "c19_durations",
-    f"""WITH changes AS ({plain(CHANGES)}), jobs AS (SELECT job_id, min(at) FILTER (status = 'running') AS started_at,
-    max(at) FILTER (status IN ('completed', 'failed')) AS completed_at FROM changes GROUP BY job_id)
+    f"""WITH changes AS ({plain(CHANGES)}), jobs AS (SELECT job_id, min(changed) FILTER (status = 'running') AS started_at,
+    max(changed) FILTER (status IN ('completed', 'failed')) AS completed_at FROM changes GROUP BY job_id)
     SELECT job_id, (epoch_us(completed_at) - epoch_us(started_at)) / 1000000.0 AS duration_seconds FROM jobs""",
 )
 def durations(spark: SparkSession, folder: str) -> DataFrame:
     changes = derived(spark, folder, CHANGES, "lineitem", "orders")
-    return ct.durations(ct.latest_status(changes, "job_id")).select("job_id", "duration_seconds")
+    return ct.durations(ct.latest_status(changes, "job_id", "changed")).select("job_id", "duration_seconds")
 
 
 INCOMING = f"""SELECT {LINE_ID} AS task_id, l_suppkey AS collection_id, l_orderkey AS document_id, {LINE_ID} AS chunk_id, 'rule_' || l_partkey AS rule_name,
