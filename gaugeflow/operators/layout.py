@@ -2,15 +2,17 @@
 
 Windows partition by key, so a key that holds a third of all rows would be one task. Keys above
 a row bound are cut into ranges of equal row count instead, by Spark's range partitioner over
-(key, order). The ranges are checkpointed once, so their numbers stay fixed if executors are
-lost, and per-range counts give every row its position within the key.
+(key, order). The ranges are written once to the shared folder, so their numbers stay fixed if
+executors are lost, and per-range counts give every row its position within the key.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
+from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,9 +35,11 @@ def reliable_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    reliable_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder: later reads are columnar and never recompute it."""
+    path = f"{reliable_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -43,35 +47,50 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+@dataclass(frozen=True)
+class Division:
+    """Rows whose key fits one task, rows whose key does not, and how many the latter are."""
+
+    fits: DataFrame | None
+    hot: DataFrame | None
+    hot_rows: int = 0
+
+
 def divide(
-    df: DataFrame, keys: list[str], layout: str, max_rows: int
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of keys that fit one task, rows of keys that do not); None where there are none."""
+    df: DataFrame, keys: list[str], layout: str, max_rows: int, sized: DataFrame | None = None, times: int = 1
+) -> Division:
+    """Split ``df`` by whether its key has more than ``max_rows`` rows.
+
+    The count reads nothing but the keys. Where ``df`` is costly, ``sized`` is a cheaper table
+    with as many rows per key, of which ``df`` has ``times`` as many.
+    """
     if layout == "plain":
-        return df, None
+        return Division(df, None)
     if layout == "split":
-        return None, df
-    hot = df.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys).persist()
-    found = hot.limit(BROADCAST_ROWS + 1).count()
-    if found == 0:
+        return Division(None, df, df.count())
+    sizes = (df if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > max_rows).persist()
+    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("_rows").alias("rows")).first()
+    if found["keys"] == 0:
         hot.unpersist()
-        return df, None
-    hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+        return Division(df, None)
+    names = hot.select(*keys)
+    names = F.broadcast(names) if found["keys"] <= BROADCAST_ROWS else names
+    return Division(df.join(names, keys, "left_anti"), df.join(names, keys, "left_semi"), found["rows"] * times)
 
 
-def ranges(df: DataFrame, keys: list[str], order: list[str], rows_per_range: int) -> DataFrame:
+def ranges(df: DataFrame, keys: list[str], order: list[str], rows: int, rows_per_range: int) -> DataFrame:
     """Rows with ``_range``: ascending numbers of ranges of (keys, order), similar in row count."""
-    parts = max(2, math.ceil(df.count() / rows_per_range))
+    parts = max(2, math.ceil(rows / rows_per_range))
     cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
-    return checkpointed(cut)
+    return stored(cut, "ranges")
 
 
 def positions(
-    df: DataFrame, keys: list[str], order: list[str], counted: Column, name: str, rows_per_range: int
+    df: DataFrame, keys: list[str], order: list[str], counted: Column, name: str, rows: int, rows_per_range: int
 ) -> DataFrame:
     """``name`` = how many non-null ``counted`` the key has up to this row, without one task per key."""
-    cut = ranges(df, keys, order, rows_per_range)
+    cut = ranges(df, keys, order, rows, rows_per_range)
     per_range = cut.groupBy(*keys, "_range").agg(F.count(counted).alias("_inside"))
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -96,11 +115,11 @@ def running_count(
 ) -> DataFrame:
     """Position of each row within its key, for keys of any size."""
     counted = F.lit(1) if counted is None else counted
-    fits, hot = divide(df, keys, layout, max_rows)
+    split = divide(df, keys, layout, max_rows)
     parts = []
-    if fits is not None:
+    if split.fits is not None:
         upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        parts.append(fits.withColumn(name, F.count(counted).over(upto)))
-    if hot is not None:
-        parts.append(positions(hot, keys, order, counted, name, max(1, max_rows // 4)))
+        parts.append(split.fits.withColumn(name, F.count(counted).over(upto)))
+    if split.hot is not None:
+        parts.append(positions(split.hot, keys, order, counted, name, split.hot_rows, max(1, max_rows // 4)))
     return reduce(DataFrame.unionByName, parts)

@@ -55,10 +55,15 @@ def schema_errors(name: Column, body: Column) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]), lambda e: e.isNotNull())
 
 
-def check_schema(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) rules; rejected ones carry ``errors``."""
+def check_schema(rules: DataFrame, per: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) rules; rejected ones carry ``errors``.
+
+    With ``per``, one bad rule takes all rules of the same answer with it, as when an answer is
+    only accepted whole: ``per=("task_id",)``. Those rules are then in neither table.
+    """
     checked = rules.withColumn("errors", schema_errors(F.col("rule_name"), F.col("rule_body")))
-    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+    valid, rejected = checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+    return valid.join(rejected.select(*per), list(per), "left_anti") if per else valid, rejected
 
 
 def resolve_sensors(rules: DataFrame, mappings: DataFrame, sensors: DataFrame | None = None) -> DataFrame:

@@ -49,9 +49,15 @@ def status_table(
     readings: DataFrame, requirements: Sequence[Requirement], config: CheckerConfig = CheckerConfig(), align: bool = True
 ) -> DataFrame:
     """Every requirement of every moment, side by side."""
+    return assemble(_features(readings, requirements, config, align), requirements)
+
+
+def _features(readings: DataFrame, requirements: Sequence[Requirement], config: CheckerConfig, align: bool) -> DataFrame:
+    """Features of the sensors the requirements name, with a row per sensor and moment if aligned."""
     sensors = sorted({r.sensor_id for r in requirements})
-    rows = rd.aligned(readings, sensors) if align else readings.where(F.col("sensor_id").isin(sensors))
-    return assemble(windows.features(rows, requirements, config), requirements)
+    if not align:
+        return windows.features(readings.where(F.col("sensor_id").isin(sensors)), requirements, config)
+    return windows.features(rd.aligned(readings, sensors), requirements, config, (readings, len(sensors)))
 
 
 def fired(table: DataFrame, compiled: list[tuple[Rule, Column]]) -> DataFrame:
@@ -88,9 +94,7 @@ def check(
     needed = list(
         dict.fromkeys([r for _, _, reqs in plain for r in reqs] + [r for rule in functions for r in rule.requirements])
     )
-    sensors = sorted({r.sensor_id for r in needed})
-    rows = rd.aligned(readings, sensors) if align else readings.where(F.col("sensor_id").isin(sensors))
-    features = windows.features(rows, needed, config)
+    features = _features(readings, needed, config, align)
 
     parts = []
     # A rule on one sensor is decided on that sensor's rows; only mixed rules pay the second shuffle.
@@ -269,9 +273,7 @@ def check_rows(
     if len(wanted) > series_bound:
         raise ValueError(f"more than {series_bound} distinct features; split the rules into several runs")
     reqs = [Requirement(*row) for row in wanted]
-    sensors = sorted({r.sensor_id for r in reqs})
-    rows = rd.aligned(readings, sensors) if align else readings.where(F.col("sensor_id").isin(sensors))
-    features = windows.features(rows, reqs, config)
+    features = _features(readings, reqs, config, align)
 
     series = F.concat("time_expression", F.coalesce(F.concat(F.lit("@"), "statistic"), F.lit("")))
     condition = F.struct(series.alias("series"), F.concat("sensor_id", F.lit("|"), series).alias("name"), "op", "threshold")

@@ -108,26 +108,35 @@ def series_of(requirements: Iterable[Requirement], config: CheckerConfig) -> lis
     return list({req.series: resolve(req, config) for req in requirements}.values())
 
 
-def features(readings: DataFrame, requirements: Iterable[Requirement], config: CheckerConfig = CheckerConfig()) -> DataFrame:
+def features(
+    readings: DataFrame,
+    requirements: Iterable[Requirement],
+    config: CheckerConfig = CheckerConfig(),
+    filled_from: tuple[DataFrame, int] | None = None,
+) -> DataFrame:
     """Readings plus one column per distinct (time expression, statistic).
 
     ``readings`` is canonical: asset, sensor_id, ts, ts_us, seq, value, with (asset, sensor_id,
-    ts_us, seq) unique.
+    ts_us, seq) unique. If they were filled up to a row per sensor and moment, ``filled_from`` is
+    the table they came from and the number of sensors: row counts are then taken there.
     """
     series = series_of(requirements, config)
-    fits, hot = layout.divide(readings, KEYS, config.layout, config.max_task_rows)
+    if filled_from is None:
+        split = layout.divide(readings, KEYS, config.layout, config.max_task_rows)
+    else:
+        split = layout.divide(readings, ["asset"], config.layout, config.max_task_rows, *filled_from)
     parts = []
     if config.mode == "time":
-        if fits is not None:
-            parts.append(_time_frames(fits, KEYS, series, config))
-        if hot is not None:
-            parts.append(_time_split(hot, series, config))
+        if split.fits is not None:
+            parts.append(_time_frames(split.fits, KEYS, series, config))
+        if split.hot is not None:
+            parts.append(_time_split(split.hot, series, config))
     else:
-        if fits is not None:
+        if split.fits is not None:
             upto = W.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-            parts.append(_sample_frames(fits.withColumn("n", F.count("value").over(upto)), KEYS, series, config))
-        if hot is not None:
-            parts.append(_sample_split(hot, series, config))
+            parts.append(_sample_frames(split.fits.withColumn("n", F.count("value").over(upto)), KEYS, series, config))
+        if split.hot is not None:
+            parts.append(_sample_split(split.hot, split.hot_rows, series, config))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -270,11 +279,11 @@ def _ranked_windows(df: DataFrame, keys: list[str], series: list[Series], config
     return ranked.withColumns({s.name: F.nanvl(f"`{s.name}`", F.lit(None)) for s in series})
 
 
-def _sample_split(df: DataFrame, series: list[Series], config: CheckerConfig) -> DataFrame:
+def _sample_split(df: DataFrame, rows: int, series: list[Series], config: CheckerConfig) -> DataFrame:
     """Sensors too long for one task: equal ranges of n, each with the history before it."""
     reach = max([s.start for s in series] + [1]) + 1
     size = max(config.max_task_rows // 4, 4 * reach)
-    numbered = layout.positions(df, KEYS, ORDER, F.col("value"), "n", max(1, config.max_task_rows // 4))
+    numbered = layout.positions(df, KEYS, ORDER, F.col("value"), "n", rows, max(1, config.max_task_rows // 4))
     home = F.floor((F.col("n") - 1) / F.lit(size))
     copies = F.when(F.col("n") > (home + 1) * size - reach, F.array(home, home + 1)).otherwise(F.array(home))
     samples = numbered.where("value is not null").withColumn("_bucket", F.explode(copies))

@@ -23,7 +23,10 @@ def mime_type(filename: Column) -> Column:
 
 
 def ingest_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """filename, file_path, content_hash, file_size, mime_type, sync_status of every file."""
+    """filename, file_path, content_hash, file_size, mime_type, sync_status of every file.
+
+    Files of no bytes are passed over by the scan; they would have no chunks.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(

@@ -61,7 +61,7 @@ def handler(
         else:
             history = waiting = spark.createDataFrame([], READING)
         columns = history.columns
-        rows = batch.withColumn("ts", F.timestamp_micros("ts_us")).select(*columns)
+        rows = batch.withColumn("ts", F.timestamp_micros("ts_us")).select(*columns).persist()
         in_time = F.lit(True) if frontier is None else F.col("ts_us") > frontier
         seen = rows.agg(F.max("ts_us").alias("last"), F.count_if(~in_time).alias("late")).first()
         late += seen["late"]
@@ -86,6 +86,7 @@ def handler(
         kept.write.mode("overwrite").parquet(f"{after}/history")
         fresh.where(~done).write.mode("overwrite").parquet(f"{after}/waiting")
         # Progress comes last: a slot without it is not taken for a finished batch.
+        rows.unpersist()
         spark.createDataFrame([(number, now, late)], PROGRESS).coalesce(1).write.mode("overwrite").json(f"{after}/progress")
 
     return process
