@@ -155,31 +155,33 @@ def verify(rules: DataFrame, sensors: DataFrame, statistics: tuple[str, ...] = V
     none for a point. Sensors are looked up in their collection when both tables name one.
     """
     scope = ["collection_id"] if {"collection_id"} <= set(rules.columns) & set(sensors.columns) else []
+    # Every text is parsed once: a rule is its calls, or one row if it has none.
     read = rules.select("rule_id", *scope, rulecalls.analyse("rule_body").alias("read"))
-    calls = read.where("read.syntax_ok").select("rule_id", *scope, F.posexplode("read.calls").alias("call_idx", "call"))
-    calls = calls.select("rule_id", *scope, "call_idx", "call.*")
+    calls = read.select(
+        "rule_id", *scope, F.col("read.syntax_ok").alias("syntax_ok"), F.posexplode_outer("read.calls").alias("call_idx", "call")
+    ).select("rule_id", *scope, "syntax_ok", "call_idx", "call.*")
     known = layout.small(sensors.select(*scope, "sensor_id").distinct().withColumn("known", F.lit(True)))
     parsed = F.col("parsed")
     given = F.coalesce(F.col("statistic"), F.lit("")) != ""
-    status = (
-        F.when(F.col("known").isNull(), F.lit("invalid_sensor"))
+    fault = (
+        F.when(F.col("call_idx").isNull(), F.lit(None))
+        .when(F.col("known").isNull(), F.lit("invalid_sensor"))
         .when(parsed.isNull(), F.lit("invalid_time"))
         .when(parsed["is_interval"] & (~given | ~F.col("statistic").isin(list(statistics))), F.lit("invalid_statistic"))
         .when(~parsed["is_interval"] & given, F.lit("invalid_statistic"))
     )
-    faults = (
+    verdict = (
         calls.join(known, [*scope, "sensor_id"], "left")
         .withColumn("parsed", timeexpr.interval(F.col("time_expression")))
-        .select("rule_id", "call_idx", status.alias("fault"))
+        .withColumn("fault", fault)
         .groupBy("rule_id")
-        .agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("call_idx", "fault")))["fault"].alias("fault"))
-    )
-    return (
-        rules.join(read.select("rule_id", F.col("read.syntax_ok").alias("syntax_ok")), "rule_id")
-        .join(faults, "rule_id", "left")
-        .withColumn(
-            "verification_status",
-            F.when(~F.col("syntax_ok"), F.lit("syntax_error")).otherwise(F.coalesce(F.col("fault"), F.lit("ok"))),
+        .agg(
+            F.min(F.when(F.col("fault").isNotNull(), F.struct("call_idx", "fault")))["fault"].alias("fault"),
+            F.bool_and("syntax_ok").alias("syntax_ok"),
+        )
+        .select(
+            "rule_id",
+            F.when(~F.col("syntax_ok"), F.lit("syntax_error")).otherwise(F.coalesce("fault", F.lit("ok"))).alias("verification_status"),
         )
-        .drop("syntax_ok", "fault")
     )
+    return rules.drop("verification_status").join(verdict, "rule_id")

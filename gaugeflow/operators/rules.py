@@ -235,21 +235,24 @@ def function_errors(table: DataFrame, rules: Sequence[RuleFunction], config: Che
 # Rules held as rows: rule_id, rule_name, sensor_id, time_expression, statistic, op, threshold, result.
 # The rows of one rule_id must all hold.
 
-COMPARE = {
-    ">": lambda a, b: a > b,
-    ">=": lambda a, b: a >= b,
-    "<": lambda a, b: a < b,
-    "<=": lambda a, b: a <= b,
-    "==": lambda a, b: a == b,
-    "!=": lambda a, b: a != b,
-}
-
-
-def _compare(op: Column, value: Column, threshold: Column) -> Column:
-    holds = F.lit(False)
-    for name, compare in COMPARE.items():
-        holds = F.when(op == name, compare(value, threshold)).otherwise(holds)
-    return holds
+# Numbers of the comparisons, so that a test per (row, rule) compares integers, not texts.
+OPS = {">": 1, ">=": 2, "<": 3, "<=": 4, "==": 5, "!=": 6}
+# Conditions of a rule held in columns; a longer rule keeps the others in an array.
+CONDITION_COLUMNS = 4
+# Rules from which their tests cost more than spreading the rows evenly over all cores first.
+MANY_RULES = 1_000
+
+
+def _holds(op: Column, value: Column, threshold: Column, guard: str) -> Column:
+    test = (
+        F.when(op == 1, value > threshold)
+        .when(op == 2, value >= threshold)
+        .when(op == 3, value < threshold)
+        .when(op == 4, value <= threshold)
+        .when(op == 5, value == threshold)
+        .when(op == 6, value != threshold)
+    )
+    return F.coalesce(truthy(value, guard) & test, F.lit(False))
 
 
 def check_rows(
@@ -276,37 +279,52 @@ def check_rows(
     features = _features(readings, reqs, config, align)
 
     series = F.concat("time_expression", F.coalesce(F.concat(F.lit("@"), "statistic"), F.lit("")))
-    condition = F.struct(series.alias("series"), F.concat("sensor_id", F.lit("|"), series).alias("name"), "op", "threshold")
+    number = F.try_element_at(F.create_map(*[F.lit(v) for pair in OPS.items() for v in pair]), F.col("op"))
+    condition = F.struct(
+        series.alias("series"), F.concat("sensor_id", F.lit("|"), series).alias("name"), number.alias("op"), "threshold"
+    )
     conditions = rule_rows.groupBy("rule_id").agg(
         F.max("rule_name").alias("rule_name"),
         F.max("result").alias("result"),
         F.count_distinct("sensor_id").alias("sensors"),
         F.array_sort(F.collect_list(condition)).alias("conditions"),
     )
-    if conditions.where("sensors > 1").limit(1).count():
+    known = conditions.agg(
+        F.count(F.lit(1)).alias("rules"), F.max("sensors").alias("sensors"), F.max(F.size("conditions")).alias("longest")
+    ).first()
+    if (known["sensors"] or 0) > 1:
         table = assemble(features, reqs)
         cells = [(F.lit(r.name), F.col(f"`{r.name}`")) for r in reqs]
     else:
         table = features
         cells = [(F.concat("sensor_id", F.lit("|" + s)), F.col(f"`{s}`")) for s in sorted({r.series for r in reqs})]
+    if known["rules"] > MANY_RULES:
+        spark = readings.sparkSession
+        width = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        table = table.repartition(width)
     values = F.map_from_arrays(F.array(*[name for name, _ in cells]), F.array(*[value for _, value in cells]))
     pairs = F.array(*[F.struct(name.alias("name"), value.alias("feature")) for name, value in cells])
     seen = table.select(*MOMENT, values.alias("values"), F.inline(F.filter(pairs, lambda p: truthy(p["feature"], guard))))
+
+    held = min(CONDITION_COLUMNS, known["longest"] or 1)
     lookup = conditions.select(
-        "rule_name", "result", F.col("conditions")[0].alias("first"), F.slice("conditions", 2, F.size("conditions")).alias("rest")
-    ).withColumn("name", F.col("first.name"))
-    fired = (
-        seen.join(layout.small(lookup), "name")
-        .where(_compare(F.col("first.op"), F.col("feature"), F.col("first.threshold")))
-        .where(
-            F.forall(
-                "rest",
-                lambda c: truthy(F.col("values")[c["name"]], guard) & _compare(c["op"], F.col("values")[c["name"]], c["threshold"]),
-            )
-        )
-        .select(*MOMENT, "rule_name", "result", F.lit("").alias("rule_description"))
+        "rule_name",
+        "result",
+        F.col("conditions")[0]["name"].alias("name"),
+        *[F.get("conditions", F.lit(i)).alias(f"c{i}") for i in range(held)],
+        F.slice("conditions", held + 1, F.greatest(F.size("conditions") - held, F.lit(0))).alias("rest"),
     )
-    return events(fired, readings if snapshot else None)
+    found = seen.join(F.broadcast(lookup) if known["rules"] <= layout.BROADCAST_ROWS else lookup, "name")
+    found = found.where(_holds(F.col("c0.op"), F.col("feature"), F.col("c0.threshold"), guard))
+    for i in range(1, held):
+        c = F.col(f"c{i}")
+        found = found.where(c.isNull() | _holds(c["op"], F.col("values")[c["name"]], c["threshold"], guard))
+    if (known["longest"] or 0) > held:
+        found = found.where(
+            F.forall("rest", lambda c: _holds(c["op"], F.col("values")[c["name"]], c["threshold"], guard))
+        )
+    hits = found.select(*MOMENT, "rule_name", "result", F.lit("").alias("rule_description"))
+    return events(hits, readings if snapshot else None)
 
 
 def from_rule_table(loaded: DataFrame, registry: dict[str, RuleFunction], bound: int = 1_000) -> list[RuleFunction]:
