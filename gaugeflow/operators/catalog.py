@@ -6,11 +6,12 @@ are ordered newest first with the id as tie-break.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.model import LIFECYCLE_STATUSES, SENSOR_STATUSES, TIME_STATUSES, VERIFICATION_STATUSES
-from gaugeflow.operators import layout
 
 PAGE = 100
 PAGE_MAX = 1000
@@ -294,11 +295,9 @@ def durations(jobs: DataFrame) -> DataFrame:
 
 
 def finalize_job(jobs: DataFrame, job_id: int, summary: DataFrame, at: Column | None = None) -> DataFrame:
-    """Jobs with the counters of one consolidation written into its row."""
-    row = F.struct(*[F.col(c) for c in summary.columns])
-    result = layout.small(summary.select(F.lit(job_id).cast("bigint").alias("id"), row.alias("_r"), F.to_json(row).alias("_summary")), 10)
-    joined = jobs.join(result, "id", "left")
-    here = F.col("_r").isNotNull()
+    """Jobs with the counters of one consolidation, a table of one row, written into its row."""
+    row = summary.first().asDict()
+    here = F.col("id") == job_id
     names = {
         "input_rules_count": "input_count",
         "output_rules_count": "output_count",
@@ -306,11 +305,11 @@ def finalize_job(jobs: DataFrame, job_id: int, summary: DataFrame, at: Column |
         "rules_merged": "merge_count",
         "rules_simplified": "simplify_count",
     }
-    new = {target: F.when(here, F.col(f"_r.{source}")).otherwise(F.col(target)) for target, source in names.items()}
-    new["consolidation_summary"] = F.when(here, F.col("_summary")).otherwise(F.col("consolidation_summary"))
+    new = {target: F.when(here, F.lit(row[source]).cast("bigint")).otherwise(F.col(target)) for target, source in names.items()}
+    new["consolidation_summary"] = F.when(here, F.lit(json.dumps(row))).otherwise(F.col("consolidation_summary"))
     new["status"] = F.when(here, F.lit("completed")).otherwise(F.col("status"))
     new["completed_at"] = F.when(here, F.current_timestamp() if at is None else at).otherwise(F.col("completed_at"))
-    return joined.withColumns(new).drop("_r", "_summary")
+    return jobs.withColumns(new)
 
 
 # Sensors

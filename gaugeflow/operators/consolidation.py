@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,16 +103,16 @@ def superseded_ids(actions: DataFrame, verified: DataFrame, parity: bool = False
 
 
 def summarize(rules: DataFrame, actions: DataFrame, verified: DataFrame, superseded: DataFrame) -> DataFrame:
-    """One row of counters; each side is reduced to one row before they meet."""
-    one = F.lit(1).alias("one")
-    counts = actions.agg(*[F.count_if(F.col("action_type") == a).alias(f"{a}_count") for a in ACTION_TYPES]).select("*", one)
-    outcome = verified.agg(F.count_if("passed").alias("output_count"), F.count_if(~F.col("passed")).alias("failed_count")).select("*", one)
-    inputs = rules.agg(F.count(F.lit(1)).alias("input_count")).select("*", one)
-    replaced = superseded.agg(F.count(F.lit(1)).alias("superseded_count")).select("*", one)
-    joined = inputs.join(outcome, "one").join(replaced, "one").join(counts, "one")
-    return joined.select(
-        "input_count", "output_count", "superseded_count", "remove_count", "merge_count", "simplify_count", "failed_count"
-    )
+    """One row of counters, from one row per table."""
+    parts = [
+        rules.agg(F.count(F.lit(1)).alias("input_count")),
+        verified.agg(F.count_if("passed").alias("output_count"), F.count_if(~F.col("passed")).alias("failed_count")),
+        superseded.agg(F.count(F.lit(1)).alias("superseded_count")),
+        actions.agg(*[F.count_if(F.col("action_type") == a).alias(f"{a}_count") for a in ACTION_TYPES]),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = ["input_count", "output_count", "superseded_count", "remove_count", "merge_count", "simplify_count", "failed_count"]
+    return rows.agg(*[F.max(n).alias(n) for n in names])
 
 
 def apply_actions(rules: DataFrame, verified: DataFrame, superseded: DataFrame, job_id: int) -> tuple[DataFrame, DataFrame]:

@@ -342,9 +342,12 @@ def run_statistics(readings: DataFrame, event_table: DataFrame, num_rules: int,
     """One row: rules, granularity, sensors seen, events."""
     sensors = readings.agg(F.count_distinct("sensor_id").alias("num_sensors_tracked"))
     count = event_table.agg(F.count(F.lit(1)).alias("total_events"))
-    counted = sensors.withColumn("one", F.lit(1)).join(count.withColumn("one", F.lit(1)), "one")
-    return counted.select(
-        F.lit(num_rules).alias("num_rules"), F.lit(config.granularity).alias("granularity"), "num_sensors_tracked", "total_events"
+    both = sensors.unionByName(count, allowMissingColumns=True)
+    return both.agg(
+        F.lit(num_rules).alias("num_rules"),
+        F.lit(config.granularity).alias("granularity"),
+        F.max("num_sensors_tracked").alias("num_sensors_tracked"),
+        F.max("total_events").alias("total_events"),
     )
 
 

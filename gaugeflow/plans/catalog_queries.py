@@ -211,12 +211,12 @@ def searches(spark: SparkSession, folder: str) -> DataFrame:
     "c08_rule_detail",
     views("rules", "docs", "chunks")
     + f""", context AS ({CONTEXT_SQL}),
-    lists AS (SELECT c.task_id AS rule_id, string_agg(c.rank || ':' || c.chunk_id || ':' || k.content_preview || ':' || d.filename, ';' ORDER BY c.rank, c.chunk_id) AS context
-      FROM context c JOIN chunks k ON k.id = c.chunk_id JOIN docs d ON d.id = k.document_id GROUP BY c.task_id)
+    own AS (SELECT rules.id AS rule_id, context.* FROM rules JOIN context USING (task_id)),
+    lists AS (SELECT rule_id, string_agg(rank || ':' || chunk_id || ':' || k.content_preview || ':' || d.filename, ';' ORDER BY rank, chunk_id, k.content_preview) AS context
+      FROM own JOIN chunks k ON k.id = chunk_id JOIN docs d ON d.id = k.document_id GROUP BY rule_id)
     SELECT r.id AS rule_id, r.rule_name, d.filename AS document_filename, k.chunk_index, coalesce(lists.context, '') AS context,
-      'limit of ' || l_partkey AS search
-    FROM rules r LEFT JOIN docs d ON d.id = r.document_id LEFT JOIN chunks k ON k.id = r.chunk_id LEFT JOIN lists ON lists.rule_id = r.id
-    JOIN lineitem ON {LINE_ID} = r.id""",
+      'limit of ' || (r.id // 10000) % 100000 AS search
+    FROM rules r LEFT JOIN docs d ON d.id = r.document_id LEFT JOIN chunks k ON k.id = r.chunk_id LEFT JOIN lists ON lists.rule_id = r.id""",
 )
 def rule_detail(spark: SparkSession, folder: str) -> DataFrame:
     rules, docs, chunks = (view(spark, folder, name) for name in ("rules", "docs", "chunks"))
@@ -235,13 +235,18 @@ def rule_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "c17_provenance_chunks",
-    f"WITH context AS ({CONTEXT_SQL}) SELECT task_id AS rule_id, chunk_id, relevance_score, rank FROM context",
+    views("rules")
+    + f", context AS ({CONTEXT_SQL}) SELECT rules.id AS rule_id, context.chunk_id, relevance_score, rank FROM rules JOIN context USING (task_id)",
 )
 def provenance_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ct.provenance(view(spark, folder, "rules"), context(spark, folder), searches(spark, folder))[0]
 
 
-@query("c17_provenance_searches", f"SELECT task_id AS rule_id, search_query, search_results, search_rank FROM ({plain(SEARCHES)})")
+@query(
+    "c17_provenance_searches",
+    views("rules")
+    + f", found AS ({plain(SEARCHES)}) SELECT rules.id AS rule_id, search_query, search_results, search_rank FROM rules JOIN found USING (task_id)",
+)
 def provenance_searches(spark: SparkSession, folder: str) -> DataFrame:
     return ct.provenance(view(spark, folder, "rules"), context(spark, folder), searches(spark, folder))[1]
 

@@ -40,4 +40,4 @@ def test_scans_read_only_what_they_need(spark, data):
     plan = QUERIES["w08_rolling_max"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "user_id" not in plan
     plan = QUERIES["c02_rules_by_type"](spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(l_suppkey,5)" in plan and "EqualTo(l_linenumber,1)" in plan
+    assert "EqualTo(l_suppkey,5)" in plan and "l_tax" not in plan
