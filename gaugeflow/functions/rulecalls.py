@@ -62,17 +62,22 @@ def _read_calls(body: str | None) -> dict:
     except (SyntaxError, ValueError):
         return {"syntax_ok": False, "calls": []}
     found = []
-
-    def walk(node: ast.AST) -> None:
-        match node:
-            case ast.Call(func=ast.Attribute(attr="get", value=ast.Name(id="status")), args=args):
-                values = [str(a.value) if isinstance(a, ast.Constant) and a.value is not None else None for a in args[:3]]
-                values += [None] * (3 - len(values))
-                found.append(dict(zip(("sensor_id", "time_expression", "statistic"), values)))
-        for child in ast.iter_child_nodes(node):
-            walk(child)
-
-    walk(tree)
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        if node.__class__ is ast.Call:
+            target = node.func
+            if isinstance(target, ast.Attribute) and target.attr == "get" and getattr(target.value, "id", None) == "status":
+                values = [str(a.value) if isinstance(a, ast.Constant) and a.value is not None else None for a in node.args[:3]]
+                found.append(dict(zip(("sensor_id", "time_expression", "statistic"), values + [None] * 3)))
+        below: list = []
+        for name in node._fields:
+            child = getattr(node, name, None)
+            if isinstance(child, list):
+                below += [c for c in child if isinstance(c, ast.AST)]
+            elif isinstance(child, ast.AST):
+                below.append(child)
+        waiting += reversed(below)
     return {"syntax_ok": True, "calls": found}
 
 
