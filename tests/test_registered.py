@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import database, difference
+from gaugeflow.plans import all_queries, all_sql
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 # Queries that run streams or write files when called: their result plan is a scan of what they wrote.
 WRITES = ("x0", "s03", "s09", "s10", "w04_split")
 
@@ -31,6 +32,10 @@ def test_no_cross_join(spark, data, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns[0] == "seq"
