@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import mixing
+from gaugeflow.llm import language, mixing, quality_rules
+from gaugeflow.llm.sampling import crc_part
+from gaugeflow.operators.layout import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +65,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), carry=("doc_id",))
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_part(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out), F.col("text"), F.col("lang"), F.col("doc_id"))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    ratio = quality_rules.fit(docs.join(small(good), "doc_id", "left"), F.col("text"), F.col("trusted"))
+    return quality_rules.judge(docs, ratio)
