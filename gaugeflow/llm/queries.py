@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import language, mixing, quality_rules
+from gaugeflow.llm import language, mixing, quality_model, quality_rules
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.operators.layout import small
 
@@ -81,3 +81,12 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     ratio = quality_rules.fit(docs.join(small(good), "doc_id", "left"), F.col("text"), F.col("trusted"))
     return quality_rules.judge(docs, ratio)
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_part(F.col("doc_id"), 4) == 2
+    model = quality_model.fit(docs, table(spark, folder, "labels").where(~held_out))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
