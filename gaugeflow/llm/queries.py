@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import language, mixing, quality_model, quality_rules
+from gaugeflow.llm import language, mixing, quality_model, quality_rules, simhash
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.operators.layout import small
 
@@ -90,3 +90,9 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_model.fit(docs, table(spark, folder, "labels").where(~held_out))
     predicted = (F.col("score") >= 0.7).cast("int")
     return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    told = simhash.near_duplicates(table(spark, folder, "documents"), carry=("doc_id",))
+    return told.select("row.doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
