@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import language, mixing, quality_model, quality_rules, simhash
+from gaugeflow.llm import exact_topk, html_text, language, mixing, quality_model, quality_rules, simhash
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.operators.layout import small
 
@@ -96,3 +96,30 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     told = simhash.near_duplicates(table(spark, folder, "documents"), carry=("doc_id",))
     return told.select("row.doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query(
+    "op8_exact_topk",
+    """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+    QUALIFY rank <= 10
+    """,
+)
+def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), exact_topk.scaled(F.col("embedding"), 1024).alias("vector"))
+    return exact_topk.top_k(rows, rows.where("id % 100 = 0"), k=10)
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
