@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import exact_topk, html_text, language, mixing, quality_model, quality_rules, simhash
+from gaugeflow.llm import bpe, exact_topk, html_text, language, mixing, quality_model, quality_rules, simhash
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.operators.layout import small
 
@@ -123,3 +124,15 @@ def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return html_text.extract(pages, html_text.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents"), path=path, pattern=public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), path=path), 256).alias("decoded_sha256"),
+    )
