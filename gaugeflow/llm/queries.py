@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import bpe, exact_topk, html_text, language, mixing, quality_model, quality_rules, simhash
+from gaugeflow.llm import bpe, exact_topk, html_text, language, language_model, mixing, quality_model, quality_rules, simhash
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.operators.layout import small
 
@@ -136,3 +136,10 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), path=path), 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_language_model")
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = crc_part(F.col("doc_id"), 7) == 2
+    scored = language_model.score(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
