@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import bpe, exact_topk, html_text, language, language_model, mixing, quality_model, quality_rules, simhash
+from gaugeflow.llm import bpe, exact_topk, html_text, language, language_model, mixing, quality_model, quality_rules, simhash, suffix_array
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.operators.layout import small
 
@@ -143,3 +143,10 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_part(F.col("doc_id"), 7) == 2
     scored = language_model.score(table(spark, folder, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_suffix_array")
+def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    told = suffix_array.remove_repeats(table(spark, folder, "documents"), carry=("doc_id",))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return told.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
