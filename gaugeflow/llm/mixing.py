@@ -80,7 +80,7 @@ def mix(
     slices = slices.select(
         "_name", F.col("_slice").alias("_part"), F.col("_words").alias("source_size"), "target", "_whole", "_rest", "_before",
         # 1: every document of the slice is taken once more, 0: none, null: the rest ends inside or near the slice
-        F.when(F.col("_before") + F.col("_own") <= F.col("_rest"), 1).when(F.col("_before") >= F.col("_rest"), 0).alias("_more"),
+        F.when(F.col("_rest") <= 0, 0).when(F.col("_before") + F.col("_own") <= F.col("_rest"), 1).when(F.col("_before") >= F.col("_rest"), 0).alias("_more"),
     )
     told = base.join(slices, F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_slice") == F.col("_part")))
     out = ["row", "size", "source_size", "target"]

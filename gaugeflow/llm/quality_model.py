@@ -166,21 +166,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return Model(centre, spread, train((x - centre) / spread, row, y.astype(np.float32), hidden=hidden, steps=steps, rate=rate, decay=decay, seed=seed))
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in `carry` and `score`, from 0 to 1, of every document.
+def quality(text: Column, model: Model) -> Column:
+    """The score of a text, from 0 to 1; null and empty texts are one passage of zeros and score like any other bag."""
 
-    Only the text is looked at, whole. Null and empty texts are one passage of zeros and score like any other bag;
-    equal texts score alike. Null or repeated keys are carried along; empty input gives no rows.
-    """
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        data, offsets = arrays.flat(texts)
+        found = [np.zeros(0)]
+        for a, b in arrays.chunks(offsets):
+            x, row = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found.append(model.scores(x, row, b - a).astype(np.float64))
+        return pa.array(np.concatenate(found))
+
+    return run(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = arrays.flat(batch.column(len(carry)))
-            for a, b in arrays.chunks(offsets):
-                x, row = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found = model.scores(x, row, b - a).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(carry))), pa.array(found)], [*carry, "score"])
-
-    rows = docs.select(*carry, F.col(text).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
+
+def score(docs: DataFrame, model: Model, *, text: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Every document: `row` (a struct of the columns named in carry) and `score`, from 0 to 1.
+
+    Only the text is looked at, whole; equal texts score alike. Null or repeated keys and extra columns are carried
+    along; empty input gives no rows.
+    """
+    return docs.select(F.struct(*carry).alias("row"), quality(F.col(text), model).alias("score"))

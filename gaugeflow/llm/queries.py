@@ -90,7 +90,8 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_part(F.col("doc_id"), 4) == 2
     model = quality_model.fit(docs, table(spark, folder, "labels").where(~held_out))
     predicted = (F.col("score") >= 0.7).cast("int")
-    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+    scored = quality_model.score(docs, model, carry=("doc_id",))
+    return scored.select("row.doc_id", "score", predicted.alias("predicted")).withColumn("held_out", crc_part(F.col("doc_id"), 4) == 2).select("doc_id", "held_out", "score", "predicted")
 
 
 @query("op7_simhash")
