@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeflow.operators.layout import reliable_dir
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of its own only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaugeflow-checkpoint-"))
-    return context.getCheckpointDir()
+    """The folder named in spark.checkpoint.dir; one of its own only where none is set and Spark is one process, as in tests."""
+    return reliable_dir(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
