@@ -59,7 +59,7 @@ def calls(rules: DataFrame, body: str = "rule_body", keys: tuple[str, ...] = ("r
 def _read_calls(body: str | None) -> dict:
     try:
         tree = ast.parse(body or "")
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last two: nested too deeply to parse
         return {"syntax_ok": False, "calls": []}
     found = []
     waiting = [tree]
@@ -91,9 +91,10 @@ def analyse(body: Column | str) -> Column:
 
 
 def requirements(rules: DataFrame, body: str = "rule_body") -> DataFrame:
-    """Distinct (sensor_id, time_expression, statistic) over all rules."""
+    """Distinct (sensor_id, time_expression, statistic) over all rules; a rule that does not parse has none."""
     return (
-        calls(rules, body, keys=())
+        rules.select(F.explode(analyse(body)["calls"]).alias("call"))
+        .select("call.*")
         .where(F.col("sensor_id").isNotNull() & (F.col("sensor_id") != ""))
         .where(F.col("time_expression").isNotNull() & (F.col("time_expression") != ""))
         .select("sensor_id", "time_expression", "statistic")
@@ -102,5 +103,6 @@ def requirements(rules: DataFrame, body: str = "rule_body") -> DataFrame:
 
 
 def sensor_set(body: Column) -> Column:
-    """Sorted distinct sensors a rule reads."""
-    return F.array_sort(F.array_distinct(call_sensors(body)))
+    """Sorted distinct sensors a rule reads; none for a text that does not parse."""
+    sensors = F.transform(analyse(body)["calls"], lambda call: call["sensor_id"])
+    return F.array_sort(F.array_distinct(F.filter(sensors, lambda s: s.isNotNull() & (s != ""))))

@@ -20,7 +20,6 @@ VERIFIED_STATISTICS = ("mean", "max", "min", "std", "variance")
 
 # Configured bounds.
 MAX_RULES_PER_BATCH = 50
-MAX_RULES_LOADED = 1000
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 PREVIEW_LENGTH = 500
@@ -87,6 +86,7 @@ class RuleFunction:
 class CheckerConfig:
     """How readings turn into features.
 
+    max_history_buffer_size  lookbacks of so many samples or more are null; None: no bound
     mode            "samples" counts non-null samples, "time" uses the clock
     end_offset      "honour" ends ``1h:5m`` five minutes ago, "ignore" ends it now
     warmup          "null" or "zero": value of mean, sum, std, variance before enough samples
@@ -98,7 +98,7 @@ class CheckerConfig:
 
     granularity: str = "1m"
     skip_on_missing_data: bool = True
-    max_history_buffer_size: int = 1440
+    max_history_buffer_size: int | None = None
     mode: str = "samples"
     end_offset: str = "honour"
     warmup: str = "null"

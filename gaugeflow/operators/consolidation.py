@@ -14,13 +14,14 @@ from gaugeflow.operators import layout, rulebase
 NO_SENSORS = "__no_sensors__"
 
 
-def batches(rules: DataFrame, size: int = MAX_RULES_PER_BATCH, group_layout: str = "auto") -> DataFrame:
+def batches(rules: DataFrame, size: int = MAX_RULES_PER_BATCH, group_layout: str = "auto", whole_up_to: int = 0) -> DataFrame:
     """Rules plus (batch_key, batch_no): rules reading the same sensors together, at most ``size`` each.
 
-    A set that fits one batch stays whole. Otherwise a rule's place within its sensor set is
+    A rule's sensors are those of its syntax tree; a text that does not parse has none. With
+    ``whole_up_to``, a table of so many rules or fewer is one batch, ``all``. A rule's place within its sensor set is
     counted with the layout for large keys, as one set may be most of the table.
     """
-    if rules.limit(size + 1).count() <= size:
+    if whole_up_to and rules.limit(whole_up_to + 1).count() <= whole_up_to:
         return rules.withColumns({"batch_key": F.lit("all"), "batch_no": F.lit(0).cast("bigint")})
     sensors = rulecalls.sensor_set(F.col("rule_body"))
     keyed = rules.withColumn("batch_key", F.when(F.size(sensors) > 0, F.array_join(sensors, ",")).otherwise(NO_SENSORS))

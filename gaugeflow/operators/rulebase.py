@@ -15,38 +15,50 @@ from gaugeflow.operators import layout
 
 # The fence around a JSON answer.
 FENCE = r"(?s)```(?:json)?\s*\n(.*?)\n```"
-ANSWER = (
-    "rules array<struct<rule_name: string, rule_description: string, rule_reasoning: string, "
-    "rule_source: string, rule_body: string, rule_type: string>>"
-)
 RULE_FIELDS = ["rule_name", "rule_description", "rule_reasoning", "rule_source", "rule_body", "rule_type"]
+REQUIRED_FIELDS = RULE_FIELDS[:-1]
 
 
 def parse_answers(answers: DataFrame, answer: str = "answer", keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
-    """One row per rule of each JSON answer; an answer that does not parse is one row with an error."""
+    """One row per rule of each JSON answer, with ``error`` null, or saying what is wrong.
+
+    An answer that is not one JSON value and nothing else is one row with error ``json``; one that
+    is no object, or whose ``rules`` are no list (a null included), one row with error ``rules``. An
+    answer without the key, or with an empty list, has no row. A rule that is no object, or has a
+    field of another type than text, is a row with error ``types``; fields that are missing or null
+    are null here and left to ``check_schema``.
+    """
     text = F.trim(F.col(answer))
     inner = F.regexp_extract(text, FENCE, 1)
     body = F.when(text.contains("```") & (inner != ""), inner).otherwise(text)
-    parsed = F.from_json(
-        F.col("body"), f"{ANSWER}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    # Within brackets, text after the value can't be overlooked: it breaks the list or makes it longer.
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    got = lambda value, path, kind="variant": F.try_variant_get(value, path, kind)
+    read = answers.select(*keys, whole.alias("whole")).select(*keys, "whole", got(F.col("whole"), "$[0]").alias("root"))
+    listed = F.schema_of_variant(got(F.col("root"), "$.rules"))
+    error = (
+        F.when(F.col("root").isNull() | got(F.col("whole"), "$[1]").isNotNull(), F.lit("json"))
+        .when(~F.schema_of_variant("root").startswith("OBJECT"), F.lit("rules"))
+        .when(listed.isNotNull() & ~listed.startswith("ARRAY"), F.lit("rules"))
     )
-    broken = F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull() | (F.trim(F.col("body")) == "")
-    rows = answers.select(*keys, body.alias("body")).withColumn("parsed", parsed)
-    rows = rows.select(
-        *keys,
-        F.when(broken, F.lit("json")).alias("error"),
-        F.posexplode_outer(F.when(~broken, F.col("parsed.rules"))).alias("rule_idx", "rule"),
+    rows = read.select(*keys, error.alias("error"), "root").select(
+        *keys, "error", F.posexplode_outer(F.when(F.col("error").isNull(), got(F.col("root"), "$.rules", "array<variant>"))).alias("rule_idx", "rule")
     )
-    # An empty answer has no rules and no error, so it leaves no row.
-    return rows.where("rule is not null or error is not null").select(
-        *keys, "rule_idx", *[F.col(f"rule.{f}").alias(f) for f in RULE_FIELDS], "error"
+    kinds = {f: F.schema_of_variant(got(F.col("rule"), f"$.{f}")) for f in RULE_FIELDS}
+    wrong = ~F.schema_of_variant("rule").startswith("OBJECT")
+    for kind in kinds.values():
+        wrong = wrong | F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
+    fields = [F.when(kind == "STRING", got(F.col("rule"), f"$.{f}", "string")).alias(f) for f, kind in kinds.items()]
+    return rows.where("rule_idx is not null or error is not null").select(
+        *keys, "rule_idx", *fields, F.coalesce("error", F.when(F.col("rule_idx").isNotNull() & F.coalesce(wrong, F.lit(True)), F.lit("types"))).alias("error")
     )
 
 
-def schema_errors(name: Column, body: Column) -> Column:
+def schema_errors(name: Column, body: Column, required: tuple[str, ...] = ()) -> Column:
     """Texts of the checks a rule fails; empty when it passes all."""
     bare = F.replace(name, F.lit("_"), F.lit(""))
-    checks = [
+    checks = [(F.col(field).isNull(), f"{field} is required") for field in required]
+    checks += [
         (~F.coalesce(bare.rlike(r"^[\p{L}\p{N}]+$"), F.lit(False)), "rule_name must be alphanumeric snake_case"),
         (F.coalesce(name != F.lower(name), F.lit(False)), "rule_name must be lowercase"),
         (~F.coalesce(body.contains("def "), F.lit(False)), "rule_body must define a function"),
@@ -56,14 +68,24 @@ def schema_errors(name: Column, body: Column) -> Column:
 
 
 def check_schema(rules: DataFrame, per: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) rules; rejected ones carry ``errors``.
+    """(valid, rejected) rules; rejected ones carry ``errors``, and every rule is in one of the two.
 
-    With ``per``, one bad rule takes all rules of the same answer with it, as when an answer is
-    only accepted whole: ``per=("task_id",)``. Those rules are then in neither table.
+    All fields but rule_type are required, as far as the table has them. A row that ``parse_answers``
+    gave an error is rejected for it. With ``per``, one bad rule takes all rules of the same answer
+    with it, as when an answer is only accepted whole: ``per=("task_id",)``.
     """
-    checked = rules.withColumn("errors", schema_errors(F.col("rule_name"), F.col("rule_body")))
-    valid, rejected = checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
-    return valid.join(rejected.select(*per), list(per), "left_anti") if per else valid, rejected
+    required = tuple(f for f in REQUIRED_FIELDS if f in rules.columns)
+    errors = schema_errors(F.col("rule_name"), F.col("rule_body"), required)
+    if "error" in rules.columns:
+        errors = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("answer: "), "error"))).otherwise(errors)
+    checked = rules.withColumn("errors", errors)
+    if per:
+        bad = checked.where(F.size("errors") > 0).select(*per).distinct().withColumn("_bad", F.lit(True))
+        beside = F.array(F.lit("another rule of the answer is rejected"))
+        checked = checked.join(bad, list(per), "left").withColumn(
+            "errors", F.when(F.col("_bad") & (F.size("errors") == 0), beside).otherwise(F.col("errors"))
+        ).drop("_bad")
+    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
 def resolve_sensors(rules: DataFrame, mappings: DataFrame, sensors: DataFrame | None = None) -> DataFrame:

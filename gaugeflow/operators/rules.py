@@ -21,7 +21,7 @@ from gaugeflow.sources import readings as rd
 log = logging.getLogger(__name__)
 
 MOMENT = ["asset", "ts", "ts_us", "seq"]
-# Rules evaluated in one projection; more make the generated code too long to compile.
+# Rules evaluated in one array; longer ones make the generated code too long to compile.
 RULES_PER_PROJECTION = 100
 EVENT = ["asset", "timestamp", "seq", "rule_name", "triggered", "result", "sensor_values", "explanation", "rule_description"]
 
@@ -62,7 +62,7 @@ def _features(readings: DataFrame, requirements: Sequence[Requirement], config:
 
 def fired(table: DataFrame, compiled: list[tuple[Rule, Column]]) -> DataFrame:
     """Rules whose predicate is true, one row each; a null predicate is no event."""
-    parts = []
+    arrays = []
     for start in range(0, len(compiled), RULES_PER_PROJECTION):
         hits = F.array(
             *[
@@ -77,8 +77,12 @@ def fired(table: DataFrame, compiled: list[tuple[Rule, Column]]) -> DataFrame:
                 for rule, predicate in compiled[start : start + RULES_PER_PROJECTION]
             ]
         )
-        parts.append(table.select(*MOMENT, F.inline(F.filter(hits, lambda hit: hit.isNotNull()))))
-    return reduce(DataFrame.unionByName, parts)
+        arrays.append(F.filter(hits, lambda hit: hit.isNotNull()))
+    return table.select(*MOMENT, F.inline(F.concat(*arrays)))
+
+
+def _no_hits(readings: DataFrame) -> DataFrame:
+    return readings.limit(0).select(*MOMENT, *[F.lit("").alias(c) for c in ("rule_name", "result", "rule_description")])
 
 
 def check(
@@ -88,7 +92,10 @@ def check(
     align: bool = True,
     snapshot: bool = True,
 ) -> DataFrame:
-    """Events of all rules over all readings."""
+    """Events of all rules over all readings. However many rules there are, features are computed once per branch
+    (rules on one sensor, rules on several); no rules give no events."""
+    if not rules:
+        return events(_no_hits(readings))
     plain = [(rule, *rule.compile()) for rule in rules if isinstance(rule, Rule)]
     functions = [rule for rule in rules if isinstance(rule, RuleFunction)]
     needed = list(
@@ -175,7 +182,7 @@ def snapshots(readings: DataFrame) -> DataFrame:
 
 def rule_errors(table: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Strict mode: moments where a rule could not be decided because a feature is missing."""
-    parts = []
+    arrays = []
     for start in range(0, len(rules), RULES_PER_PROJECTION):
         entries = []
         for rule in rules[start : start + RULES_PER_PROJECTION]:
@@ -184,8 +191,8 @@ def rule_errors(table: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 F.array(*[F.when(F.col(f"`{r.name}`").isNull(), F.lit(r.name)) for r in reqs]), lambda m: m.isNotNull()
             )
             entries.append(F.when(predicate.isNull(), F.struct(F.lit(rule.name).alias("rule_name"), missing.alias("missing"))))
-        parts.append(table.select(*MOMENT, F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull()))))
-    return reduce(DataFrame.unionByName, parts)
+        arrays.append(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    return table.select(*MOMENT, F.inline(F.concat(*arrays)))
 
 
 class _FunctionStatus:
@@ -262,19 +269,19 @@ def check_rows(
     align: bool = True,
     guard: str = "nonzero",
     snapshot: bool = True,
-    series_bound: int = 2_000,
 ) -> DataFrame:
     """Events of rules held as rows: the plan does not grow with the number of rules.
 
-    Only the distinct (sensor, expression, statistic) come to the driver, and not more than
-    ``series_bound`` of them; they name the window columns. A rule is looked up by the first of
+    Only the distinct (sensor, expression, statistic) come to the driver; they name the window
+    columns, of which there is one per expression and statistic, whatever the number of sensors
+    and rules. No rules give no events. A rule is looked up by the first of
     its conditions and tested as a whole on the row at hand, so only events leave the join. Rules
     on one sensor are tested on that sensor's row; rules on several need the features of a moment
     side by side first.
     """
-    wanted = rule_rows.select("sensor_id", "time_expression", "statistic").distinct().limit(series_bound + 1).collect()
-    if len(wanted) > series_bound:
-        raise ValueError(f"more than {series_bound} distinct features; split the rules into several runs")
+    wanted = rule_rows.select("sensor_id", "time_expression", "statistic").distinct().collect()
+    if not wanted:
+        return events(_no_hits(readings))
     reqs = [Requirement(*row) for row in wanted]
     features = _features(readings, reqs, config, align)
 
@@ -327,15 +334,17 @@ def check_rows(
     return events(hits, readings if snapshot else None)
 
 
-def from_rule_table(loaded: DataFrame, registry: dict[str, RuleFunction], bound: int = 1_000) -> list[RuleFunction]:
-    """Functions registered under the names of catalogued rules; rule text is never executed."""
-    names = [row[0] for row in loaded.select("rule_name").distinct().limit(bound + 1).collect()]
-    if len(names) > bound:
-        raise ValueError(f"more than {bound} rules; keep them as rows and use check_rows")
-    missing = sorted(set(names) - set(registry))
+def from_rule_table(loaded: DataFrame, registry: dict[str, RuleFunction]) -> list[RuleFunction]:
+    """Functions registered under the names of catalogued rules; rule text is never executed.
+
+    Only names that are registered come to the driver, so the registry bounds what is collected.
+    """
+    registered = F.col("rule_name").isin(list(registry)) if registry else F.lit(False)
+    names = {row[0] for row in loaded.where(registered).select("rule_name").distinct().collect()}
+    missing = loaded.where(~F.coalesce(registered, F.lit(False))).select("rule_name").distinct().count()
     if missing:
-        log.warning("no function registered for %d rules", len(missing))
-    return [registry[name] for name in sorted(names) if name in registry]
+        log.warning("no function registered for %d rules", missing)
+    return [registry[name] for name in sorted(names)]
 
 
 def run_statistics(readings: DataFrame, event_table: DataFrame, num_rules: int, config: CheckerConfig = CheckerConfig()) -> DataFrame:

@@ -93,7 +93,7 @@ def resolve(req: Requirement, config: CheckerConfig) -> Series:
     if not when.is_interval:
         if not when.start:
             return Series(req.series, "current")
-        if config.mode == "samples" and start >= config.max_history_buffer_size:
+        if config.mode == "samples" and config.max_history_buffer_size is not None and start >= config.max_history_buffer_size:
             return Series(req.series, "empty")
         return Series(req.series, "lookback", None, start, start)
     length = when.length.us // step

@@ -102,19 +102,27 @@ def sensors_of(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "s07_load_rules",
     views("rules")
+    + f"SELECT collection_id, id, {', '.join(sr.LOADED)} FROM rules WHERE lifecycle_status <> 'superseded' AND verification_status = 'ok'",
+)
+def load_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return sr.load_all(view(spark, folder, "rules"))
+
+
+@query(
+    "s07_load_newest",
+    views("rules")
     + f"""SELECT collection_id, id, {', '.join(sr.LOADED)} FROM
     (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY created_at DESC, id) AS place FROM rules)
     WHERE place <= 1000 AND lifecycle_status <> 'superseded' AND verification_status = 'ok'""",
 )
-def load_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return sr.load_all(view(spark, folder, "rules"))
+def load_newest(spark: SparkSession, folder: str) -> DataFrame:
+    return sr.load_all(view(spark, folder, "rules"), limit=1000)
 
 
 @query(
     "s07_load_collection",
     views("rules")
-    + f"""SELECT {', '.join(sr.LOADED)} FROM (SELECT * FROM rules WHERE collection_id = 3 ORDER BY created_at DESC, id LIMIT 1000)
-    WHERE verification_status = 'ok'""",
+    + f"SELECT {', '.join(sr.LOADED)} FROM rules WHERE collection_id = 3 AND verification_status = 'ok'",
 )
 def load_collection(spark: SparkSession, folder: str) -> DataFrame:
     return sr.load_rules(view(spark, folder, "rules"), collection_id=3, parity=True)

@@ -150,11 +150,24 @@ def clock_lookback(spark: SparkSession, folder: str) -> DataFrame:
 )
 def history_cap(spark: SparkSession, folder: str) -> DataFrame:
     oldest, beyond = Requirement("any", "1439m"), Requirement("any", "1d")
-    return windows.features(event_readings(spark, folder), [oldest, beyond]).select(
+    return windows.features(event_readings(spark, folder), [oldest, beyond], CheckerConfig(max_history_buffer_size=1440)).select(
         "seq", "sensor_id", F.col(f"`{oldest.series}`").alias("oldest"), F.col(f"`{beyond.series}`").alias("beyond")
     )
 
 
+@query(
+    "w17_no_history_cap",
+    f"""WITH {READINGS} SELECT seq, sensor_id,
+    max(value) OVER (PARTITION BY sensor_id ORDER BY n RANGE BETWEEN 1440 PRECEDING AND 1440 PRECEDING) AS day,
+    max(value) OVER (PARTITION BY sensor_id ORDER BY n RANGE BETWEEN 1500 PRECEDING AND 1500 PRECEDING) AS longer FROM counted""",
+)
+def no_history_cap(spark: SparkSession, folder: str) -> DataFrame:
+    day, longer = Requirement("any", "1d"), Requirement("any", "25h")
+    return windows.features(event_readings(spark, folder), [day, longer]).select(
+        "seq", "sensor_id", F.col(f"`{day.series}`").alias("day"), F.col(f"`{longer.series}`").alias("longer")
+    )
+
+
 @query(
     "w18_warm_up",
     f"""WITH {READINGS} SELECT seq, sensor_id,

@@ -61,6 +61,19 @@ def schema_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "v02_rejected_answers",
+    f"""WITH {PARSED}, bad AS (SELECT task_id, rule_idx, error IS NOT NULL OR rule_name <> lower(rule_name) OR NOT contains(rule_body, 'def ') OR NOT contains(rule_body, 'status.get(') AS wrong,
+      error FROM rows)
+    SELECT task_id, rule_idx, CASE WHEN error IS NOT NULL THEN 'answer: ' || error WHEN wrong THEN 'own' ELSE 'another rule of the answer is rejected' END AS why
+    FROM bad WHERE task_id IN (SELECT task_id FROM bad WHERE wrong)""",
+)
+def rejected_answers(spark: SparkSession, folder: str) -> DataFrame:
+    _, rejected = rb.check_schema(rb.parse_answers(answers(spark, folder)), per=("task_id",))
+    text = F.array_join("errors", "; ")
+    return rejected.select("task_id", "rule_idx", F.when(text.startswith("rule_"), F.lit("own")).otherwise(text).alias("why"))
+
+
 # Rules written with names of things and times, one per part, and what those names mean.
 DESCRIBED = """
 SELECT p_partkey AS rule_id, p_size % 4 AS collection_id, CASE p_partkey % 5
@@ -160,7 +173,7 @@ def verify_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 BATCHED = f"""{RULES}, {CALLS},
 keyed AS (SELECT r.rule_id, coalesce(s.sensors, '__no_sensors__') AS batch_key FROM r LEFT JOIN
-    (SELECT rule_id, string_agg(DISTINCT sensor_id, ',' ORDER BY sensor_id) AS sensors FROM c GROUP BY rule_id) s ON r.rule_id = s.rule_id),
+    (SELECT rule_id, string_agg(DISTINCT sensor_id, ',' ORDER BY sensor_id) AS sensors FROM c WHERE rule_id % 11 <> 9 GROUP BY rule_id) s ON r.rule_id = s.rule_id),
 batched AS (SELECT *, (row_number() OVER (PARTITION BY batch_key ORDER BY rule_id) - 1) // 50 AS batch_no FROM keyed)
 """
 
@@ -329,17 +342,30 @@ def apply_outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "v14_jobs_to_apply",
-    "SELECT s_suppkey AS job_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48)",
+    "SELECT s_suppkey AS job_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 50 AND l_linenumber = 1 AND l_orderkey % 7 = 0)",
 )
 def jobs_to_apply(spark: SparkSession, folder: str) -> DataFrame:
     jobs = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("job_id"))
     rules = table(spark, folder, "lineitem").select(
-        ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 48)).alias("is_consolidated"),
+        F.expr("l_returnflag = 'A' AND l_quantity = 50 AND l_linenumber = 1 AND l_orderkey % 7 = 0").alias("is_consolidated"),
         F.col("l_suppkey").alias("consolidation_job_id"),
     )
     return co.not_yet_applied(jobs, rules)
 
 
+@query(
+    "v14_jobs_applied",
+    "SELECT s_suppkey AS job_id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30)",
+)
+def jobs_applied(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("job_id"))
+    rules = table(spark, folder, "lineitem").select(
+        ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 30)).alias("is_consolidated"),
+        F.col("l_suppkey").alias("consolidation_job_id"),
+    )
+    return co.already_applied(jobs, rules)
+
+
 @query(
     "v15_reduction",
     """SELECT job_id, round(CASE WHEN input_count > 0 AND output_count > 0 THEN (input_count - output_count) * 100.0 / input_count END, 6) AS reduction_percent,

@@ -22,12 +22,21 @@ def mime_type(filename: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension), F.lit("application/octet-stream"))
 
 
+def _empty_files(spark: SparkSession, path: str, glob: str) -> list[str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop.Path(folder, glob))
+    return [f.getPath().toString() for f in listed or [] if f.isFile() and f.getLen() == 0]
+
+
 def ingest_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """filename, file_path, content_hash, file_size, mime_type, sync_status of every file.
+    """filename, file_path, content_hash, file_size, mime_type, sync_status of every file, empty ones too.
 
-    Files of no bytes are passed over by the scan; they would have no chunks.
+    The scan passes over files of no bytes; those are taken from the folder's listing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
+    empty = [(name, 0, bytearray()) for name in _empty_files(spark, path, glob)]
+    files = files.unionByName(spark.createDataFrame(empty, "path string, length bigint, content binary"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(
         name.alias("filename"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,17 @@ def number(value: Column) -> Column:
 def from_long(
     df: DataFrame, sensor: str = "sensor_id", ts: str = "ts", value: str = "value", asset: str | None = None, seq: str | None = None
 ) -> DataFrame:
+    """Canonical readings.
+
+    Without ``seq`` the readings of a sensor at one instant are numbered by value, so that none is
+    taken for another (a stream can't be numbered; its readings all get 0). A column named in
+    ``seq`` must tell them apart: see ``repeated``.
+    """
     if isinstance(df.schema[ts].dataType, T.StringType):
         df = df.withColumn(ts, F.to_timestamp(ts))
+    if not seq and not df.isStreaming:
+        same = W.partitionBy(*[F.col(c) for c in (asset, sensor, ts) if c]).orderBy(value)
+        df, seq = df.withColumn("_seq", F.row_number().over(same) - 1), "_seq"
     return df.select(
         (F.coalesce(F.col(asset).cast("string"), F.lit("")) if asset else F.lit("")).alias("asset"),
         F.col(sensor).cast("string").alias("sensor_id"),
@@ -47,9 +57,17 @@ def from_wide(
     ids = [c for c in (asset, ts, seq) if c]
     sensors = list(sensors) if sensors is not None else [c for c in df.columns if c not in ids]
     numbers = df.select(*ids, *[F.col(f"`{s}`").cast("double").alias(s) for s in sensors])
+    if not seq and not df.isStreaming:  # rows of one instant stay the rows they are
+        same = W.partitionBy(*[F.col(c) for c in (asset, ts) if c]).orderBy(*[F.col(f"`{s}`") for s in sensors])
+        numbers, seq, ids = numbers.withColumn("_seq", F.row_number().over(same) - 1), "_seq", [*ids, "_seq"]
     return from_long(numbers.unpivot(ids, sensors, "sensor_id", "value"), "sensor_id", ts, "value", asset, seq)
 
 
+def repeated(readings: DataFrame) -> DataFrame:
+    """Keys (asset, sensor_id, ts_us, seq) that more than one reading has, with their number; there should be none."""
+    return readings.groupBy("asset", "sensor_id", "ts_us", "seq").agg(F.count(F.lit(1)).alias("readings")).where("readings > 1")
+
+
 def to_wide(readings: DataFrame, sensors: Sequence[str]) -> DataFrame:
     """One row per (asset, ts, seq); ``sensors`` come from the rules, never from the data."""
     return (

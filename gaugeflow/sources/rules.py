@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeflow.model import MAX_RULES_LOADED
-
 LOADED = [
     "rule_name", "rule_body", "rule_description", "rule_reasoning", "rule_source", "rule_type",
     "sensor_parsing_status", "time_parsing_status", "verification_status",
@@ -15,17 +13,18 @@ LOADED = [
 
 
 def load_rules(
-    rules: DataFrame, collection_id: int | None = None, task_id: int | None = None, limit: int = MAX_RULES_LOADED, parity: bool = False
+    rules: DataFrame, collection_id: int | None = None, task_id: int | None = None, limit: int | None = None, parity: bool = False
 ) -> DataFrame:
-    """Verified rules of a task, else the newest of a collection.
+    """Verified rules of a task, else of a collection.
 
-    The limit counts rules before the verified ones are kept. Superseded rules are left out;
+    ``limit`` keeps the newest so many rules, counted before the verified ones are kept. Superseded rules are left out;
     ``parity`` keeps them.
     """
     if task_id is not None:
         chosen = rules.where(F.col("task_id") == task_id)
     elif collection_id is not None:
-        chosen = rules.where(F.col("collection_id") == collection_id).orderBy(F.desc("created_at"), "id").limit(limit)
+        chosen = rules.where(F.col("collection_id") == collection_id).orderBy(F.desc("created_at"), "id")
+        chosen = chosen if limit is None else chosen.limit(limit)
     else:
         raise ValueError("give collection_id or task_id")
     if not parity:
@@ -33,10 +32,12 @@ def load_rules(
     return chosen.where("verification_status = 'ok'").select(*LOADED)
 
 
-def load_all(rules: DataFrame, limit: int = MAX_RULES_LOADED, parity: bool = False) -> DataFrame:
+def load_all(rules: DataFrame, limit: int | None = None, parity: bool = False) -> DataFrame:
     """``load_rules`` for every collection at once, with its collection_id and id."""
-    newest = W.partitionBy("collection_id").orderBy(F.desc("created_at"), "id")
-    chosen = rules.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= limit)
+    chosen = rules
+    if limit is not None:
+        newest = W.partitionBy("collection_id").orderBy(F.desc("created_at"), "id")
+        chosen = rules.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= limit)
     if not parity:
         chosen = chosen.where("lifecycle_status <> 'superseded'")
     return chosen.where("verification_status = 'ok'").select("collection_id", "id", *LOADED)

@@ -37,7 +37,7 @@ def test_loading(rules):
 
 
 def test_newest_are_cut_before_the_shuffle(rules):
-    plan = sr.load_all(rules)._jdf.queryExecution().executedPlan().toString()
+    plan = sr.load_all(rules, limit=1000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 

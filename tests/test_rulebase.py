@@ -66,6 +66,35 @@ def test_answers(spark):
     assert [r.task_id for r in rb.check_schema(parsed.where("error is null"), per=("task_id",))[0].collect()] == [0]
 
 
+def test_answers_are_checked_whole(spark):
+    good = '{"rule_name": "good", "rule_description": "d", "rule_reasoning": "r", "rule_source": "s", "rule_body": "def f(status): status.get(1)"%s}'
+    texts = {
+        "null": '{"rules": null}',
+        "object": '{"rules": {"a": 1}}',
+        "list": "[]",
+        "absent": "{}",
+        "tail": '{"rules": [%s]} and so on' % (good % ""),
+        "second": '{"rules": [%s]}, {"rules": []}' % (good % ""),
+        "bare": '{"rules": [7]}',
+        "number": '{"rules": [%s]}' % (good % ', "rule_type": 7'),
+        "null_type": '{"rules": [%s]}' % (good % ', "rule_type": null'),
+        "missing": '{"rules": [{"rule_name": "x", "rule_body": "def f(status): status.get(1)"}, %s]}' % (good % ""),
+        "body": '{"rules": [{"rule_name": "x", "rule_description": "d", "rule_reasoning": "r", "rule_source": "s", "rule_body": {"a": 1}}]}',
+    }
+    answers = spark.createDataFrame(list(texts.items()), "task_id string, answer string")
+    parsed = rb.parse_answers(answers)
+    errors = {(r.task_id, r.rule_idx): r.error for r in parsed.collect()}
+    assert errors == {
+        ("null", None): "rules", ("object", None): "rules", ("list", None): "rules", ("tail", None): "json", ("second", None): "json",
+        ("bare", 0): "types", ("number", 0): "types", ("null_type", 0): None, ("missing", 0): None, ("missing", 1): None, ("body", 0): "types",
+    }
+    valid, rejected = rb.check_schema(parsed)
+    assert sorted((r.task_id, r.rule_idx) for r in valid.collect()) == [("missing", 1), ("null_type", 0)]
+    assert {r.task_id: r.errors for r in rejected.collect()}["missing"] == [f"{f} is required" for f in ("rule_description", "rule_reasoning", "rule_source")]
+    valid, rejected = rb.check_schema(parsed, per=("task_id",))
+    assert [r.task_id for r in valid.collect()] == ["null_type"] and rejected.count() == parsed.count() - 1
+
+
 def test_overlapping_descriptions_in_call_order(spark):
     rules = spark.createDataFrame(
         [(1, "status.get(\"temp top\", \"now\") + status.get('temp', \"now\")"), (2, 'status.get("temp", "now")'), (3, "pass")],
@@ -95,14 +124,34 @@ def test_times(spark):
 def test_batches(spark, layout):
     sets = ["a"] * 70 + ["a,b"] * 30 + ["b"] * 20 + [""] * 5
     rules = spark.createDataFrame(
-        [(i, " ".join(f'status.get("{s}", "0")' for s in reversed(names.split(",")) if s)) for i, names in enumerate(sets)],
+        [(i, " + ".join(f'status.get("{s}", "0")' for s in reversed(names.split(",")) if s)) for i, names in enumerate(sets)],
         "rule_id bigint, rule_body string",
     )
     batched = co.batches(rules, group_layout=layout)
     sizes = {(r.batch_key, r.batch_no): r["count"] for r in batched.groupBy("batch_key", "batch_no").count().collect()}
     assert sizes == {("a", 0): 50, ("a", 1): 20, ("a,b", 0): 30, ("b", 0): 20, ("__no_sensors__", 0): 5}
     assert tuple(co.batch_summary(batched).first()) == (125, 5, 25)
-    assert co.batches(rules.limit(50)).select("batch_key", "batch_no").distinct().count() == 1
+    assert co.batches(rules, whole_up_to=125).select("batch_key", "batch_no").distinct().count() == 1
+    assert co.batches(rules, whole_up_to=124).select("batch_key", "batch_no").distinct().count() == 5
+
+
+def test_calls_by_syntax_tree(spark):
+    texts = [
+        'x = 1  # status.get("comment", "0")\ny = "status.get(\'text\', \'0\')"',
+        'status.get("a, b", "1h:5m", "mean") + status.get(("n"), "0")',
+        'max(status.get("inner", "0"), f(status.get("deep", "5m")))',
+        'status.get("broken", "0"',
+        "x = " + "-" * 20_000 + "1",
+        "x = a" + ".b" * 20_000,
+        "(" * 20_000 + ")" * 20_000,
+        None,
+    ]
+    rules = spark.createDataFrame(list(enumerate(texts)), "rule_id bigint, rule_body string")
+    sets = {r.rule_id: r.s for r in rules.select("rule_id", rulecalls.sensor_set(F.col("rule_body")).alias("s")).collect()}
+    assert sets == {0: [], 1: ["a, b", "n"], 2: ["deep", "inner"], 3: [], 4: [], 5: [], 6: [], 7: []}
+    needed = {tuple(r) for r in rulecalls.requirements(rules).collect()}
+    assert needed == {("a, b", "1h:5m", "mean"), ("n", "0", None), ("inner", "0", None), ("deep", "5m", None)}
+    assert {r.batch_key for r in co.batches(rules).collect()} == {"__no_sensors__", "a, b,n", "deep,inner"}
 
 
 def test_consolidation(spark, sensors):

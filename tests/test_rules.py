@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.model import CheckerConfig, Requirement, Rule, RuleFunction
 from gaugeflow.operators import rules as ru
+from gaugeflow.operators import windows
 from gaugeflow.operators.rules import truthy
 from gaugeflow.sources import readings as rd
 
@@ -108,3 +109,39 @@ def test_many_rules(plant):
     values = [r.value for r in plant.where("sensor_id = 'temp'").collect()]
     want = {f"over_{t}": sum(v > 80 + t / 20 for v in values) for t in range(250)}
     assert found == {k: v for k, v in want.items() if v}
+
+
+def test_many_rules_compute_features_once(spark, data):
+    readings = rd.from_long(spark.read.parquet(f"{data}/events.parquet"), "event_type", "ts", "value", seq="event_id")
+    rules = [Rule(f"r{i}", (lambda k: lambda status: status.get("view", "5m:", "mean") > k)(i), "hit") for i in range(350)]
+    plan = ru.check(readings, rules, snapshot=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and plan.count("Union") == 0  # one for the row counts of sensors at most
+
+
+def test_no_rules_give_no_events(spark):
+    readings = rd.from_long(spark.createDataFrame([("a", 1, 2.0)], "sensor_id string, ts int, value double").selectExpr("sensor_id", "timestamp_seconds(ts) AS ts", "value"))
+    none = spark.createDataFrame([], "rule_id bigint, rule_name string, sensor_id string, time_expression string, statistic string, op string, threshold double, result string")
+    for got in (ru.check(readings, []), ru.check_rows(readings, none), ru.check(readings, [], snapshot=False)):
+        assert got.columns == ru.EVENT and got.count() == 0
+
+
+def test_readings_of_one_instant_stay_apart(spark):
+    rows = spark.createDataFrame([("a", 60, 5.0), ("a", 60, 9.0), ("b", 60, 1.0), ("a", 120, 7.0)], "sensor_id string, ts int, value double")
+    readings = rd.from_long(rows.selectExpr("sensor_id", "timestamp_seconds(ts) AS ts", "value"))
+    assert rd.repeated(readings).count() == 0
+    low = Rule("low", lambda status: status.get("a", "0") < 8, "low")
+    for align in (True, False):
+        assert sorted(r.seq for r in ru.check(readings, [low], align=align).collect()) == [0, 0]
+    both = Rule("both", lambda status: (status.get("a", "0") > 0) & (status.get("a", "10m:", "count") == 2), "x")
+    assert ru.check(readings, [both]).count() == 1
+    named = rd.from_long(rows.selectExpr("sensor_id", "timestamp_seconds(ts) AS ts", "value", "0 AS s"), seq="s")
+    assert [(r.sensor_id, r.readings) for r in rd.repeated(named).collect()] == [("a", 2)]
+
+
+def test_lookbacks_have_no_bound_unless_asked(spark):
+    rows = spark.range(3000).selectExpr("'a' AS sensor_id", "timestamp_seconds(id * 60) AS ts", "CAST(id AS DOUBLE) AS value")
+    req = Requirement("a", "2d")
+    got = windows.features(rd.from_long(rows), [req]).where("value = 2999").first()
+    assert got[req.series] == 2999 - 2880
+    bound = windows.features(rd.from_long(rows), [req], CheckerConfig(max_history_buffer_size=1440)).where("value = 2999").first()
+    assert bound[req.series] is None
