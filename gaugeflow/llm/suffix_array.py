@@ -9,11 +9,14 @@ sort is prepared by three cheaper rounds, each over what the one before left ope
 2. Surroundings. The bytes around an anchor that any window with this anchor can reach. A document whose anchor has
    the very surroundings that it has in a document with a smaller key loses them whole. What stays open are anchors
    that are the first of their surroundings, if the anchor has others elsewhere.
-3. The windows at those anchors. Per bucket they are sorted by most-significant-digit passes of 8 bytes; a group of one
-   is dropped after each pass, and the groups left at the full depth are exactly the repeated windows.
+3. The windows at those anchors. They are sorted by most-significant-digit passes of 8 bytes; a group of one is dropped
+   after each pass, and the groups left at the full depth are exactly the repeated windows. The surroundings of one
+   anchor hold all its windows in 76 bytes and go to one bucket; an anchor with more than MANY of them (a passage that a
+   good part of all documents hold) sends its distinct windows instead, each to the bucket of its own hash.
 
 In all rounds a block of documents sends one entry per distinct key, so a passage that is in a third of all documents is
-one entry per block. Hashes of rounds 1 and 2 have 64 bits; windows are compared by their bytes.
+one entry per block. Hashes of rounds 1 and 2 have 64 bits (40 where they only tell surroundings apart); windows are
+compared by their bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ from gaugeflow.llm import arrays, blocks
 THRESHOLD, ANCHOR = 50, 26
 REACH = THRESHOLD - ANCHOR  # a window starts at most this far before its anchor
 SPREAD = REACH + 1  # anchors are least among this many neighbours
-KEYS, AROUND, OTHERS, WINDOWS = 0, 1, 2, 3
+KEYS, AROUND, OTHERS, WINDOWS, PLACES = 0, 1, 2, 3, 4
+MANY = 4096
+ANCHORS_AT_ONCE = 4096
+WORK_BYTES = 1 << 19
 NEVER = np.iinfo(np.int64).max  # the key of documents without one: larger than all
 
 
@@ -55,7 +61,7 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, hash, row) of every anchor of the rows with at least THRESHOLD bytes."""
     found = [[], [], []]
-    for a, b in arrays.chunks(offsets):
+    for a, b in arrays.chunks(offsets, WORK_BYTES):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         if len(part) < THRESHOLD:
             continue
@@ -89,8 +95,9 @@ class Block:
         for bucket, a, b in blocks.dealt(ids, self.buckets):
             yield kind, bucket, blocks.squeezed(blocks.differences(ids[a:b]), *(v[a:b] for v in values))
 
-    def answer(self, kind: int, ids: np.ndarray) -> np.ndarray:
-        parts = [blocks.flags(self.told[kind, bucket], b - a) for bucket, a, b in blocks.dealt(ids, self.buckets)]
+    def answer(self, kind: int, ids: np.ndarray, each: int = 1, which: int = 0) -> np.ndarray:
+        """The answers to ids, one bit of each (of `each` that were told)."""
+        parts = [blocks.flags(self.told[kind, bucket], each * (b - a)).reshape(each, -1)[which] for bucket, a, b in blocks.dealt(ids, self.buckets)]
         return np.concatenate(parts) if parts else np.zeros(0, bool)
 
     def anchor_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,27 +130,38 @@ class Block:
         np.minimum.at(least, at, self.key[self.row])
         return own, at, least
 
-    def others(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, where each is, and the least and greatest of its surroundings."""
+    def others(self) -> tuple[np.ndarray, ...]:
+        """Distinct anchors, where each is, the least and greatest (40 bits) of its surroundings, and how often it is here."""
         own, at = np.unique(self.hash, return_inverse=True)
         low, high = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
-        np.minimum.at(low, at, self.around)
-        np.maximum.at(high, at, self.around)
-        return own, at, low, high
+        around = self.around >> np.uint64(24)
+        np.minimum.at(low, at, around)
+        np.maximum.at(high, at, around)
+        return own, at, low, high, np.minimum(np.bincount(at, minlength=len(own)), 65535).astype(np.uint16)
 
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which anchors lose their surroundings whole, and which are open: first of theirs, with others elsewhere."""
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which anchors lose their surroundings whole; which are open: first of theirs, with others elsewhere; which of those are MANY."""
         own, at, least = self.surroundings()
         whole = self.answer(AROUND, own)[at] | (self.key[self.row] > least[at])
-        names, place, _, _ = self.others()
-        return whole, ~whole & self.answer(OTHERS, names)[place]
+        names, place, *_ = self.others()
+        several, many = (self.answer(OTHERS, names, 2, i)[place] for i in (0, 1))
+        return whole, ~whole & several & ~many, ~whole & several & many
+
+    def places(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the open anchors: one of each distinct (anchor, surroundings), ascending by anchor, and which of those each open one is."""
+        at = np.flatnonzero(open_)
+        _, one, which = np.unique(self.around[at], return_index=True, return_inverse=True)
+        order = np.argsort(self.hash[at[one]], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return at[one[order]], place[which]
 
     def windows(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the windows at open anchors, their bytes' hash; distinct hashes, where each window is, the least key of each."""
         mark = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(mark, self.first[open_], 1)
         np.add.at(mark, self.last[open_] - THRESHOLD + 1, -1)
-        start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        start = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int32) > 0)
         row = np.searchsorted(self.offsets, start, "right") - 1
         hashed = np.zeros(len(start), np.uint64)
         for a in range(0, len(start), 1 << 14):
@@ -170,8 +188,8 @@ def _ask_around(buckets: int):
         block.keep_shared()
         own, _, least = block.surroundings()
         yield from block.ask(AROUND, own, least)
-        own, _, low, high = block.others()
-        yield from block.ask(OTHERS, own, low, high)
+        own, _, low, high, count = block.others()
+        yield from block.ask(OTHERS, own, low, low ^ high, count)
 
     return run
 
@@ -180,7 +198,15 @@ def _ask_windows(buckets: int):
     def run(table: pa.Table, told: blocks.Answers) -> Iterator[tuple[int, int, bytes]]:
         block = Block(table, told, buckets)
         block.keep_shared()
-        _, _, own, _, least, at = block.windows(block.settle()[1])
+        _, open_, many = block.settle()
+        one, _ = block.places(open_)
+        for bucket, a, b in blocks.dealt(block.hash[one], buckets):
+            some = one[a:b]
+            ahead, length = (block.position[some] - block.first[some]).astype(np.uint8), (block.last[some] - block.first[some]).astype(np.uint8)
+            text = b"".join(block.data[x:y].tobytes() for x, y in zip(block.first[some].tolist(), block.last[some].tolist()))
+            head = blocks.squeezed(blocks.differences(block.hash[some]), block.key[block.row[some]], ahead, length)
+            yield PLACES, bucket, np.int64(len(head)).tobytes() + head + zstandard.compress(text, 1)
+        _, _, own, _, least, at = block.windows(many)
         for bucket, a, b in blocks.dealt(own, buckets):
             text = block.data[at[a:b, None] + np.arange(THRESHOLD)]
             yield WINDOWS, bucket, zstandard.compress(np.int64(b - a).tobytes() + least[a:b].tobytes() + text.tobytes(), 1)
@@ -210,21 +236,58 @@ def radix_groups(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, group
 
 
+def _least_of_groups(windows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each window, whether an equal one has a smaller document."""
+    rows, group = radix_groups(windows)
+    told = np.zeros(len(least), bool)
+    if len(rows):
+        best = np.full(int(group.max()) + 1, NEVER)
+        np.minimum.at(best, group, least[rows])
+        told[rows] = best[group] < least[rows]
+    return told
+
+
+def _answer_places(payloads: list[bytes]) -> list[bytes]:
+    """For each anchor with its surroundings the windows that a smaller document has too: bit r for the one that starts r bytes before the anchor."""
+    heads, texts = [], []
+    for p in payloads:
+        size = int(np.frombuffer(p[:8], np.int64)[0])
+        heads.append(blocks.restored(p[8 : 8 + size], "u8", "i8", "u1", "u1"))
+        texts.append(zstandard.decompress(p[8 + size :]))
+    sizes = [len(h[0]) for h in heads]
+    name = np.concatenate([np.cumsum(h[0], dtype=np.uint64) for h in heads])
+    key, ahead, length = (np.concatenate(x) for x in list(zip(*heads))[1:])
+    ahead, length = ahead.astype(np.int64), length.astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum(length) - length
+    order = np.argsort(name, kind="stable")
+    masks = np.zeros(len(name), np.uint32)
+    cuts = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))  # an anchor's surroundings stay together
+    some = np.concatenate((cuts[np.unique(np.searchsorted(cuts, np.arange(0, len(name), ANCHORS_AT_ONCE), "right") - 1)], [len(name)]))
+    for a, b in zip(some[:-1], some[1:]):
+        part = order[a:b]
+        each = length[part] - THRESHOLD + 1
+        entry = np.repeat(part, each)
+        shift = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        windows = data[(begin[entry] + shift)[:, None] + np.arange(THRESHOLD)]
+        gone = _least_of_groups(windows, key[entry])
+        np.bitwise_or.at(masks, entry[gone], np.uint32(1) << (ahead[entry] - shift)[gone].astype(np.uint32))
+    cut = np.cumsum([0, *sizes])
+    return [blocks.squeezed(masks[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+
+
 def _answer(kind: int, payloads: list[bytes]) -> list[bytes]:
-    """One bit per entry of each block: the anchor is in two documents; a smaller document has it too; there are other surroundings."""
+    """Per entry of each block: the anchor is in two documents; a smaller document has it too; there are other surroundings, and MANY."""
+    if kind == PLACES:
+        return _answer_places(payloads)
     if kind == WINDOWS:
         opened = [zstandard.decompress(p) for p in payloads]
         sizes = [int(np.frombuffer(p[:8], np.int64)[0]) for p in opened]
         least = np.concatenate([np.frombuffer(p, np.int64, n, 8) for p, n in zip(opened, sizes)])
         text = np.concatenate([np.frombuffer(p, np.uint8, n * THRESHOLD, 8 + 8 * n).reshape(n, THRESHOLD) for p, n in zip(opened, sizes)])
-        rows, group = radix_groups(text)
-        told = np.zeros(len(least), bool)
-        if len(rows):
-            best = np.full(int(group.max()) + 1, NEVER)
-            np.minimum.at(best, group, least[rows])
-            told[rows] = best[group] < least[rows]
+        told = _least_of_groups(text, least)
     else:
-        kinds = {KEYS: ("u8", "u1"), AROUND: ("u8", "i8"), OTHERS: ("u8", "u8", "u8")}[kind]
+        kinds = {KEYS: ("u8", "u1"), AROUND: ("u8", "i8"), OTHERS: ("u8", "u8", "u8", "u2")}[kind]
         parts = [blocks.restored(p, *kinds) for p in payloads]
         sizes = [len(p[0]) for p in parts]
         own, at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
@@ -238,8 +301,10 @@ def _answer(kind: int, payloads: list[bytes]) -> list[bytes]:
         else:
             low, high = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
             np.minimum.at(low, at, values[0])
-            np.maximum.at(high, at, values[1])
-            told = (low != high)[at]
+            np.maximum.at(high, at, values[0] ^ values[1])
+            several, many = (low != high)[at], (np.bincount(at, weights=values[2]) > MANY)[at]
+            cut = np.cumsum([0, *sizes])
+            return [blocks.bits(np.concatenate((several[a:b], many[a:b]))) for a, b in zip(cut[:-1], cut[1:])]
     cut = np.cumsum([0, *sizes])
     return [blocks.bits(told[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
@@ -248,20 +313,28 @@ def _remove(buckets: int, as_text: bool):
     def run(table: pa.Table, told: blocks.Answers) -> pa.Table:
         block = Block(table, told, buckets)
         block.keep_shared()
-        whole, open_ = block.settle()
-        start, row, own, at, least, _ = block.windows(open_)
+        whole, open_, many = block.settle()
+        start, row, own, at, least, _ = block.windows(many)
         gone = (block.answer(WINDOWS, own)[at] | (block.key[row] > least[at])) if len(own) else np.zeros(0, bool)
         mark = np.zeros(len(block.data) + 1, np.int32)
         np.add.at(mark, np.concatenate((block.first[whole], start[gone])), 1)
         np.add.at(mark, np.concatenate((block.last[whole], start[gone] + THRESHOLD)), -1)
-        removed = np.cumsum(mark[:-1]) > 0
+        one, which = block.places(open_)
+        if len(one):
+            masks = np.concatenate([blocks.restored(told[PLACES, bucket], "u4")[0] for bucket, _, _ in blocks.dealt(block.hash[one], buckets)])[which]
+            position = block.position[open_]
+            for r in range(SPREAD):
+                start = position[(masks >> np.uint32(r)) & np.uint32(1) == 1] - r
+                np.add.at(mark, start, 1)
+                np.add.at(mark, start + THRESHOLD, -1)
+        removed = np.cumsum(mark[:-1], dtype=np.int32) > 0
         spans = arrays.runs(removed, block.offsets)
         rows = table.num_rows
         per_row = np.concatenate(([0], np.cumsum(np.bincount(spans.doc, minlength=rows)))).astype(np.int32)
         begin = block.offsets[spans.doc]
         pairs = pa.StructArray.from_arrays([pa.array(spans.start - begin), pa.array(spans.end - begin)], ["start", "end"])
         kept = block.data[~removed]
-        total = np.concatenate(([0], np.cumsum(~removed)))
+        total = np.concatenate(([0], np.cumsum(~removed, dtype=np.int32)))
         offsets = total[block.offsets]
         if as_text:
             texts = pa.array([kept[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
@@ -274,7 +347,7 @@ def _remove(buckets: int, as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("*",), as_text: bool = False, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("*",), as_text: bool = False, block_bytes: int = blocks.BLOCK_BYTES // 2) -> DataFrame:
     """Every document: `row` (a struct of the columns named in carry; by default all but the text), `n_bytes`, `spans` removed (byte ranges), `kept`.
 
     A byte goes if a THRESHOLD-byte string that covers it also starts in a document with a smaller key; strings never
