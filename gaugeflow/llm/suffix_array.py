@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ REACH = THRESHOLD - ANCHOR  # a window starts at most this far before its anchor
 SPREAD = REACH + 1  # anchors are least among this many neighbours
 KEYS, AROUND, OTHERS, WINDOWS, PLACES = 0, 1, 2, 3, 4
 MANY = 4096
-ANCHORS_AT_ONCE = 4096
+ANCHORS_AT_ONCE = 1024
 WORK_BYTES = 1 << 19
+HASHED_AT_ONCE = 1 << 12
 NEVER = np.iinfo(np.int64).max  # the key of documents without one: larger than all
 
 
@@ -118,10 +120,11 @@ class Block:
         for name in ("position", "hash", "row", "first", "last"):
             setattr(self, name, getattr(self, name)[wide])
         around = np.zeros(len(self.hash), np.uint64)
-        for a in range(0, len(around), 1 << 14):
-            b = a + (1 << 14)
+        for a in range(0, len(around), HASHED_AT_ONCE):
+            b = a + HASHED_AT_ONCE
             around[a:b] = arrays.hashes(self.data, arrays.Spans(self.first[a:b], self.last[a:b], self.row[a:b]))
-        self.around = arrays.mixed(around + self.hash)
+        # The anchor's place counts: in a run of one byte, equal surroundings may hold it at different places.
+        self.around = arrays.mixed(around + self.hash + (self.position - self.first).astype(np.uint64) * arrays.MULTIPLIER)
 
     def surroundings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (anchor, surroundings), where each anchor is among them, and the least document key of each."""
@@ -164,8 +167,8 @@ class Block:
         start = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int32) > 0)
         row = np.searchsorted(self.offsets, start, "right") - 1
         hashed = np.zeros(len(start), np.uint64)
-        for a in range(0, len(start), 1 << 14):
-            b = a + (1 << 14)
+        for a in range(0, len(start), HASHED_AT_ONCE):
+            b = a + HASHED_AT_ONCE
             hashed[a:b] = arrays.hashes(self.data, arrays.Spans(start[a:b], start[a:b] + THRESHOLD, row[a:b]))
         own, one, at = np.unique(hashed, return_index=True, return_inverse=True)
         least = np.full(len(own), NEVER)
@@ -355,11 +358,11 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     characters that a removed span cuts. Keys are integers; a null key is larger than all others, so its document loses
     what others have and takes from none. Rows with equal keys take nothing from each other. Null and empty texts have no
     bytes and lose none. Texts of any length are read whole; empty input gives no rows; other columns stay in `row`.
-    The packed blocks stay persisted for the result; spark.catalog.clearCache() releases them.
+    The packed blocks stay persisted for the result, until blocks.release(spark).
     """
     carry = tuple(c for c in docs.columns if c != text) if carry == ("*",) else carry
     columns = [F.struct(*carry).alias("row"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")]
-    packed = blocks.packed(docs, columns, block_bytes)
+    packed = blocks.packed(docs, columns, block_bytes, StorageLevel.DISK_ONLY)
     buckets = blocks.bucket_count(packed)
     one = blocks.answered(blocks.asked(packed, _ask_keys(buckets)), _answer)
     two = one.unionByName(blocks.answered(blocks.asked(packed, _ask_around(buckets), one), _answer))

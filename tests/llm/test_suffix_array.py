@@ -30,7 +30,9 @@ def found(docs, **options):
 
 
 @pytest.mark.parametrize("block_bytes", [200, 4000, 8 << 20])
-def test_all_windows(odd, block_bytes):
+@pytest.mark.parametrize("many", [1, 4096])
+def test_all_windows(odd, block_bytes, many, monkeypatch):
+    monkeypatch.setattr(suffix_array, "MANY", many)
     assert found(odd, block_bytes=block_bytes) == expected(odd_rows())
 
 
