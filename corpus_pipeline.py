@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import bpe, mixing, quality_model, simhash, suffix_array
+from gaugeflow.llm import blocks, bpe, mixing, quality_model, simhash, suffix_array
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.llm.shared import stored
 
@@ -46,8 +46,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers), and whether decoding gives the text back."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs, path=path, pattern=public_tokenizers.PATTERN, carry=("doc_id", "source", "text"))
-    same = bpe.decode(F.col("ids"), path=path) == F.coalesce("text", F.lit("")).cast("binary")
+    hashed = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    encoded = bpe.encode(hashed, path=path, pattern=public_tokenizers.PATTERN, carry=("doc_id", "source", "sha"))
+    same = F.sha2(bpe.decode(F.col("ids"), path=path), 256) == F.col("sha")
     return encoded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
@@ -67,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        blocks.release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import arrays
@@ -50,14 +50,26 @@ def _packer(block_bytes: int):
     return run
 
 
-def packed(docs: DataFrame, columns: list, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def packed(docs: DataFrame, columns: list, block_bytes: int = BLOCK_BYTES, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """(block, payload): the given columns, the text last, of consecutive documents of about block_bytes of text.
 
     Blocks are dealt by their number and kept (in memory or on disk), so that every later question finds them in place;
-    a lost one is packed again from the same rows. The caller releases them with unpersist().
+    a lost one is packed again from the same rows. release(spark) gives them up, once what was made of them is written.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(*columns).mapInArrow(_packer(block_bytes), "block long, payload binary").repartition(parts, "block").persist()
+    blocks = docs.select(*columns).mapInArrow(_packer(block_bytes), "block long, payload binary").repartition(parts, "block").persist(level)
+    _held(docs.sparkSession).append(blocks)
+    return blocks
+
+
+def _held(spark: SparkSession) -> list[DataFrame]:
+    return vars(spark.sparkContext).setdefault("gaugeflow_blocks", [])  # not in a module: functions are pickled with theirs
+
+
+def release(spark: SparkSession) -> None:
+    """Give up the blocks of all operators whose results are no longer to be computed."""
+    while held := _held(spark):
+        held.pop().unpersist()
 
 
 def unpacked(payload: pa.Scalar | bytes) -> pa.Table:

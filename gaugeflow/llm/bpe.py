@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm import arrays
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
 # White_Space of Unicode, spelled out: regex libraries differ in what \s holds.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,7 +102,8 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
                 heapq.heappush(queue, r)
 
     inner = np.flatnonzero(after >= 0).astype(np.int32)
-    rank[inner] = vocab.merge(token[inner], token[inner + 1])
+    for part in np.array_split(inner, max(1, len(inner) >> 18)):
+        rank[part] = vocab.merge(token[part], token[part + 1])
     post(inner)
     while queue:
         r = heapq.heappop(queue)
@@ -178,7 +179,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text", carr
 
     Each match of pattern is encoded on its own by the ranks in the file at path; no special tokens. Null and empty
     texts have no ids. Texts of any length are encoded whole; equal texts get equal ids; repeated rows stay; empty input
-    gives no rows. The distinct words of a block of about 16 MB of text are in memory at a time.
+    gives no rows. The distinct words of a block of about 4 MB of text are in memory at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
