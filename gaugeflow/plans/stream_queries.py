@@ -23,11 +23,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{layout.reliable_dir(spark)}/{name}-{uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    rows = rd.stream(spark, folder, schema, pathGlobFilter="events.parquet")
-    value = F.expr("if(event_id % 11 = 0, null, value)")
-    return rd.from_long(rows.withColumn("value", value), "event_type", "ts", "value", seq="event_id")
+FILES = 4
+
+
+def event_stream(spark: SparkSession, folder: str, assets: bool = False, where: str | None = None) -> DataFrame:
+    """The events table as a stream: its one file, or with ``where`` the FILES files it is cut into by time, one per batch."""
+    events = table(spark, folder, "events")
+    if where is None:
+        rows = rd.stream(spark, folder, events.schema, pathGlobFilter="events.parquet")
+    else:
+        low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+        place = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * FILES / F.lit(max(1, high - low))), F.lit(FILES - 1))
+        for number in range(FILES):  # one after the other: a file's age is its place in the stream
+            events.where(place == number).coalesce(1).write.mode("append").parquet(f"{where}/events")
+        rows = rd.stream(spark, f"{where}/events", events.schema, maxFilesPerTrigger=1)
+    rows = rows.withColumns({"value": F.expr("if(event_id % 11 = 0, null, value)"), "asset": F.col("user_id") % 10})
+    return rd.from_long(rows, "event_type", "ts", "value", "asset" if assets else None, seq="event_id")
 
 
 def drain(stream: DataFrame, where: str) -> DataFrame:
@@ -37,58 +48,59 @@ def drain(stream: DataFrame, where: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/out")
 
 
-# What the watermark, one hour behind the last event, has let through.
-PASSED = "ts_us <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events)"
+def drained(spark: SparkSession, where: str, readings: DataFrame, answer) -> DataFrame:
+    """What ``answer`` makes of the readings of a stream that ends: first its files, then what the watermark held back."""
+    beats = stateful.heartbeats(spark, f"{where}/beats")
+    answered = answer(stateful.timed(readings.unionByName(beats)))
+    drain(answered, where)
+    stateful.close(spark, f"{where}/beats")
+    return drain(answered, where)
 
 
 @query(
     "x01_stream_features",
-    f"""WITH {READINGS}, f AS (SELECT seq, sensor_id, ts_us, value, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS peak
+    f"""WITH {READINGS}, f AS (SELECT seq, sensor_id, value, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS peak
     FROM counted WINDOW w AS (PARTITION BY sensor_id ORDER BY {last(10)}))
-    SELECT seq, sensor_id, value, mean, peak FROM f WHERE {PASSED}""",
+    SELECT seq, sensor_id, value, mean, peak FROM f""",
 )
 def stream_features(spark: SparkSession, folder: str) -> DataFrame:
     asked = [Requirement("any", "0"), Requirement("any", "10m:", "mean"), Requirement("any", "10m:", "max")]
-    stream = stateful.status_stream(stateful.timed(event_stream(spark, folder)), asked, delay="1 hour", by_sensor=True)
-    out = drain(stream, work_dir(spark, "features"))
+    where = work_dir(spark, "features")
+    readings = event_stream(spark, folder, where=where)
+    out = drained(spark, where, readings, lambda r: stateful.status_stream(r, asked, delay="1 hour", by_sensor=True))
     return out.select(
         "seq", "sensor_id", F.col("`0`").alias("value"), F.round("`10m:@mean`", 6).alias("mean"), F.col("`10m:@max`").alias("peak")
     )
 
 
-@query(
-    "x02_stream_status",
-    f"""WITH {FRAME}, timed AS (SELECT *, epoch_us(ts) AS ts_us FROM status)
-    SELECT seq, round(view_mean, 6) AS view_mean, error_max FROM timed WHERE {PASSED}""",
-)
+# The same side by side, for each of ten assets by itself.
+ASSET_FRAME = FRAME.replace("event_id AS seq, ts,", "event_id AS seq, ts, user_id % 10 AS asset,").replace("OVER (ORDER BY", "OVER (PARTITION BY asset ORDER BY")
+
+
+@query("x02_stream_status", f"WITH {ASSET_FRAME} SELECT seq, round(view_mean, 6) AS view_mean, error_max FROM status")
 def stream_status(spark: SparkSession, folder: str) -> DataFrame:
     _, asked = TOGETHER.compile()
-    stream = stateful.status_stream(stateful.timed(event_stream(spark, folder)), asked, delay="1 hour")
-    out = drain(stream, work_dir(spark, "status"))
+    where = work_dir(spark, "status")
+    out = drained(spark, where, event_stream(spark, folder, True, where), lambda r: stateful.status_stream(r, asked, delay="1 hour"))
     return out.select("seq", F.round("`view|10m:@mean`", 6).alias("view_mean"), F.col("`error|10m:@max`").alias("error_max"))
 
 
-@query(
-    "x03_stream_rules",
-    f"""WITH {FRAME}, timed AS (SELECT *, epoch_us(ts) AS ts_us FROM status)
-    SELECT seq, 'view_and_error' AS rule_name FROM timed WHERE {CONDITION['view_and_error']} AND {PASSED}""",
-)
+@query("x03_stream_rules", f"WITH {ASSET_FRAME} SELECT seq, 'view_and_error' AS rule_name FROM status WHERE {CONDITION['view_and_error']}")
 def stream_rules(spark: SparkSession, folder: str) -> DataFrame:
     predicate, asked = TOGETHER.compile()
-    status = stateful.status_stream(stateful.timed(event_stream(spark, folder)), asked, delay="1 hour")
-    fired = ru.events(ru.fired(status, [(TOGETHER, predicate)]))
-    return drain(fired, work_dir(spark, "rules")).select("seq", "rule_name")
+    where = work_dir(spark, "rules")
 
+    def answer(readings: DataFrame) -> DataFrame:
+        return ru.events(ru.fired(stateful.status_stream(readings, asked, delay="1 hour"), [(TOGETHER, predicate)]))
 
-@query(
-    "x04_stream_events",
-    EVENTS_SQL
-    + f""", timed AS (SELECT *, epoch_us(ts) AS ts_us FROM fired)
-    SELECT seq, rule_name, result FROM timed WHERE ts_us <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""",
-)
+    return drained(spark, where, event_stream(spark, folder, True, where), answer).select("seq", "rule_name")
+
+
+@query("x04_stream_events", EVENTS_SQL + "SELECT seq, rule_name, result FROM fired")
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     where = work_dir(spark, "events")
-    microbatch.start(event_stream(spark, folder), DEMO, where, delay="1h").awaitTermination()
+    microbatch.start(event_stream(spark, folder, where=f"{where}/in"), DEMO, where, delay="1h").awaitTermination()
+    microbatch.finish(spark, DEMO, where, delay="1h")
     return spark.read.parquet(f"{where}/events").select("seq", "rule_name", "result")
 
 

@@ -16,43 +16,57 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from gaugeflow.model import CheckerConfig, Requirement
 from gaugeflow.operators.windows import Series, resolve
 
+BEAT = "asset string, sensor_id string, ts timestamp, ts_us bigint, seq bigint, value double"
 STATE = "sensors array<string>, history array<array<double>>, wait_ts array<bigint>, wait_seq array<bigint>, wait_sensor array<string>, wait_value array<double>"
 
 
+# Cells of the windows that are laid side by side at a time.
+WINDOW_CELLS = 1 << 20
+
+
 def rolled(samples: np.ndarray, series: Series, quantile: float) -> np.ndarray:
-    """The statistic of the window ending at each sample."""
-    window = pd.Series(samples).rolling(series.start - series.end, min_periods=1)
-    match series.statistic:
+    """The statistic of the window ending at each sample, each window on its own: nothing is carried from one to the next."""
+    width = series.start - series.end
+    padded = np.concatenate([np.full(width - 1, np.nan), samples])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, width) if len(samples) else np.empty((0, width))
+    step = max(1, WINDOW_CELLS // width)
+    parts = [_over(windows[at : at + step], series.statistic, quantile) for at in range(0, len(windows), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def _over(windows: np.ndarray, statistic: str | None, quantile: float) -> np.ndarray:
+    match statistic:
         case "mean":
-            out = window.mean()
+            return np.nanmean(windows, axis=1)
         case "sum":
-            out = window.sum()
+            return np.nansum(windows, axis=1)
         case "count":
-            out = window.count()
+            return (~np.isnan(windows)).sum(axis=1).astype(float)
         case "max":
-            out = window.max()
+            return np.nanmax(windows, axis=1)
         case "min":
-            out = window.min()
+            return np.nanmin(windows, axis=1)
         case "abs_max":
-            out = pd.Series(np.abs(samples)).rolling(series.start - series.end, min_periods=1).max()
-        case "variance":
-            out = window.var()
-        case "std":
-            out = window.std()
+            return np.nanmax(np.abs(windows), axis=1)
+        case "variance" | "std":
+            count = (~np.isnan(windows)).sum(axis=1)
+            squares = np.nansum((windows - np.nanmean(windows, axis=1, keepdims=True)) ** 2, axis=1)
+            out = np.where(count > 1, squares / np.maximum(count - 1, 1), np.nan)
+            return np.sqrt(out) if statistic == "std" else out
         case "quantile":
-            out = window.quantile(quantile)
+            return np.nanquantile(windows, quantile, axis=1)
         case "iqr":
-            out = window.quantile(0.75) - window.quantile(0.25)
+            low, high = np.nanquantile(windows, [0.25, 0.75], axis=1)
+            return high - low
         case _:
-            out = window.apply(lambda part: pd.Series(part).mode().iloc[0], raw=True)
-    return out.to_numpy()
+            return np.array([pd.Series(w).mode().iloc[0] for w in windows])
 
 
 def values_at(samples: np.ndarray, seen: np.ndarray, now: np.ndarray, series: Series, config: CheckerConfig) -> np.ndarray:
@@ -64,11 +78,14 @@ def values_at(samples: np.ndarray, seen: np.ndarray, now: np.ndarray, series: Se
         return out
     place = seen - 1 - series.end
     known = place >= 0
+    if series.kind == "window":
+        known &= seen >= config.min_samples + series.end
     if known.any():
         base = samples if series.kind == "lookback" else rolled(samples, series, config.quantile)
         out[known] = base[place[known]]
     zero = series.statistic == "count" or (config.warmup == "zero" and series.statistic in ("mean", "variance", "std", "sum"))
-    return np.nan_to_num(out) if series.kind == "window" and zero else out
+    early = series.kind == "window" and config.min_samples > 1 and seen < config.min_samples + series.end
+    return np.where(early, np.nan, np.nan_to_num(out)) if series.kind == "window" and zero else out
 
 
 def status_stream(
@@ -81,14 +98,17 @@ def status_stream(
     """Append-only stream of moments with one column per requirement.
 
     ``readings`` is the canonical long shape with ``event_time`` a timestamp. With ``by_sensor``
-    state is kept per (asset, sensor), and columns are series of the row's own sensor.
+    state is kept per (asset, sensor), and columns are series of the row's own sensor. State counts
+    samples; windows by the clock need ``microbatch``.
     """
+    if config.mode != "samples":
+        raise ValueError("state is kept in samples; use microbatch for windows by the clock")
     resolved = {r: resolve(r, config) for r in requirements}
     names = list(dict.fromkeys((r.series if by_sensor else r.name) for r in requirements))
     keys = ["asset", "sensor_id"] if by_sensor else ["asset"]
     plan = [(r.series if by_sensor else r.name, r.sensor_id, s) for r, s in resolved.items()]
     plan = list({p[0]: p for p in plan}.values())
-    reach = max([s.start for s in resolved.values()] + [1]) + 1
+    reach = max([s.start for s in resolved.values()] + [1]) + max(1, config.min_samples)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         history: dict[str, list] = {}
@@ -146,6 +166,22 @@ def status_stream(
     return out.withColumns(nulled).withColumn("ts", F.timestamp_micros("ts_us"))
 
 
+def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the readings that ``close`` puts into ``folder``: union it with the readings of a stream that will end."""
+    spark.createDataFrame([], BEAT).coalesce(1).write.mode("append").parquet(folder)  # the folder must be there
+    return spark.readStream.schema(BEAT).parquet(folder)
+
+
+def close(spark: SparkSession, folder: str, asset: str = "", at_us: int = 4_000_000_000_000_000) -> None:
+    """Let the watermark pass everything: one reading of no sensor, far in the future, which itself is never answered.
+
+    Without it the rows of the last ``delay`` of a stream that ends stay in state for ever.
+    """
+    row = [(asset, "", at_us, 0, None)]
+    beat = spark.createDataFrame(row, "asset string, sensor_id string, ts_us bigint, seq bigint, value double")
+    beat.select("asset", "sensor_id", F.timestamp_micros("ts_us").alias("ts"), "ts_us", "seq", "value").coalesce(1).write.mode("append").parquet(folder)
+
+
 def timed(readings: DataFrame) -> DataFrame:
     """Canonical readings with the timestamp column a watermark needs."""
     return readings.withColumn("event_time", F.timestamp_micros("ts_us"))

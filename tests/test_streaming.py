@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from model import alike
 
-from gaugeflow.model import Requirement, Rule
+from gaugeflow.model import CheckerConfig, Requirement, Rule
 from gaugeflow.operators import rules as ru
 from gaugeflow.operators import windows
 from gaugeflow.sources import readings as rd
@@ -110,3 +110,48 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/events").count() == once
     with pytest.raises(RuntimeError):
         handle(parts[1], 5)
+
+
+@pytest.mark.parametrize("statistic", ["mean", "std", "variance", "sum", "max", "min", "abs_max", "count", "quantile", "iqr", "mode"])
+def test_state_equals_batch_for_every_statistic_and_min_samples(spark, tmp_path, statistic):
+    data = [r for r in rows(60) if r[0] == "x"]
+    data[20] = (*data[20][:4], 1e9)  # a sum kept running would not forget it
+    asked = [Requirement("a", "5m:", statistic), Requirement("b", "9m:2m", statistic)]
+    config = CheckerConfig(min_samples=20)
+    beats = str(tmp_path / "beats")
+    readings = stream(spark, batches(spark, tmp_path, data)).unionByName(stateful.heartbeats(spark, beats))
+    out = stateful.status_stream(stateful.timed(readings), asked, config, delay="10 minutes")
+    for _ in range(2):
+        query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        stateful.close(spark, beats)
+    got = spark.read.parquet(str(tmp_path / "o"))
+    want = ru.status_table(batch(spark, data), asked, config)
+    names = ["asset", "ts_us", "seq", *[r.name for r in asked]]
+    pick = lambda df: sorted(tuple(None if v is None else round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*[f"`{n}`" for n in names]).collect())
+    assert len(pick(got)) == want.count() and [str(r) for r in pick(got)] == [str(r) for r in pick(want)]
+
+
+def test_state_refuses_the_clock(spark, tmp_path):
+    with pytest.raises(ValueError):
+        stateful.status_stream(stateful.timed(batch(spark, rows(3))), ASKED, CheckerConfig(mode="time"))
+
+
+@pytest.mark.parametrize("config", [CheckerConfig(min_samples=20), CheckerConfig(mode="time"), CheckerConfig(mode="time", min_samples=1, end_offset="ignore")])
+def test_micro_batches_equal_batch_to_the_last_row(spark, tmp_path, config):
+    data = rows(60)
+    folder = str(tmp_path / "out")
+    source = stream(spark, batches(spark, tmp_path, data, count=4))
+    microbatch.start(source, RULES, folder, config=config, delay="10m").awaitTermination()
+    microbatch.finish(spark, RULES, folder, config=config, delay="10m")
+    pick = lambda df: sorted((r.asset, str(r.timestamp), r.seq, r.rule_name) for r in df.collect())
+    want = pick(ru.check(batch(spark, data), RULES, config))
+    assert want and pick(spark.read.parquet(f"{folder}/events")) == want
+
+
+def test_rows_without_a_time_are_counted(spark, tmp_path):
+    folder = str(tmp_path)
+    process = microbatch.handler(RULES, folder, delay="1m")
+    data = batch(spark, [("x", "a", MINUTE, 0, 1.0), ("x", "a", None, 0, 1.0)])
+    process(data, 0)
+    assert spark.read.schema(microbatch.PROGRESS).json(f"{folder}/slot0/progress").first().late == 1
