@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm import blocks, bpe, mixing, quality_model, simhash, suffix_array
 from gaugeflow.llm.sampling import crc_part
-from gaugeflow.llm.shared import stored
+from gaugeflow.llm.shared import small_batches, stored
 
 LEAST_QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose passages score at least LEAST_QUALITY; the model learns from the labels of rows that are not held out."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_part(F.col("doc_id"), 4) != 2)
     told = quality_model.score(docs, quality_model.fit(docs, labels), carry=("*",))
     return told.where(F.col("score") >= LEAST_QUALITY).select("row.*")
@@ -27,12 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints within two bits: the one with the smallest id (of repeated rows, one)."""
+    small_batches(spark)
     told = simhash.near_duplicates(docs, shingle=3, max_bits=2)
     return told.where(F.col("row.doc_id").eqNullSafe(F.col("component"))).dropDuplicates(["root"]).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 50-byte strings that start in a document with a smaller id; a null text becomes empty."""
+    small_batches(spark)
     told = suffix_array.remove_repeats(docs, as_text=True)
     changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return told.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
@@ -45,6 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers), and whether decoding gives the text back."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     hashed = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     encoded = bpe.encode(hashed, path=path, pattern=public_tokenizers.PATTERN, carry=("doc_id", "source", "sha"))

@@ -136,6 +136,7 @@ def _each(blocks: DataFrame, work: Callable[[int, pa.Table, Answers], pa.Table],
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist()), right.column("payload").to_pylist()))
+        pa.default_memory_pool().release_unused()
         parts = [work(block, unpacked(payload), told) for block, payload in zip(left.column("block").to_pylist(), left.column("payload").combine_chunks())]
         return pa.concat_tables(parts) if parts else empty
 
@@ -162,6 +163,7 @@ def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[byt
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         told = answer(kind, table.column("payload").to_pylist())
+        pa.default_memory_pool().release_unused()
         return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(told, pa.binary())).select(["kind", "bucket", "block", "payload"])
 
     return questions.groupBy("kind", "bucket").applyInArrow(run, ASKED).checkpoint()

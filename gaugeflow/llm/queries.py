@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm import bpe, exact_topk, html_text, language, language_model, mixing, quality_model, quality_rules, simhash, suffix_array
 from gaugeflow.llm.sampling import crc_part
+from gaugeflow.llm.shared import small_batches
 from gaugeflow.operators.layout import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
