@@ -6,12 +6,11 @@ are ordered newest first with the id as tie-break.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.model import LIFECYCLE_STATUSES, SENSOR_STATUSES, TIME_STATUSES, VERIFICATION_STATUSES
+from gaugeflow.operators import layout
 
 PAGE = 100
 PAGE_MAX = 1000
@@ -205,31 +204,52 @@ def new_collections(collections: DataFrame, wanted: DataFrame) -> DataFrame:
     return free.withColumn("slug", slug)
 
 
+# Which rows go with which, by key; and keys that are set to null instead.
+CASCADES = {
+    "documents": {"collection_id": "collections"},
+    "sensors": {"collection_id": "collections"},
+    "processing_jobs": {"collection_id": "collections"},
+    "consolidation_jobs": {"collection_id": "collections", "processing_job_id": "processing_jobs"},
+    "chunks": {"document_id": "documents"},
+    "processing_tasks": {"job_id": "processing_jobs", "chunk_id": "chunks"},
+    "rules": {"collection_id": "collections", "document_id": "documents", "chunk_id": "chunks", "task_id": "processing_tasks"},
+    "rule_context_chunks": {"rule_id": "rules", "chunk_id": "chunks"},
+    "rule_grounding_searches": {"rule_id": "rules"},
+}
+LOOSENED = {"rules": {"consolidation_job_id": "consolidation_jobs"}}
+HAVE_CHILDREN = {parent for keys in [*CASCADES.values(), *LOOSENED.values()] for parent in keys.values()}
+
+
 def delete_collections(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables without the collections in ``ids`` and everything below them.
 
-    A child goes when its parent is gone. Keys are named by the parent: collection_id,
-    document_id, chunk_id, job_id, task_id, rule_id.
+    A row goes when one of its parents goes; a rule that stays forgets a consolidation job that
+    went; a null key has no parent. What travels down is the removed ids, each level's written once
+    to the shared folder, so a table is read for its keys and once more for what stays of it.
     """
-    parents = {
-        "documents": {"collection_id": "collections"},
-        "sensors": {"collection_id": "collections"},
-        "processing_jobs": {"collection_id": "collections"},
-        "chunks": {"document_id": "documents"},
-        "processing_tasks": {"job_id": "processing_jobs", "chunk_id": "chunks"},
-        "rules": {"collection_id": "collections", "document_id": "documents", "chunk_id": "chunks", "task_id": "processing_tasks"},
-        "rule_context_chunks": {"rule_id": "rules", "chunk_id": "chunks"},
-        "rule_grounding_searches": {"rule_id": "rules"},
-    }
-    left = {"collections": tables["collections"].join(ids.select("id"), "id", "left_anti")}
-    for name, keys in parents.items():
+    gone = {"collections": ids.select("id")}
+    left = {"collections": tables["collections"].join(gone["collections"], "id", "left_anti")}
+
+    def marked(rows: DataFrame, keys: dict[str, str]) -> tuple[DataFrame, Column, list[str]]:
+        known = {key: parent for key, parent in keys.items() if parent in gone and key in rows.columns}
+        dead = F.lit(False)
+        for key, parent in known.items():
+            rows = rows.join(gone[parent].select(F.col("id").alias(key), F.lit(True).alias(f"_gone_{key}")), key, "left")
+            dead = dead | F.coalesce(f"_gone_{key}", F.lit(False))
+        return rows, dead, [f"_gone_{key}" for key in known]
+
+    for name, keys in CASCADES.items():
         if name not in tables:
             continue
-        rows = tables[name]
-        for key, parent in keys.items():
-            if parent in left and key in rows.columns:
-                rows = rows.join(left[parent].select(F.col("id").alias(key)), key, "left_semi")
-        left[name] = rows
+        order = tables[name].columns
+        rows, dead, _ = marked(tables[name], keys)
+        if name in HAVE_CHILDREN:
+            gone[name] = layout.stored(rows.where(dead).select("id"), f"gone-{name}")
+        rows = rows.where(~dead)
+        for key, parent in LOOSENED.get(name, {}).items():
+            rows, lost, marks = marked(rows, {key: parent})
+            rows = rows.withColumn(key, F.when(~lost, F.col(key))) if marks else rows
+        left[name] = rows.select(*[f"`{c}`" for c in order])
     return left
 
 
@@ -271,20 +291,26 @@ def job_progress(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     return joined.withColumns({"status": status, "progress_percentage": progress}).drop("running")
 
 
-def latest_status(changes: DataFrame, key: str, at: str = "at") -> DataFrame:
+def latest_status(changes: DataFrame, key: str, at: str = "at", tie: str | None = None) -> DataFrame:
     """State of each key from its log of changes (status, at, error?, result?).
 
-    The last change wins; it started at its first running change and ended at its last final one.
+    The last change wins, and of changes at one time the one with the greatest ``tie``; without a
+    tie column the greatest status decides, so the answer does not depend on the order of rows. It started at its first running change and ended at its last final one.
     """
     final = F.col("status").isin("completed", "failed")
+
+    def order(value: Column) -> Column:
+        return F.struct(F.col(at), value if tie is None else F.col(tie))
+
     columns = [
-        F.max_by("status", at).alias("status"),
+        F.max_by("status", order(F.col("status"))).alias("status"),
+        F.max(at).alias("last_change"),
         F.min(F.when(F.col("status") == "running", F.col(at))).alias("started_at"),
         F.max(F.when(final, F.col(at))).alias("completed_at"),
     ]
     for kept in ("error", "result"):
         if kept in changes.columns:
-            columns.append(F.max(F.when(F.col(kept).isNotNull(), F.struct(at, kept)))[kept].alias(kept))
+            columns.append(F.max_by(kept, F.when(F.col(kept).isNotNull(), order(F.col(kept)))).alias(kept))
     return changes.groupBy(key).agg(*columns)
 
 
@@ -295,9 +321,7 @@ def durations(jobs: DataFrame) -> DataFrame:
 
 
 def finalize_job(jobs: DataFrame, job_id: int, summary: DataFrame, at: Column | None = None) -> DataFrame:
-    """Jobs with the counters of one consolidation, a table of one row, written into its row."""
-    row = summary.first().asDict()
-    here = F.col("id") == job_id
+    """Jobs with the counters of one consolidation, a table of one row, joined into its row."""
     names = {
         "input_rules_count": "input_count",
         "output_rules_count": "output_count",
@@ -305,11 +329,13 @@ def finalize_job(jobs: DataFrame, job_id: int, summary: DataFrame, at: Column |
         "rules_merged": "merge_count",
         "rules_simplified": "simplify_count",
     }
-    new = {target: F.when(here, F.lit(row[source]).cast("bigint")).otherwise(F.col(target)) for target, source in names.items()}
-    new["consolidation_summary"] = F.when(here, F.lit(json.dumps(row))).otherwise(F.col("consolidation_summary"))
+    told = summary.select(F.lit(job_id).cast(jobs.schema["id"].dataType).alias("id"), F.struct("*").alias("_told"), F.to_json(F.struct("*")).alias("_text"))
+    here = F.col("_text").isNotNull()
+    new = {target: F.when(here, F.col("_told")[source].cast("bigint")).otherwise(F.col(target)) for target, source in names.items()}
+    new["consolidation_summary"] = F.coalesce("_text", "consolidation_summary")
     new["status"] = F.when(here, F.lit("completed")).otherwise(F.col("status"))
     new["completed_at"] = F.when(here, F.current_timestamp() if at is None else at).otherwise(F.col("completed_at"))
-    return jobs.withColumns(new)
+    return jobs.join(F.broadcast(told), "id", "left").withColumns(new).drop("_told", "_text")  # one row is broadcast
 
 
 # Sensors

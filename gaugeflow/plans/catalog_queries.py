@@ -392,15 +392,12 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"""
 @query(
     "c20_latest_status",
     f"""WITH changes AS ({plain(CHANGES)}) SELECT job_id, max(changed) AS last_change, min(changed) FILTER (status = 'running') AS started_at,
-    max(changed) FILTER (status IN ('completed', 'failed')) AS completed_at, arg_max(status, line) AS status, arg_max(error, line) FILTER (error IS NOT NULL) AS error
+    max(changed) FILTER (status IN ('completed', 'failed')) AS completed_at, last(status ORDER BY changed, line) AS status, last(error ORDER BY changed, line) FILTER (error IS NOT NULL) AS error
     FROM changes GROUP BY job_id""",
 )
 def latest_status(spark: SparkSession, folder: str) -> DataFrame:
     changes = derived(spark, folder, CHANGES, "lineitem", "orders")
-    by_time = ct.latest_status(changes, "job_id", "changed").select("job_id", "started_at", "completed_at")
-    by_line = ct.latest_status(changes, "job_id", "line").select("job_id", "status", "error")
-    last = changes.groupBy("job_id").agg(F.max("changed").alias("last_change"))
-    return by_time.join(by_line, "job_id").join(last, "job_id")
+    return ct.latest_status(changes, "job_id", "changed", "line")
 
 
 @query(

@@ -67,7 +67,10 @@ def test_status_log(spark):
         "task_id bigint, status string, at bigint, error string",
     )
     got = {r.task_id: tuple(r)[1:] for r in ct.latest_status(changes, "task_id").collect()}
-    assert got == {1: ("completed", 2, 5, "x"), 2: ("pending", None, None, None)}
+    assert got == {1: ("completed", 5, 2, 5, "x"), 2: ("pending", 1, None, None, None)}
+    tied = changes.where("task_id = 1").withColumn("line", -F.col("at")).withColumn("at", F.lit(1))
+    assert ct.latest_status(tied, "task_id", tie="line").first().status == "pending"
+    assert ct.latest_status(tied, "task_id").first().status == "running"
 
 
 def test_append(spark, rules):
@@ -97,6 +100,33 @@ def test_cascade(spark):
     }
 
 
+def test_cascade_over_all_tables(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    left = ct.delete_collections(
+        table([(1,)], "id bigint"),
+        {
+            "collections": table([(1,), (2,)], "id bigint"),
+            "documents": table([(10, 1), (20, 2), (30, None)], "id bigint, collection_id bigint"),
+            "sensors": table([(1, 1), (2, 2)], "id bigint, collection_id bigint"),
+            "processing_jobs": table([(5, 1), (6, 2)], "id bigint, collection_id bigint"),
+            "consolidation_jobs": table([(7, 1, None), (8, 2, 5), (9, 2, 6)], "id bigint, collection_id bigint, processing_job_id bigint"),
+            "chunks": table([(100, 10), (200, 20)], "id bigint, document_id bigint"),
+            "processing_tasks": table([(1, 6, 200), (2, 5, 200), (3, 6, 100)], "id bigint, job_id bigint, chunk_id bigint"),
+            "rules": table(
+                [(1, 2, 20, 200, 1, 8), (2, 2, 20, 200, 2, 9), (3, 2, 20, 200, 1, 9), (4, 2, None, None, None, None)],
+                "id bigint, collection_id bigint, document_id bigint, chunk_id bigint, task_id bigint, consolidation_job_id bigint",
+            ),
+            "rule_context_chunks": table([(1, 1, 200), (2, 2, 200)], "id bigint, rule_id bigint, chunk_id bigint"),
+            "rule_grounding_searches": table([(1, 3), (2, 2)], "id bigint, rule_id bigint"),
+        },
+    )
+    assert {name: sorted(r.id for r in df.collect()) for name, df in left.items()} == {
+        "collections": [2], "documents": [20, 30], "sensors": [2], "processing_jobs": [6], "consolidation_jobs": [9], "chunks": [200],
+        "processing_tasks": [1], "rules": [1, 3, 4], "rule_context_chunks": [1], "rule_grounding_searches": [1],
+    }
+    assert {r.id: r.consolidation_job_id for r in left["rules"].collect()} == {1: None, 3: 9, 4: None}
+
+
 def test_csv_sink_appends(spark, tmp_path):
     readings = rd.from_wide(spark.sql("SELECT timestamp_seconds(id) AS ts, double(id) AS s FROM range(5)"))
     events = ru.check(readings, [Rule("high", lambda s: s.get("s", "0") > 2, "high", "d")])
