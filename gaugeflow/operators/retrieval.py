@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 
 from gaugeflow.model import RETRIEVAL_DEPTH
 
-# Query vectors sent to every task: at 1024 floats of 8 bytes this is at most 160 MB.
-BROADCAST_QUERIES = 20_000
-BLOCK_ROWS = 20_000
+# Bytes of query vectors that may be sent to every task; more queries meet the vectors in a grid.
+BROADCAST_BYTES = 32 << 20
+# Bytes of scores a task holds at a time, and of vectors one block of the grid holds.
+TILE_BYTES = 64 << 20
+BLOCK_BYTES = 64 << 20
 
 
 def _unit(vectors) -> np.ndarray:
@@ -37,6 +39,23 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _nearest(asked: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int, tile_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``asked`` the k best scores and ids of ``block``; no more than ``tile_bytes`` of scores at a time."""
+    width = max(1, min(len(block), math.isqrt(max(1, tile_bytes // 8))))
+    height = max(1, tile_bytes // (8 * width))
+    found = []
+    for top in range(0, len(asked), height):
+        rows, scores, best = asked[top : top + height], None, None
+        for left in range(0, len(block), width):
+            new = rows @ block[left : left + width].T
+            new_ids = np.broadcast_to(ids[left : left + width], new.shape)
+            if scores is not None:
+                new, new_ids = np.hstack([scores, new]), np.hstack([best, new_ids])
+            scores, best = _best(new, new_ids, k)
+        found.append((scores, best))
+    return np.concatenate([s for s, _ in found]), np.concatenate([b for _, b in found])
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -44,15 +63,16 @@ def top_k(
     vec_id: str = "vec_id",
     query_id: str = "query_id",
     embedding: str = "embedding",
-    query_bound: int = BROADCAST_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors nearest to each query, exact.
 
-    Up to ``query_bound`` queries travel to every task, which multiplies them with its vectors
-    and keeps k per query. More queries meet the vectors in a grid of hashed blocks, so that no
-    task holds more than one block of each. Either way only k rows per query and block leave
-    a task; pairs are never rows.
+    Queries of up to ``broadcast_bytes`` travel to every task, which multiplies them with its
+    vectors and keeps k per query. More queries meet the vectors in a grid of hashed blocks of
+    ``block_bytes``, so that no task holds more than one block of each. Scores are made in tiles of
+    ``tile_bytes``. Either way only k rows per query and block leave a task; pairs are never rows.
     """
     vectors = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
     queries = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("embedding"))
@@ -60,16 +80,17 @@ def top_k(
     schema = T.StructType(
         [T.StructField("query_id", ids[1]), T.StructField("vec_id", ids[0]), T.StructField("score", T.DoubleType())]
     )
-    number = queries.limit(query_bound + 1).count()
-    if number <= query_bound:
-        found = _against_all(vectors, queries, k, schema)
+    size = queries.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("width")).first()
+    each = 8 * max(1, size["width"])
+    if size["rows"] * each <= broadcast_bytes:
+        found = _against_all(vectors, queries, k, schema, tile_bytes)
     else:
-        found = _in_grid(vectors, queries, k, schema, block_rows)
+        found = _in_grid(vectors, queries, k, schema, max(1, block_bytes // each), size["rows"], tile_bytes)
     nearest = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _against_all(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+def _against_all(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType, tile_bytes: int) -> DataFrame:
     rows = queries.toPandas()
     held = vectors.sparkSession.sparkContext.broadcast(
         (rows["query_id"].to_numpy(), _unit(rows["embedding"]) if len(rows) else np.zeros((0, 1)))
@@ -81,11 +102,10 @@ def _against_all(vectors: DataFrame, queries: DataFrame, k: int, schema: T.Struc
         for batch in batches:
             if batch.empty or not len(names):
                 continue
-            new = asked @ _unit(batch["embedding"]).T
-            new_ids = np.broadcast_to(batch["vec_id"].to_numpy(), new.shape)
+            new, new_ids = _nearest(asked, _unit(batch["embedding"]), batch["vec_id"].to_numpy(), k, tile_bytes)
             if scores is not None:
-                new, new_ids = np.hstack([scores, new]), np.hstack([ids, new_ids])
-            scores, ids = _best(new, new_ids, k)
+                new, new_ids = _best(np.hstack([scores, new]), np.hstack([ids, new_ids]), k)
+            scores, ids = new, new_ids
         if scores is not None:
             yield pd.DataFrame(
                 {"query_id": np.repeat(names, scores.shape[1]), "vec_id": ids.ravel(), "score": scores.ravel()}
@@ -94,9 +114,9 @@ def _against_all(vectors: DataFrame, queries: DataFrame, k: int, schema: T.Struc
     return vectors.mapInPandas(search, schema)
 
 
-def _in_grid(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType, block_rows: int) -> DataFrame:
+def _in_grid(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType, block_rows: int, asked_rows: int, tile_bytes: int) -> DataFrame:
     down = max(1, math.ceil(vectors.count() / block_rows))
-    across = max(1, math.ceil(queries.count() / block_rows))
+    across = max(1, math.ceil(asked_rows / block_rows))
     left = vectors.select(
         "*",
         F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("vector_block"),
@@ -111,8 +131,7 @@ def _in_grid(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructTyp
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if block.empty or asked.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        scores = _unit(asked["embedding"]) @ _unit(block["embedding"]).T
-        scores, ids = _best(scores, np.broadcast_to(block["vec_id"].to_numpy(), scores.shape), k)
+        scores, ids = _nearest(_unit(asked["embedding"]), _unit(block["embedding"]), block["vec_id"].to_numpy(), k, tile_bytes)
         return pd.DataFrame(
             {"query_id": np.repeat(asked["query_id"].to_numpy(), scores.shape[1]), "vec_id": ids.ravel(), "score": scores.ravel()}
         )
@@ -143,12 +162,13 @@ def context_rows(ranked: DataFrame, chunks: DataFrame, chunk: str = "vec_id", pr
 
 
 def search_digest(
-    searches: DataFrame, results: DataFrame, per_search: int = 2, max_searches: int = 4, cut: int = 200, key: str = "chunk_id"
+    searches: DataFrame, results: DataFrame, *, per_search: int, max_searches: int, cut: int, key: str = "chunk_id"
 ) -> DataFrame:
     """One text per chunk: its first searches, each with its first results shortened.
 
     ``searches``: key, search_rank, search_query. ``results``: key, search_rank, result_rank,
-    title, url, content. Ranks start at 1, so both caps are filters and no group grows.
+    title, url, content. Ranks start at 1, so both caps, which the caller names, are filters and no
+    group grows.
     """
     summary = F.when(F.length("content") > cut, F.concat(F.substring("content", 1, cut), F.lit("..."))).otherwise(F.col("content"))
     line = F.concat(

@@ -107,7 +107,7 @@ def top_k(spark: SparkSession, folder: str) -> DataFrame:
 @query("d06_top_k_grid", f"WITH {TOP} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM top")
 def top_k_grid(spark: SparkSession, folder: str) -> DataFrame:
     """The plan for more queries than one task may hold."""
-    found = rt.top_k(*all_queries(spark, folder), query_bound=10, block_rows=200)
+    found = rt.top_k(*all_queries(spark, folder), broadcast_bytes=0, block_bytes=200 * 64 * 8, tile_bytes=1 << 14)
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -159,7 +159,7 @@ def search_digest(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("content"),
     )
     results = searches.select("chunk_id", "search_rank").join(found.where("result_rank <= 2"), "chunk_id")
-    return rt.search_digest(searches, results)
+    return rt.search_digest(searches, results, per_search=2, max_searches=4, cut=200)
 
 
 @query(

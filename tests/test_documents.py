@@ -68,7 +68,7 @@ def test_top_k(spark, bound, block):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(5)
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id bigint, embedding array<double>")
     got = {}
-    for r in rt.top_k(df, qs, 4, query_bound=bound, block_rows=block).orderBy("query_id", "rank").collect():
+    for r in rt.top_k(df, qs, 4, broadcast_bytes=bound, block_bytes=block, tile_bytes=256).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
     scores = np.round(unit(asked) @ unit(vectors).T, 12)
@@ -82,7 +82,7 @@ def test_digest(spark):
         [(1, 1, 1, "t", "u", "x" * 300), (1, 1, 2, "t", "u", ""), (1, 1, 3, "t", "u", "third"), (1, 2, 1, "t", None, "short")],
         "chunk_id bigint, search_rank int, result_rank int, title string, url string, content string",
     )
-    text = rt.search_digest(searches, results).first().grounding
+    text = rt.search_digest(searches, results, per_search=2, max_searches=4, cut=200).first().grounding
     assert text == (
         "\n🔍 Query: q1\n  • t: " + "x" * 200 + "...\n    Source: u\n\n🔍 Query: q2\n  • t: short\n    Source: \n\n🔍 Query: q3\n\n🔍 Query: q4"
     )
