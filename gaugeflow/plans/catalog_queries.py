@@ -146,6 +146,17 @@ def rules_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return ct.rules_by(view(spark, folder, "rules"), collection_id=5, rule_type="safety").select("id", "rule_name")
 
 
+@query("c02_rules_of_document", views("rules") + "SELECT id, rule_name, document_id FROM rules WHERE document_id = 7")
+def rules_of_document(spark: SparkSession, folder: str) -> DataFrame:
+    return ct.rules_by(view(spark, folder, "rules"), document_id=7).select("id", "rule_name", "document_id")
+
+
+@query("c02_rules_of_task", views("rules") + "SELECT id, rule_name, task_id FROM rules WHERE task_id = (SELECT min(task_id) FROM rules)")
+def rules_of_task(spark: SparkSession, folder: str) -> DataFrame:
+    rules = view(spark, folder, "rules")
+    return rules.join(rules.agg(F.min("task_id").alias("task_id")), "task_id", "left_semi").select("id", "rule_name", "task_id")
+
+
 @query("c03_rule_counts", views("rules") + "SELECT collection_id, count(*) AS total_rules FROM rules GROUP BY collection_id")
 def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ct.rule_counts(view(spark, folder, "rules"))
@@ -287,6 +298,43 @@ def chunk_listing(spark: SparkSession, folder: str) -> DataFrame:
     return ct.chunk_listing(view(spark, folder, "chunks"), view(spark, folder, "docs")).drop("collection_id")
 
 
+LISTED = "SELECT k.id, document_id, filename AS document_filename, chunk_index FROM chunks k JOIN docs d ON d.id = k.document_id"
+
+
+@query("c10_chunks_of_document", views("docs", "chunks") + LISTED + " WHERE document_id = 7")
+def chunks_of_document(spark: SparkSession, folder: str) -> DataFrame:
+    listing = ct.chunk_listing(view(spark, folder, "chunks").where("document_id = 7"), view(spark, folder, "docs"))
+    return listing.select("id", "document_id", "document_filename", "chunk_index")
+
+
+@query("c10_chunks_of_collection", views("docs", "chunks") + LISTED + " WHERE collection_id % 50 = 1")
+def chunks_of_collections(spark: SparkSession, folder: str) -> DataFrame:
+    listing = ct.chunk_listing(view(spark, folder, "chunks"), view(spark, folder, "docs").where("collection_id % 50 = 1"))
+    return listing.select("id", "document_id", "document_filename", "chunk_index")
+
+
+@query("c10_chunks_by_ids", views("docs", "chunks", "rules") + LISTED + " WHERE k.id IN (SELECT chunk_id FROM rules WHERE rule_type = 'safety')")
+def chunks_by_ids(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = view(spark, folder, "rules").where("rule_type = 'safety'").select(F.col("chunk_id").alias("id"))
+    listing = ct.chunk_listing(view(spark, folder, "chunks").join(wanted, "id", "left_semi"), view(spark, folder, "docs"))
+    return listing.select("id", "document_id", "document_filename", "chunk_index")
+
+
+@query("c11_collections", views("collections") + "SELECT id, name, description FROM collections")
+def collections(spark: SparkSession, folder: str) -> DataFrame:
+    return view(spark, folder, "collections").orderBy("name", "id")
+
+
+@query("c11_jobs_of_collection", views("jobs") + "SELECT id, status FROM jobs WHERE collection_id = 3")
+def jobs_of_collection(spark: SparkSession, folder: str) -> DataFrame:
+    return view(spark, folder, "jobs").where("collection_id = 3").orderBy("id").select("id", "status")
+
+
+@query("c12_sensor_by_key", f"WITH {SENSORS} SELECT collection_id, sensor_id, name FROM source WHERE collection_id = 7 AND sensor_id = 'Brand#13'")
+def sensor_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    return ct.sensor(sensor_source(spark, folder), 7, "Brand#13").select("collection_id", "sensor_id", "name")
+
+
 @query("c11_documents_newest", views("docs") + "SELECT id, collection_id, filename, uploaded_at FROM docs")
 def documents_newest(spark: SparkSession, folder: str) -> DataFrame:
     return ct.newest(view(spark, folder, "docs"), "uploaded_at")

@@ -171,3 +171,24 @@ def chunks_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     made = dc.chunk(docs.select("document_id", "text"))
     chosen = table(spark, folder, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"))
     return dc.select_chunks(made, docs, 0, document_ids=chosen).select("document_id", "chunk_index")
+
+
+@query(
+    "d09_chunks_of_collection",
+    f"""WITH {CHUNKS} SELECT doc_id AS document_id, chunk_index FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 5 = 2)""",
+)
+def chunks_of_collection(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select(F.col("doc_id").alias("document_id"), "text", (F.col("doc_id") % 5).alias("collection_id"))
+    return dc.select_chunks(dc.chunk(docs.select("document_id", "text")), docs, 2).select("document_id", "chunk_index")
+
+
+@query(
+    "d09_chunks_by_ids",
+    f"""WITH {CHUNKS} SELECT doc_id AS document_id, chunk_index FROM chunks WHERE chunk_index = 1""",
+)
+def chunks_by_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumnRenamed("doc_id", "document_id")
+    chunk_id = F.concat_ws(":", "document_id", "chunk_index").alias("chunk_id")
+    made = dc.chunk(docs.select("document_id", "text")).select("document_id", "chunk_index", chunk_id)
+    wanted = docs.select(F.concat_ws(":", "document_id", F.lit(1)).alias("chunk_id"))
+    return dc.select_chunks(made, docs, 0, chunk_ids=wanted).select("document_id", "chunk_index")
