@@ -88,8 +88,3 @@ def hashes(data: np.ndarray, spans: Spans) -> np.ndarray:
     own = data[within + np.repeat(spans.start, length)]
     terms = _BYTE_KEYS[own] * _powers(int(length.max()))[within]
     return mixed(np.add.reduceat(terms, begins) + length.astype(np.uint64))
-
-
-def per_doc(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Sum of values by document."""
-    return np.bincount(doc, weights=values, minlength=docs)

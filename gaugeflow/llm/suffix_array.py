@@ -159,8 +159,8 @@ class Block:
         place[order] = np.arange(len(order))
         return at[one[order]], place[which]
 
-    def windows(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows at open anchors, their bytes' hash; distinct hashes, where each window is, the least key of each."""
+    def windows(self, open_: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts and rows of the windows at open anchors; their distinct hashes, where each window is among them, the least key and one start of each."""
         mark = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(mark, self.first[open_], 1)
         np.add.at(mark, self.last[open_] - THRESHOLD + 1, -1)
