@@ -133,16 +133,12 @@ def _components(codes: np.ndarray, most: int) -> np.ndarray:
     index, label = GrayIndex(codes), np.arange(len(codes))
     for first in range(0, len(codes), QUERIES_AT_ONCE):
         i, j = index.within(first, min(len(codes), first + QUERIES_AT_ONCE), most)
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            before = label.copy()
-            for side in (label[i], label[j], i, j):
-                np.minimum.at(label, side, low)
-            label = label[label]
-            if (label == before).all():
-                break
-    while (label != label[label]).any():
-        label = label[label]
+        # Every label is a root here. Only roots are hooked, so ties of earlier batches hold; a pair is done once its roots are one.
+        while (apart := label[i] != label[j]).any():
+            i, j = i[apart], j[apart]
+            np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+            while (label != (above := label[label])).any():
+                label = above
     return label
 
 

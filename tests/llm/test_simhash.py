@@ -64,6 +64,39 @@ def test_index_prunes_nothing_that_is_near():
     assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
 
 
+def test_ties_of_earlier_batches_hold(monkeypatch):
+    """Pairs of one bucket that come batch by batch: 5-700 links two groups that a later batch lowers apart."""
+    pairs = {0: [(2, 1100), (3, 1200), (5, 600), (5, 700)], 512: [(600, 1100), (700, 1200)]}
+    monkeypatch.setattr(simhash.GrayIndex, "within", lambda self, first, last, most: tuple(np.array(pairs.get(first, []), np.int64).reshape(-1, 2).T))
+    label = simhash._components(np.arange(1300, dtype=np.uint64), 2)
+    assert {n: int(x) for n, x in enumerate(label) if n != x} == dict.fromkeys([3, 5, 600, 700, 1100, 1200], 2)
+
+
+@pytest.mark.parametrize("most,seed", [(1, 0), (2, 0), (2, 1), (2, 2), (3, 0)])
+def test_components_of_one_bucket_with_some_thousand_codes(most, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 2**32, 1000, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, (most, 5, 1000), dtype=np.uint64), axis=0)
+    codes = np.unique(np.concatenate([centres, *(centres ^ f for f in flips), rng.integers(0, 2**17, 1500, dtype=np.uint64) << np.uint64(8)]))
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    codes = codes[np.argsort(rank)]
+    parent = list(range(len(codes)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= most) + i + 1:
+            a, b = find(i), find(int(j))
+            parent[max(a, b)] = min(a, b)
+    assert len(codes) > 5 * simhash.QUERIES_AT_ONCE
+    assert simhash._components(codes, most).tolist() == [find(i) for i in range(len(codes))]
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
