@@ -3,6 +3,8 @@
 A page is a sequence of tags and words. Words score positive, tags negative, by weights counted on labelled pages: those
 whose markup names their main part (one `article` or `main` element). One linear scan finds the contiguous region with
 the greatest sum; its text, without parts that are no article (menus, forms, adverts, comments, ...), is the result.
+A part is known by its names, but names also stand on wrappers of the article: a part that holds an article or main, or
+most of the words, is none whatever its names, and the scores decide.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ APART_WORDS = set(
     "comment comments commentlist commenting disqus respond reply replies pagination pager search skip toolbar copyright complementary contentinfo dialog alert hidden".split()
 )
 HEADER_WORDS = {"header", "head", "topbar"}
+# With one of these a class tells how a part is laid out ("no-sidebar", "ad-free"), not what it is.
+LAYOUT_WORDS = set("no non not has with without free less fixed".split())
 
 
 @dataclass
@@ -56,6 +60,45 @@ class Run:
     breaks: bool = False
     inside: bool = False
     nested: bool = False  # a tag within a part that is apart; the part counts once, by its own tags
+    element: int = -1
+    outer: int = -1
+
+
+@dataclass
+class Element:
+    parent: int
+    named: bool = False  # its name or attributes are those of a part that is no article
+    inside: bool = False
+    main: int = -1  # the outermost article or main it lies in, maybe itself
+    resets: bool = False  # a main, or an article in no other article (an article in an article is a comment, say)
+    in_article: bool = False
+    words: int = 0
+    holds: bool = False
+    apart: bool = False
+
+
+def _settle(elements: list[Element], runs: list[Run]) -> None:
+    """Tell the parts that are apart, now that it is known what each element holds, and complete the runs."""
+    page = 0
+    for run in runs:
+        page += run.words
+        if run.element >= 0:
+            elements[run.element].words += run.words
+    for e in reversed(elements):
+        if e.parent >= 0:
+            above = elements[e.parent]
+            above.words += e.words
+            above.holds |= e.holds or e.resets
+    for i, e in enumerate(elements):
+        whole = elements[e.main].words if e.main not in (-1, i) else page
+        e.apart = e.named and not e.holds and 2 * e.words <= whole
+        if not e.resets and e.parent >= 0:
+            e.apart |= elements[e.parent].apart
+    for run in runs:
+        if run.kind != ("space",):
+            run.apart = run.element >= 0 and elements[run.element].apart
+            run.nested = run.outer >= 0 and elements[run.outer].apart
+            run.kind = (*run.kind, run.apart)
 
 
 def _is_apart(name: str, attributes: str, within_main: bool) -> bool:
@@ -68,24 +111,27 @@ def _is_apart(name: str, attributes: str, within_main: bool) -> bool:
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
-            parts = set(PART.findall(value))
-            if parts & APART_WORDS or (not within_main and parts & HEADER_WORDS):
-                return True
+            for one in value.split():
+                parts = set(PART.findall(one))
+                if not parts & LAYOUT_WORDS and (parts & APART_WORDS or (not within_main and parts & HEADER_WORDS)):
+                    return True
     return False
 
 
 def tokens(page: str) -> list[Run]:
     """The runs of a page in order. Contents of scripts, styles and the like, comments and declarations are left out."""
     out: list[Run] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, within the main part
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # name, element
     position = 0
 
     def text(value: str) -> None:
         words = len(value.split())
         if words:
-            apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            block = next((n for n, _, _ in reversed(stack) if n not in INLINE), "")
-            out.append(Run(("word", block if block in NAMES else "other", any(n == "a" for n, _, _ in stack[-4:]), apart), value, words, apart, False, inside))
+            element = stack[-1][1] if stack else -1
+            block = next((n for n, _ in reversed(stack) if n not in INLINE), "")
+            kind = ("word", block if block in NAMES else "other", any(n == "a" for n, _ in stack[-4:]))
+            out.append(Run(kind, value, words, inside=element >= 0 and elements[element].inside, element=element))
         elif value:
             out.append(Run(("space",), value))
 
@@ -96,26 +142,37 @@ def tokens(page: str) -> list[Run]:
         name = (m[3] or "").lower()
         if not name:
             continue
-        apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        outer = apart
+        element = stack[-1][1] if stack else -1
+        outer = element
         if m[2]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
-                apart, inside = stack[depth][1], stack[depth][2]
-                outer = stack[depth - 1][1] if depth else False
+                element = stack[depth][1]
+                outer = elements[element].parent
                 del stack[depth:]
         else:
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-                apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                outer = apart
-            apart = apart or _is_apart(name, m[4], inside)
-            inside = inside or name in MAIN
+                outer = stack[-1][1] if stack else -1
+            above = elements[outer] if outer >= 0 else Element(-1)
+            element = len(elements)
+            elements.append(
+                Element(
+                    outer,
+                    _is_apart(name, m[4], above.inside),
+                    above.inside or name in MAIN,
+                    element if name in MAIN and above.main < 0 else above.main,
+                    name == "main" or (name == "article" and not above.in_article),
+                    above.in_article or name == "article",
+                )
+            )
             if name not in VOID and not m[0].endswith("/>"):
-                stack.append((name, apart, inside))
-        out.append(Run(("tag", name if name in NAMES else "other", apart), None, 0, apart, name not in INLINE, inside, outer))
+                stack.append((name, element))
+        inside = element >= 0 and elements[element].inside
+        out.append(Run(("tag", name if name in NAMES else "other"), None, 0, False, name not in INLINE, inside, False, element, outer))
     if position < len(page):
         text(page[position:])
+    _settle(elements, out)
     return out
 
 

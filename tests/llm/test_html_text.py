@@ -32,6 +32,35 @@ def test_given_pages(spark):
         assert told[page.page_id].text == want and told[page.page_id].n_chars == len(want) and told[page.page_id].url == page.url
 
 
+ARTICLE = "<h1>Real title</h1><p>" + "First paragraph with plain words. " * 8 + '</p><div class="ad-slot"><p>Buy now</p></div><p>' + "Second paragraph and more words. " * 8 + "</p>"
+MENU = '<nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav>'
+END = '<section id="comments"><p>I liked this.</p></section><footer><p>Footer text here</p></footer>'
+WRAPPERS = [
+    "<div class='content no-sidebar'>", "<div class='has-sidebar'>", "<div class='ad-free'>", "<div class='header-fixed'>", "<div id='page-with-widgets'>",
+    "<form id='aspnetForm' method='post'>", "<div class='layout-sidebar-right'>", "<div id='header-and-content'>", "<div role='dialog'>", "<div class='share'>",
+]
+
+
+@pytest.mark.parametrize("start", WRAPPERS)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>", "<main><div class='no-sidebar'><article>{}</article></div></main>", "<article><div class='widget-area'>{}</div></article>"])
+def test_wrapper_with_the_name_of_another_part(spark, start, inner):
+    weights = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    end = f"</{start[1:].split()[0]}>"
+    want = "\n\n".join(["Real title", ("First paragraph with plain words. " * 8).strip(), ("Second paragraph and more words. " * 8).strip()])
+    for page in (f"<html><body>{start}{MENU}{inner.format(ARTICLE)}{END}{end}</body></html>", f"<html><body>{MENU}{start}{inner.format(ARTICLE)}{end}{END}</body></html>"):
+        assert html_text.main_text(page, weights) == html_text.main_text(page, html_text.Weights()) == want
+
+
+def test_small_article_in_a_wrapper_beside_much_other_text():
+    page = f"<body><div class='has-sidebar'><div class='share'><article><p>Short but whole text.</p></article></div></div><footer>{'words of the footer ' * 50}</footer></body>"
+    assert "Short but whole text." in html_text.main_text(page, html_text.Weights())
+
+
+def test_comments_as_articles_in_an_article_stay_apart():
+    page = f"<article>{ARTICLE}<section class='comments'><article><p>I liked it all.</p></article></section></article>"
+    assert "liked" not in html_text.main_text(page, html_text.Weights()) and "Second" in html_text.main_text(page, html_text.Weights())
+
+
 def test_best_region_is_the_greatest_sum():
     scores = [3, -5, 2, -1, 4, -9, 5, -1, 1, 0, -2]
     sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
