@@ -21,7 +21,7 @@ from gaugeflow.model import CheckerConfig, Requirement, Rule, RuleFunction
 from gaugeflow.operators import rules as ru
 from gaugeflow.operators import windows
 from gaugeflow.sources import sinks
-from gaugeflow.sources.readings import micros
+from gaugeflow.sources.readings import micros, numbered
 
 READING = "asset string, sensor_id string, ts timestamp, ts_us bigint, seq bigint, value double"
 PROGRESS = "batch bigint, frontier bigint, late bigint"
@@ -91,7 +91,7 @@ def handler(
 
         fresh = waiting.unionByName(rows.where(in_time))
         done = F.lit(True) if last else F.lit(False) if now is None else F.col("ts_us") <= now
-        ready = history.unionByName(fresh.where(done))
+        ready = history.unionByName(numbered(fresh.where(done)))
         events = ru.check(ready, rules, config, align)
         if frontier is not None:
             events = events.where(micros(events, "timestamp") > frontier)

@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from gaugeflow.model import CheckerConfig, Requirement
 from gaugeflow.operators.windows import Series, resolve
+from gaugeflow.sources.readings import LATER
 
 BEAT = "asset string, sensor_id string, ts timestamp, ts_us bigint, seq bigint, value double"
 STATE = "sensors array<string>, history array<array<double>>, wait_ts array<bigint>, wait_seq array<bigint>, wait_sensor array<string>, wait_value array<double>"
@@ -99,7 +100,8 @@ def status_stream(
 
     ``readings`` is the canonical long shape with ``event_time`` a timestamp. With ``by_sensor``
     state is kept per (asset, sensor), and columns are series of the row's own sensor. State counts
-    samples; windows by the clock need ``microbatch``.
+    samples; windows by the clock need ``microbatch``. Readings without a seq are numbered by value
+    when the watermark has passed their instant, as in batch.
     """
     if config.mode != "samples":
         raise ValueError("state is kept in samples; use microbatch for windows by the clock")
@@ -121,7 +123,10 @@ def status_stream(
         rows = pd.concat([f for f in frames if len(f)] or [waiting], ignore_index=True)
         rows["value"] = rows["value"].astype(float)
         passed = rows["ts_us"] <= state.getCurrentWatermarkMs() * 1000
-        ready = rows[passed].sort_values(["ts_us", "seq"], kind="stable")
+        ready = rows[passed].sort_values(["sensor_id", "ts_us", "value"], kind="stable", na_position="first").astype({"seq": "int64"})
+        later = ready["seq"] == LATER
+        ready.loc[later, "seq"] = ready[later].groupby(["sensor_id", "ts_us"], dropna=False).cumcount()
+        ready = ready.sort_values(["ts_us", "seq"], kind="stable")
         rest = rows[~passed]
 
         moments = ready[["ts_us", "seq"]].drop_duplicates().reset_index(drop=True)

@@ -155,3 +155,40 @@ def test_rows_without_a_time_are_counted(spark, tmp_path):
     data = batch(spark, [("x", "a", MINUTE, 0, 1.0), ("x", "a", None, 0, 1.0)])
     process(data, 0)
     assert spark.read.schema(microbatch.PROGRESS).json(f"{folder}/slot0/progress").first().late == 1
+
+
+@pytest.fixture
+def one_instant(spark, tmp_path):
+    """Readings without a seq, several of a sensor at one instant, in different files: as a stream and as a batch."""
+    rng = random.Random(3)
+    data = [(a, s, m * MINUTE, 0, None if rng.random() < 0.1 else float(rng.randint(0, 9))) for m in range(1, 40) for a in "xy" for s in "ab" for _ in range(rng.randint(0, 3))]
+    frame = stream(spark, batches(spark, tmp_path, data, count=4)).drop("seq", "ts_us")
+    return rd.from_long(frame, asset="asset"), rd.from_long(batch(spark, data).drop("seq", "ts_us"), asset="asset")
+
+
+def test_state_keeps_every_reading_of_one_instant(spark, tmp_path, one_instant):
+    asked = [Requirement("a", "0"), Requirement("a", "5m:", "sum"), Requirement("b", "4m:", "count"), Requirement("b", "2m")]
+    beats = str(tmp_path / "beats")
+    out = stateful.status_stream(stateful.timed(one_instant[0].unionByName(stateful.heartbeats(spark, beats))), asked, delay="10 minutes")
+    for _ in range(2):
+        query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        stateful.close(spark, beats)
+    pick = lambda df: sorted(map(str, df.select("asset", "ts_us", F.col("seq").cast("bigint"), *[f"`{r.name}`" for r in asked]).collect()))
+    want = ru.status_table(one_instant[1], asked)
+    assert want.where("seq = 2").count() and pick(spark.read.parquet(str(tmp_path / "o"))) == pick(want)
+
+
+def test_micro_batches_keep_every_reading_of_one_instant(spark, tmp_path, one_instant):
+    folder = str(tmp_path / "out")
+    microbatch.start(one_instant[0], RULES, folder, delay="10m").awaitTermination()
+    microbatch.finish(spark, RULES, folder, delay="10m")
+    pick = lambda df: sorted((r.asset, str(r.timestamp), r.seq, r.rule_name, str(sorted(r.sensor_values.items()))) for r in df.collect())
+    want = pick(ru.check(one_instant[1], RULES))
+    assert any(r[2] == 2 for r in want) and pick(spark.read.parquet(f"{folder}/events")) == want
+
+
+def test_wide_stream_without_seq_is_refused(spark, tmp_path):
+    spark.range(1).selectExpr("timestamp_seconds(id) AS ts", "1.0 AS a").write.parquet(str(tmp_path / "w"))
+    with pytest.raises(ValueError):
+        rd.from_wide(rd.stream(spark, str(tmp_path / "w"), "ts timestamp, a double"))
