@@ -1,4 +1,4 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay, block by block of the corpus.
 
 The distinct words of a block of documents are one array of tokens. An inverted index lists, for every rank, the
 positions where a pair of neighbours merges at that rank. Ranks are taken in order; each is applied at all its positions
