@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import bpe, exact_topk, html_text, language, language_model, mixing, quality_model, quality_rules, simhash, suffix_array
+from gaugeflow.llm import bpe, divergence, exact_topk, html_text, language, language_model, lexical, mixing, packing, quality_model, quality_rules, simhash, suffix_array
 from gaugeflow.llm.sampling import crc_part
 from gaugeflow.llm.shared import small_batches
 from gaugeflow.operators.layout import small
@@ -153,3 +153,81 @@ def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     told = suffix_array.remove_repeats(table(spark, folder, "documents"), carry=("doc_id",))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return told.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_lexical_search",
+    rf"""
+    WITH words AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents WHERE text IS NOT NULL
+    ), docs AS (
+        SELECT r, doc_id, terms, len(terms) AS own FROM words WHERE len(terms) > 0
+    ), total AS (
+        SELECT count(*) AS docs_all, CAST(sum(own) AS BIGINT) AS terms_all FROM docs
+    ), counts AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counts, total GROUP BY term, docs_all
+    ), items AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ), scored AS (
+        SELECT i.item_id, d.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * own * docs_all) // terms_all)))) AS BIGINT) AS score
+        FROM items i JOIN counts c USING (term) JOIN weights USING (term) JOIN docs d USING (r), total
+        GROUP BY i.item_id, r, d.doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
+)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), path=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query(
+    "op13_divergence",
+    rf"""
+    WITH base AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), groups AS (
+        SELECT DISTINCT lang, source FROM base
+    ), tokens AS (
+        SELECT r, lang, source, unnest(terms) AS term FROM base
+    ), kept AS (
+        SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+    ), sizes AS (
+        SELECT lang, count(*) AS V FROM kept GROUP BY lang
+    ), counts AS (
+        SELECT lang, source, term, count(*) AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+    ), totals AS (
+        SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM counts GROUP BY lang, source
+    ), p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+               CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(t.n, 0) + 5 * V) AS BIGINT) AS p
+        FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+    ), q AS (
+        SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (CAST(sum(c) AS BIGINT) + 5)) // ((SELECT sum(n) FROM totals t WHERE t.lang = p.lang) + 5 * any_value(V)) AS BIGINT) AS q
+        FROM p JOIN sizes USING (lang) GROUP BY lang, term
+    ), pairs AS (
+        SELECT a.lang, a.source, b.source AS item, CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    ), best AS (
+        SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+    )
+    SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM best QUALIFY rank <= 50
+    """,
+)
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
