@@ -9,8 +9,9 @@ What a task has left is less than a window; it becomes sequences whose sizes are
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -20,18 +21,30 @@ from pyspark.sql import DataFrame
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MOST_OPEN = 1024
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000
+WORDS_AT_ONCE = 1000
 PART_CHARS = 1 << 20
 TASK_SHIFT = 36
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Words:
     """Ids of texts by a tokenizer that never looks beyond a space or a line feed: each distinct word is encoded once.
 
     White space is dropped before the vocabulary's merges, and normal forms and lower case do not reach across it, so
-    the ids of a text are those of its words one after another. At most about MOST_WORDS words are remembered.
+    the ids of a text are those of its words one after another. New words are encoded many at a time with BETWEEN, a
+    word of its own, between them. When more than MOST_WORDS words are known they are forgotten.
     """
 
+    BETWEEN = "\x01"
+
     def __init__(self, path: str):
         import os
 
@@ -39,49 +52,89 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.edge = self._ids(self.BETWEEN)
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number, self.known = _Numbers(), 0
         self.ids, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def _learn(self, words: list[str]) -> None:
-        first = len(self.number)
-        for a in range(0, len(words), 10_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + 10_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total, last = int(sizes.sum()), first + len(found)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while last > len(self.start):
-                self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-            self.ids[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-            self.start[first:last] = self.used + np.cumsum(sizes) - sizes
-            self.length[first:last] = sizes
-            self.number.update(zip(words[a : a + 10_000], range(first, last)))
-            self.used, first = self.used + total, last
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        last = self.known + len(sizes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while last > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[self.known : last] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.known : last] = sizes
+        self.used, self.known = self.used + len(ids), last
+
+    def _learn(self) -> None:
+        new = list(islice(self.number, self.known, None))
+        for a in range(0, len(new), WORDS_AT_ONCE):
+            words = new[a : a + WORDS_AT_ONCE]
+            joined = f" {self.BETWEEN} ".join(words)
+            if len(self.edge) == 1 and joined.count(self.BETWEEN) == len(words) - 1:
+                ids = np.array(self._ids(joined), np.uint32)
+                inner = ids != self.edge[0]
+                edges = np.flatnonzero(~inner)
+                if len(edges) == len(words) - 1:
+                    self._keep(ids[inner], np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1)
+                    continue
+            for word in words:  # some word holds BETWEEN, or what stands for it
+                ids = np.array(self._ids(word), np.uint32)
+                self._keep(ids, np.array([len(ids)]))
+
+    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
+        if self.known > MOST_WORDS:
+            self._forget()
+        code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > self.known:
+            self._learn()
+        length = self.length[code]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.start[code] - (ends - length), length)], length
 
     def encode(self, text: str) -> np.ndarray:
+        """The ids of a text of any length, PART_CHARS of it at a time."""
         out, at = [], 0
         while at < len(text):
             end = at + PART_CHARS
             if end < len(text):  # the next space or line feed
                 ends = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
                 end = min(ends, default=len(text))
-            words = text[at:end].replace("\n", " ").split(" ")
-            new = list({w for w in words if w not in self.number})
-            if new:
-                if len(self.number) > MOST_WORDS:
-                    self._forget()
-                    new = list(set(words))
-                self._learn(new)
-            code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            length = self.length[code]
-            ends = np.cumsum(length)
-            out.append(self.ids[np.arange(int(ends[-1])) + np.repeat(self.start[code] - (ends - length), length)])
+            out.append(self._spelled(text[at:end].replace("\n", " ").split(" "))[0])
             at = end
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """encode() of each text; short ones together."""
+        held: list[list[str]] = []
+        size = 0
+
+        def close() -> Iterator[np.ndarray]:
+            ids, length = self._spelled([w for words in held for w in words])
+            cuts = np.concatenate(([0], np.cumsum(length)))[np.cumsum([len(words) for words in held[:-1]], dtype=np.int64)] if len(held) > 1 else []
+            yield from np.split(ids, cuts)
+
+        for text in texts:
+            if held and size + len(text) > PART_CHARS:
+                yield from close()
+                held, size = [], 0
+            if len(text) > PART_CHARS:
+                yield self.encode(text)
+                continue
+            held.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+        if held:
+            yield from close()
+
 
 @lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
@@ -213,9 +266,8 @@ def pack(docs: DataFrame, *, path: str, end_id: int, size: int = 4096, key: str
         words, packer = words_of(path), Packer(size)
         number = TaskContext.get().partitionId() << TASK_SHIFT
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for i, doc in enumerate(keys):
-                ids = words.encode(batch.column(1)[i].as_py() or "")
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts)):
                 packer.add(doc, np.append(ids, np.uint32(end_id)))
                 if len(packer.done) >= 1000:
                     yield rows(packer.done, number)

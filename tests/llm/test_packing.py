@@ -99,6 +99,8 @@ def test_words_give_the_ids_of_the_text():
     for _ in range(1500):
         text = "".join(rng.choice(odd) if rng.random() < 0.8 else chr(rng.randrange(32, 0xD800)) for _ in range(rng.randrange(14)))
         assert words.encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    mixed = [rng.choice(["", "a \x01 b", "\x01", "x\x01y", "plain words", "é" * 50, "\n \n"]) for _ in range(500)]
+    assert [x.tolist() for x in words.encode_all(mixed)] == [TOKENIZER.encode(x, add_special_tokens=False).ids for x in mixed]
 
 
 def test_words_are_forgotten_and_long_texts_come_in_parts(monkeypatch):
@@ -106,5 +108,5 @@ def test_words_are_forgotten_and_long_texts_come_in_parts(monkeypatch):
     monkeypatch.setattr(packing, "PART_CHARS", 40)
     rng, words = random.Random(6), packing.Words(PATH)
     for _ in range(20):
-        text = " ".join("".join(rng.choice("abcdé\n") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 300)))
-        assert words.encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        texts = [" ".join("".join(rng.choice("abcdé\n") for _ in range(rng.randint(0, 6))) for _ in range(rng.choice((1, 5, 300)))) for _ in range(9)]
+        assert [x.tolist() for x in words.encode_all(texts)] == [TOKENIZER.encode(x, add_special_tokens=False).ids for x in texts]
