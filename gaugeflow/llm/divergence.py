@@ -19,8 +19,8 @@ from gaugeflow.llm import arrays, terms
 from gaugeflow.llm.shared import stored
 from gaugeflow.operators.layout import small
 
-FLUSH_ROWS = 1_500_000
-CELL_ENTRIES = 1 << 20
+FLUSH_ROWS = 1_000_000
+CELL_ENTRIES = 1 << 17
 STRIP = 1024
 CELLS_TOGETHER = 256
 SCALE = 10**9
@@ -141,6 +141,7 @@ def _counts(bits: int):
                 size += len(digest)
             if size > FLUSH_ROWS:
                 held, words_held = [merged()], [pa.chunked_array(words_held).unique()]
+                pa.default_memory_pool().release_unused()
                 size = len(held[0][0])
                 if size > FLUSH_ROWS // 2:
                     yield out()
