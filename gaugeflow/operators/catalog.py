@@ -321,7 +321,7 @@ def durations(jobs: DataFrame) -> DataFrame:
 
 
 def finalize_job(jobs: DataFrame, job_id: int, summary: DataFrame, at: Column | None = None) -> DataFrame:
-    """Jobs with the counters of one consolidation, a table of one row, joined into its row."""
+    """Jobs with the counters of one consolidation, a table of one row, in the row of that job."""
     names = {
         "input_rules_count": "input_count",
         "output_rules_count": "output_count",
@@ -329,13 +329,13 @@ def finalize_job(jobs: DataFrame, job_id: int, summary: DataFrame, at: Column |
         "rules_merged": "merge_count",
         "rules_simplified": "simplify_count",
     }
-    told = summary.select(F.lit(job_id).cast(jobs.schema["id"].dataType).alias("id"), F.struct("*").alias("_told"), F.to_json(F.struct("*")).alias("_text"))
-    here = F.col("_text").isNotNull()
-    new = {target: F.when(here, F.col("_told")[source].cast("bigint")).otherwise(F.col(target)) for target, source in names.items()}
-    new["consolidation_summary"] = F.coalesce("_text", "consolidation_summary")
+    told = summary.select(F.struct("*").alias("told")).scalar()  # one value: no join, and an error if the table has more rows
+    here = (F.col("id") == job_id) & told.isNotNull()
+    new = {target: F.when(here, told[source].cast("bigint")).otherwise(F.col(target)) for target, source in names.items()}
+    new["consolidation_summary"] = F.when(here, F.to_json(told)).otherwise(F.col("consolidation_summary"))
     new["status"] = F.when(here, F.lit("completed")).otherwise(F.col("status"))
     new["completed_at"] = F.when(here, F.current_timestamp() if at is None else at).otherwise(F.col("completed_at"))
-    return jobs.join(F.broadcast(told), "id", "left").withColumns(new).drop("_told", "_text")  # one row is broadcast
+    return jobs.withColumns(new)
 
 
 # Sensors
