@@ -17,9 +17,11 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Keys of at most this many rows may be broadcast: about 10 MB of key text.
+# Tables of at most this many rows and bytes may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def reliable_dir(spark: SparkSession) -> str:
@@ -42,9 +44,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``bound`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def small(df: DataFrame, bound: int = BROADCAST_ROWS, bytes_bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``bound`` rows of ``bytes_bound`` bytes together, else as it is."""
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.octet_length(F.to_json(F.struct(f.name)))
+            for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    size = reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0)) for w in wide], F.lit(8 * len(df.columns)))
+    told = df.limit(bound + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(df) if told["rows"] <= bound and (told["bytes"] or 0) <= bytes_bound else df
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.model import CheckerConfig, Requirement, Rule, RuleFunction, Status
-from gaugeflow.operators import layout, windows
+from gaugeflow.operators import layout, ruleindex, windows
 from gaugeflow.sources import readings as rd
 
 log = logging.getLogger(__name__)
@@ -242,24 +242,8 @@ def function_errors(table: DataFrame, rules: Sequence[RuleFunction], config: Che
 # Rules held as rows: rule_id, rule_name, sensor_id, time_expression, statistic, op, threshold, result.
 # The rows of one rule_id must all hold.
 
-# Numbers of the comparisons, so that a test per (row, rule) compares integers, not texts.
-OPS = {">": 1, ">=": 2, "<": 3, "<=": 4, "==": 5, "!=": 6}
-# Conditions of a rule held in columns; a longer rule keeps the others in an array.
-CONDITION_COLUMNS = 4
-# Rules from which their tests cost more than spreading the rows evenly over all cores first.
-MANY_RULES = 1_000
-
-
-def _holds(op: Column, value: Column, threshold: Column, guard: str) -> Column:
-    test = (
-        F.when(op == 1, value > threshold)
-        .when(op == 2, value >= threshold)
-        .when(op == 3, value < threshold)
-        .when(op == 4, value <= threshold)
-        .when(op == 5, value == threshold)
-        .when(op == 6, value != threshold)
-    )
-    return F.coalesce(truthy(value, guard) & test, F.lit(False))
+# Conditions from which matching costs more than spreading the rows evenly over all cores first.
+MANY_CONDITIONS = 2_000
 
 
 def check_rows(
@@ -272,65 +256,48 @@ def check_rows(
 ) -> DataFrame:
     """Events of rules held as rows: the plan does not grow with the number of rules.
 
-    Only the distinct (sensor, expression, statistic) come to the driver; they name the window
-    columns, of which there is one per expression and statistic, whatever the number of sensors
-    and rules. No rules give no events. A rule is looked up by the first of
-    its conditions and tested as a whole on the row at hand, so only events leave the join. Rules
-    on one sensor are tested on that sensor's row; rules on several need the features of a moment
-    side by side first.
+    Rules on one sensor are matched on that sensor's rows; only the distinct (expression, statistic)
+    of theirs come to the driver, and name the window columns. Rules on several sensors need the
+    features of a moment side by side, one column per distinct (sensor, expression, statistic) that
+    such rules use. ``ruleindex`` matches their thresholds, so rows of the plan are events, never
+    pairs of a row and a rule that does not fire. A condition without a sensor, expression,
+    comparison or threshold never holds. No rules give no events.
     """
-    wanted = rule_rows.select("sensor_id", "time_expression", "statistic").distinct().collect()
-    if not wanted:
-        return events(_no_hits(readings))
-    reqs = [Requirement(*row) for row in wanted]
-    features = _features(readings, reqs, config, align)
-
+    spark = readings.sparkSession
     series = F.concat("time_expression", F.coalesce(F.concat(F.lit("@"), "statistic"), F.lit("")))
-    number = F.try_element_at(F.create_map(*[F.lit(v) for pair in OPS.items() for v in pair]), F.col("op"))
-    condition = F.struct(
-        series.alias("series"), F.concat("sensor_id", F.lit("|"), series).alias("name"), number.alias("op"), "threshold"
-    )
-    conditions = rule_rows.groupBy("rule_id").agg(
+    sensor = F.coalesce("sensor_id", F.lit(""))
+    condition = F.struct(sensor.alias("sensor"), "time_expression", "statistic", series.alias("series"), ruleindex.operator_number(F.col("op")).alias("op"), "threshold")
+    rules = rule_rows.groupBy("rule_id").agg(
         F.max("rule_name").alias("rule_name"),
         F.max("result").alias("result"),
-        F.count_distinct("sensor_id").alias("sensors"),
-        F.array_sort(F.collect_list(condition)).alias("conditions"),
-    )
-    known = conditions.agg(
-        F.count(F.lit(1)).alias("rules"), F.max("sensors").alias("sensors"), F.max(F.size("conditions")).alias("longest")
-    ).first()
-    if (known["sensors"] or 0) > 1:
-        table = assemble(features, reqs)
-        cells = [(F.lit(r.name), F.col(f"`{r.name}`")) for r in reqs]
-    else:
-        table = features
-        cells = [(F.concat("sensor_id", F.lit("|" + s)), F.col(f"`{s}`")) for s in sorted({r.series for r in reqs})]
-    if known["rules"] > MANY_RULES:
-        spark = readings.sparkSession
-        width = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        table = table.repartition(width)
-    values = F.map_from_arrays(F.array(*[name for name, _ in cells]), F.array(*[value for _, value in cells]))
-    pairs = F.array(*[F.struct(name.alias("name"), value.alias("feature")) for name, value in cells])
-    seen = table.select(*MOMENT, values.alias("values"), F.inline(F.filter(pairs, lambda p: truthy(p["feature"], guard))))
-
-    held = min(CONDITION_COLUMNS, known["longest"] or 1)
-    lookup = conditions.select(
-        "rule_name",
-        "result",
-        F.col("conditions")[0]["name"].alias("name"),
-        *[F.get("conditions", F.lit(i)).alias(f"c{i}") for i in range(held)],
-        F.slice("conditions", held + 1, F.greatest(F.size("conditions") - held, F.lit(0))).alias("rest"),
+        (F.min(sensor) != F.max(sensor)).alias("mixed"),
+        F.collect_list(condition).alias("conditions"),
     )
-    found = seen.join(F.broadcast(lookup) if known["rules"] <= layout.BROADCAST_ROWS else lookup, "name")
-    found = found.where(_holds(F.col("c0.op"), F.col("feature"), F.col("c0.threshold"), guard))
-    for i in range(1, held):
-        c = F.col(f"c{i}")
-        found = found.where(c.isNull() | _holds(c["op"], F.col("values")[c["name"]], c["threshold"], guard))
-    if (known["longest"] or 0) > held:
-        found = found.where(
-            F.forall("rest", lambda c: _holds(c["op"], F.col("values")[c["name"]], c["threshold"], guard))
-        )
-    hits = found.select(*MOMENT, "rule_name", "result", F.lit("").alias("rule_description"))
+    conditions = rules.select("rule_id", "mixed", F.inline("conditions"))
+    asked = conditions.groupBy("mixed", F.when(F.col("mixed"), F.col("sensor")).alias("sensor"), "time_expression", "statistic").agg(F.count(F.lit(1)).alias("count"), F.max(F.col("rule_id").isNull()).alias("unnamed")).collect()
+    if not asked:
+        return events(_no_hits(readings))
+
+    parts = []
+    for mixed in sorted({row["mixed"] for row in asked}):
+        kind = [row for row in asked if row["mixed"] == mixed]
+        own, total = conditions.where(F.col("mixed") == mixed), sum(row["count"] for row in kind)
+        reqs = [Requirement(row["sensor"] or "", row["time_expression"], row["statistic"]) for row in kind if row["time_expression"] is not None]
+        if mixed:
+            table = assemble(_features(readings, reqs, config, align), reqs)
+            names, key = [r.name for r in reqs], F.concat("sensor", F.lit("|"), "series")
+        else:
+            sensors = own.select(F.col("sensor").alias("sensor_id")).distinct()
+            table = windows.features(readings.join(layout.small(sensors), "sensor_id", "left_semi"), reqs, config)
+            names, key = list(dict.fromkeys(r.series for r in reqs)), F.col("series")
+        if total > MANY_CONDITIONS:
+            table = table.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        told = own.select("rule_id", (F.lit("") if mixed else F.col("sensor")).alias("sensor"), key.alias("feature"), "op", "threshold")
+        parts.append(ruleindex.fired(table, MOMENT, names, told, total, guard, None if mixed else "sensor_id"))
+    found = reduce(DataFrame.unionByName, parts)
+    names = layout.small(rules.select(F.col("rule_id").alias("_id"), "rule_name", "result"))
+    same = F.col("rule_id").eqNullSafe(F.col("_id")) if any(row["unnamed"] for row in asked) else F.col("rule_id") == F.col("_id")
+    hits = found.join(names, same).select(*MOMENT, "rule_name", "result", F.lit("").alias("rule_description"))
     return events(hits, readings if snapshot else None)
 
 
