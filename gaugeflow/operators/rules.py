@@ -116,7 +116,7 @@ def check(
             mixed.append((rule, predicate))
             mixed_needs.update(dict.fromkeys(reqs))
     if alone:
-        parts.append(fired(features, [(rule, (F.col("sensor_id") == s) & rule.when(_RowStatus())) for s, group in alone.items() for rule, _ in group]))
+        parts.append(fired(features, [(rule, (F.col("sensor_id") == s) & rule.when(RowStatus())) for s, group in alone.items() for rule, _ in group]))
     for rule in functions:
         mixed_needs.update(dict.fromkeys(rule.requirements))
     if mixed or functions:
@@ -128,7 +128,7 @@ def check(
     return events(reduce(DataFrame.unionByName, parts), readings if snapshot else None)
 
 
-class _RowStatus(Status):
+class RowStatus(Status):
     """Status whose columns are the series of the row's own sensor."""
 
     def get(self, sensor_id: str, time_expression: str, statistic: str | None = None) -> Column:

@@ -15,7 +15,7 @@ from gaugeflow.plans.registry import query, table
 from gaugeflow.plans.rule_queries import CONDITION, DEMO, EVENTS_SQL, TOGETHER
 from gaugeflow.sources import readings as rd
 from gaugeflow.sources import sinks
-from gaugeflow.streaming import microbatch, stateful
+from gaugeflow.streaming import stateful
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -23,22 +23,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{layout.reliable_dir(spark)}/{name}-{uuid4().hex}"
 
 
-FILES = 4
+SLICES = 4
 
 
 def event_stream(spark: SparkSession, folder: str, assets: bool = False, where: str | None = None) -> DataFrame:
-    """The events table as a stream: its one file, or with ``where`` the FILES files it is cut into by time, one per batch."""
+    """The events table as a stream of readings: its one file, or with ``where`` SLICES slices of its time, one per batch,
+    and what ends the stream. A slice has a file per task of the scan; short of that, empty files make up their number."""
+    asset = "asset" if assets else None
+    reading = {"value": F.expr("if(event_id % 11 = 0, null, value)"), "asset": F.col("user_id") % 10}
     events = table(spark, folder, "events")
     if where is None:
         rows = rd.stream(spark, folder, events.schema, pathGlobFilter="events.parquet")
-    else:
-        low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
-        place = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * FILES / F.lit(max(1, high - low))), F.lit(FILES - 1))
-        for number in range(FILES):  # one after the other: a file's age is its place in the stream
-            events.where(place == number).coalesce(1).write.mode("append").parquet(f"{where}/events")
-        rows = rd.stream(spark, f"{where}/events", events.schema, maxFilesPerTrigger=1)
-    rows = rows.withColumns({"value": F.expr("if(event_id % 11 = 0, null, value)"), "asset": F.col("user_id") % 10})
-    return rd.from_long(rows, "event_type", "ts", "value", "asset" if assets else None, seq="event_id")
+        return rd.from_long(rows.withColumns(reading), "event_type", "ts", "value", asset, seq="event_id")
+    rows = rd.from_long(events.withColumns(reading), "event_type", "ts", "value", asset, seq="event_id").withColumn("ts", F.timestamp_micros("ts_us"))
+    low, high, tasks = rows.withColumn("_task", F.spark_partition_id()).agg(F.min("ts_us"), F.max("ts_us"), F.count_distinct("_task")).first()
+    place = F.least(F.floor((F.col("ts_us") - low) * SLICES / F.lit(max(1, high - low))), F.lit(SLICES - 1))
+    for number in range(SLICES):  # one after the other: a file's age is its place in the stream
+        rows.where(place == number).repartition(tasks).write.mode("append").parquet(f"{where}/events")
+        for _ in range(tasks * (number + 1) - len(spark.read.schema(stateful.BEAT).parquet(f"{where}/events").inputFiles())):
+            spark.createDataFrame([], stateful.BEAT).coalesce(1).write.mode("append").parquet(f"{where}/events")
+    stateful.close(spark, f"{where}/events")
+    return rd.stream(spark, f"{where}/events", stateful.BEAT, maxFilesPerTrigger=tasks)
 
 
 def drain(stream: DataFrame, where: str) -> DataFrame:
@@ -48,15 +53,6 @@ def drain(stream: DataFrame, where: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/out")
 
 
-def drained(spark: SparkSession, where: str, readings: DataFrame, answer) -> DataFrame:
-    """What ``answer`` makes of the readings of a stream that ends: first its files, then what the watermark held back."""
-    beats = stateful.heartbeats(spark, f"{where}/beats")
-    answered = answer(stateful.timed(readings.unionByName(beats)))
-    drain(answered, where)
-    stateful.close(spark, f"{where}/beats")
-    return drain(answered, where)
-
-
 @query(
     "x01_stream_features",
     f"""WITH {READINGS}, f AS (SELECT seq, sensor_id, value, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS peak
@@ -66,8 +62,8 @@ def drained(spark: SparkSession, where: str, readings: DataFrame, answer) -> Dat
 def stream_features(spark: SparkSession, folder: str) -> DataFrame:
     asked = [Requirement("any", "0"), Requirement("any", "10m:", "mean"), Requirement("any", "10m:", "max")]
     where = work_dir(spark, "features")
-    readings = event_stream(spark, folder, where=where)
-    out = drained(spark, where, readings, lambda r: stateful.status_stream(r, asked, delay="1 hour", by_sensor=True))
+    readings = stateful.timed(event_stream(spark, folder, where=where))
+    out = drain(stateful.status_stream(readings, asked, delay="1 hour", by_sensor=True), where)
     return out.select(
         "seq", "sensor_id", F.col("`0`").alias("value"), F.round("`10m:@mean`", 6).alias("mean"), F.col("`10m:@max`").alias("peak")
     )
@@ -81,27 +77,58 @@ ASSET_FRAME = FRAME.replace("event_id AS seq, ts,", "event_id AS seq, ts, user_i
 def stream_status(spark: SparkSession, folder: str) -> DataFrame:
     _, asked = TOGETHER.compile()
     where = work_dir(spark, "status")
-    out = drained(spark, where, event_stream(spark, folder, True, where), lambda r: stateful.status_stream(r, asked, delay="1 hour"))
+    out = drain(stateful.status_stream(stateful.timed(event_stream(spark, folder, True, where)), asked, delay="1 hour"), where)
     return out.select("seq", F.round("`view|10m:@mean`", 6).alias("view_mean"), F.col("`error|10m:@max`").alias("error_max"))
 
 
 @query("x03_stream_rules", f"WITH {ASSET_FRAME} SELECT seq, 'view_and_error' AS rule_name FROM status WHERE {CONDITION['view_and_error']}")
 def stream_rules(spark: SparkSession, folder: str) -> DataFrame:
-    predicate, asked = TOGETHER.compile()
     where = work_dir(spark, "rules")
-
-    def answer(readings: DataFrame) -> DataFrame:
-        return ru.events(ru.fired(stateful.status_stream(readings, asked, delay="1 hour"), [(TOGETHER, predicate)]))
-
-    return drained(spark, where, event_stream(spark, folder, True, where), answer).select("seq", "rule_name")
+    found = stateful.rule_stream(event_stream(spark, folder, True, where), [TOGETHER], delay="1 hour")
+    return drain(found, where).select("seq", "rule_name")
 
 
 @query("x04_stream_events", EVENTS_SQL + "SELECT seq, rule_name, result FROM fired")
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     where = work_dir(spark, "events")
-    microbatch.start(event_stream(spark, folder, where=f"{where}/in"), DEMO, where, delay="1h").awaitTermination()
-    microbatch.finish(spark, DEMO, where, delay="1h")
-    return spark.read.parquet(f"{where}/events").select("seq", "rule_name", "result")
+    return drain(stateful.rule_stream(event_stream(spark, folder, where=where), DEMO, delay="1 hour"), where).select("seq", "rule_name", "result")
+
+
+LATE = f"""WITH {READINGS}, arriving AS (
+  SELECT seq, sensor_id, ts, value, seq % 50 = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR AS late FROM counted
+), kept AS (SELECT *, count(value) OVER (PARTITION BY sensor_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM arriving WHERE NOT late)
+"""
+
+
+@query(
+    "x03_stream_late_rows",
+    LATE
+    + """SELECT 'answered' AS kind, count(*) AS readings, CAST(count(peak) AS BIGINT) AS peaks FROM
+      (SELECT max(value) OVER (PARTITION BY sensor_id ORDER BY n RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS peak FROM kept)
+    UNION ALL SELECT 'late', count(*), 0 FROM arriving WHERE late""",
+)
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One reading in fifty comes after all others: those more than the delay behind are counted by Spark, and no window holds them."""
+    where = work_dir(spark, "late")
+    rows = event_readings(spark, folder).withColumn("ts", F.timestamp_micros("ts_us"))
+    kept = F.col("seq") % 50 == 7
+    rows.where(~kept).write.parquet(f"{where}/first")
+    stream = rd.stream(spark, f"{where}/first", stateful.BEAT)
+    both = stream.unionByName(stateful.heartbeats(spark, f"{where}/beats"))
+    answered = stateful.status_stream(stateful.timed(both), [Requirement("any", "10m:", "max")], delay="2 hours", by_sensor=True)
+    drain(answered, where)
+    rows.where(kept).write.mode("append").parquet(f"{where}/first")
+    writer = answered.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/out")
+    late = 0
+    for end in (False, True):
+        if end:
+            stateful.close(spark, f"{where}/beats")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        late += sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    out = spark.read.schema(answered.schema).parquet(f"{where}/out")
+    told = out.agg(F.lit("answered").alias("kind"), F.count(F.lit(1)).alias("readings"), F.count("`10m:@max`").alias("peaks"))
+    return told.unionByName(spark.createDataFrame([("late", late, 0)], told.schema))
 
 
 @query("s03_stream_input", "SELECT event_id AS seq, event_type AS sensor_id, CASE WHEN event_id % 11 <> 0 THEN value END AS value FROM events")

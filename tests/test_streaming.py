@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from model import alike
 
 from gaugeflow.model import CheckerConfig, Requirement, Rule
 from gaugeflow.operators import rules as ru
-from gaugeflow.operators import windows
+from gaugeflow.operators import sliding, windows
 from gaugeflow.sources import readings as rd
 from gaugeflow.streaming import microbatch, stateful
 
@@ -132,6 +133,31 @@ def test_state_equals_batch_for_every_statistic_and_min_samples(spark, tmp_path,
     assert len(pick(got)) == want.count() and [str(r) for r in pick(got)] == [str(r) for r in pick(want)]
 
 
+@pytest.mark.parametrize("cuts", [[], [1500], [3, 40, 41, 700, 2900]])
+def test_batches_of_many_samples_and_kept_pages(cuts):
+    rng, config = random.Random(2), CheckerConfig(min_samples=5)
+    now = np.array([np.nan if rng.random() < 0.2 else float(rng.randint(0, 50)) for _ in range(3000)])
+    asked = [("0", None), ("700m", None), ("9m:", "mean"), ("400m:", "max"), ("900m:600m", "std"), ("350m:10m", "quantile"), ("50m:", "mode"), ("3m:", "count")]
+    series = [windows.resolve(Requirement("a", *a), config) for a in asked]
+    store, told = {}, []
+    for a, b in zip([0, *cuts], [*cuts, 3000]):
+        pages = sliding.Pages(store.get)
+        told.append(stateful._Sensor(pages, series, config).advance(now[a:b]))
+        for key, page in pages.changes():
+            store.pop(key) if page is None else store.__setitem__(key, page)
+    samples, seen = now[~np.isnan(now)], np.cumsum(~np.isnan(now))
+    for s, answer in zip(series, map(np.concatenate, zip(*told))):
+        if s.kind == "current":
+            want = now
+        else:
+            base = samples if s.kind == "lookback" else sliding.one_by_one(samples, s.start - s.end, s.statistic, 0.5)
+            place = seen - 1 - s.end
+            known = (place >= 0) & ((s.kind == "lookback") | (seen >= 5 + s.end))
+            want = np.where(known, base[np.maximum(place, 0)], np.nan)
+        assert np.allclose(answer, want, equal_nan=True), s
+    assert sum(map(len, store.values())) < 12_000
+
+
 def test_state_refuses_the_clock(spark, tmp_path):
     with pytest.raises(ValueError):
         stateful.status_stream(stateful.timed(batch(spark, rows(3))), ASKED, CheckerConfig(mode="time"))
@@ -192,3 +218,18 @@ def test_wide_stream_without_seq_is_refused(spark, tmp_path):
     spark.range(1).selectExpr("timestamp_seconds(id) AS ts", "1.0 AS a").write.parquet(str(tmp_path / "w"))
     with pytest.raises(ValueError):
         rd.from_wide(rd.stream(spark, str(tmp_path / "w"), "ts timestamp, a double"))
+
+
+@pytest.mark.parametrize("align", [True, False])
+def test_rule_stream_equals_batch(spark, tmp_path, align):
+    data = rows(60)
+    rules = RULES if align else [RULES[0], Rule("low", lambda s: s.get("b", "4m:", "min") < 2, "low")]
+    beats = str(tmp_path / "beats")
+    out = stateful.rule_stream(stream(spark, batches(spark, tmp_path, data)).unionByName(stateful.heartbeats(spark, beats)), rules, delay="10 minutes", align=align)
+    for _ in range(2):
+        query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        stateful.close(spark, beats)
+    pick = lambda df: sorted((r.asset, str(r.timestamp), r.seq, r.rule_name, r.result) for r in df.collect())
+    want = pick(ru.check(batch(spark, data), rules, align=align))
+    assert want and pick(spark.read.parquet(str(tmp_path / "o"))) == want
