@@ -342,3 +342,53 @@ def rolled(samples: np.ndarray, width: int, statistic: str, quantile: float = 0.
     row = Row(pages, "v")
     row.append(0, samples)
     return window(pages, "w", width, statistic, quantile).extend(row, 0, samples)
+
+
+def over_ranges(values: np.ndarray, low: np.ndarray, high: np.ndarray, statistic: str, quantile: float = 0.5) -> np.ndarray:
+    """The statistic of values[low:high] for windows whose ends never go back; NaN for an empty one, where counts are 0.
+
+    For statistics that merge, a point is fixed that windows have in them one after another: what lies before it is
+    gathered backwards once, what follows it forwards, and each window is one of these and one of those. When the
+    windows have left the point behind, the next one is fixed. Every value is gathered twice at most.
+    """
+    size = high - low
+    if statistic == "count":
+        return size.astype(float)
+    out = np.full(len(low), np.nan)
+    live = np.flatnonzero(size > 0)
+    if not len(live):
+        return out
+    low, high, size = low[live], high[live], size[live]
+    widest = int(size.max())
+    if widest <= NARROW:
+        step = max(1, WINDOW_CELLS // widest)
+        for at in range(0, len(live), step):
+            place = high[at : at + step, None] - widest + np.arange(widest)
+            windows = np.where(place >= low[at : at + step, None], values[np.maximum(place, 0)], np.nan)
+            out[live[at : at + step]] = _over(windows, statistic, quantile)
+    elif statistic in MERGED:
+        at = 0
+        while at < len(live):
+            point = int(high[at])
+            end = int(np.searchsorted(low, point, "left"))
+            own = slice(at, end)
+            tails = _runs(values[low[at] : point][::-1], statistic, None)[::-1][low[own] - low[at]]
+            more = high[own] > point
+            told = _merged(tails, None, statistic, size[own])
+            if more.any():
+                heads = _runs(values[point : high[end - 1]], statistic, None)[high[own][more] - 1 - point]
+                told[more] = _merged(heads, tails[more], statistic, size[own][more])
+            out[live[own]] = told
+            at = end
+    else:
+        counted, first, last = Counted(Pages(), "c"), int(low[0]), int(low[0])
+        listed = values.tolist()
+        for i, (a, b) in zip(live.tolist(), zip(low.tolist(), high.tolist())):
+            while last < b:
+                counted.add(listed[last])
+                last += 1
+            while first < a:
+                counted.remove(listed[first])
+                first += 1
+            out[i] = counted.mode() if statistic == "mode" else counted.quantile(0.75) - counted.quantile(0.25) if statistic == "iqr" else counted.quantile(quantile)
+    return out

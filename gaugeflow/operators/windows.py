@@ -10,11 +10,12 @@ aggregates over both make the cost per row independent of w, and nothing is subt
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from gaugeflow.functions.timeexpr import Duration, Interval
 from gaugeflow.model import CheckerConfig, Requirement
-from gaugeflow.operators import layout
+from gaugeflow.operators import layout, sliding
 
 KEYS = ["asset", "sensor_id"]
 ORDER = ["ts_us", "seq"]
@@ -41,6 +42,8 @@ PARTS = {
 }
 STATISTICS = (*PARTS, "quantile", "iqr", "mode")
 ZERO_START = ("mean", "variance", "std", "sum")
+# Rows of one sensor that Python may hold at a time, next to the history its windows reach back to.
+PYTHON_ROWS = 500_000
 
 
 def over_frame(statistic: str, value: Column, frame, q: float = 0.5) -> Column | None:
@@ -121,6 +124,8 @@ def features(
     the table they came from and the number of sensors: row counts are then taken there.
     """
     series = series_of(requirements, config)
+    if any(_in_python(s, config) for s in series):
+        config = replace(config, max_task_rows=min(config.max_task_rows, PYTHON_ROWS))
     if filled_from is None:
         split = layout.divide(readings, KEYS, config.layout, config.max_task_rows)
     else:
@@ -130,7 +135,7 @@ def features(
         if split.fits is not None:
             parts.append(_time_frames(split.fits, KEYS, series, config))
         if split.hot is not None:
-            parts.append(_time_split(split.hot, series, config))
+            parts.append(_time_split(split.hot, split.hot_rows, series, config))
     else:
         if split.fits is not None:
             upto = W.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
@@ -140,6 +145,11 @@ def features(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _in_python(s: Series, config: CheckerConfig) -> bool:
+    """Whether a series is computed on Arrow groups: windows by the clock, long order statistics and the long mode."""
+    return s.kind == "window" and (config.mode == "time" or (s.start - s.end >= config.wide_window and s.statistic not in PARTS))
+
+
 def _from_start(column: Column, s: Series, config: CheckerConfig) -> Column:
     """Value of a series before it has seen enough samples."""
     zero = s.statistic == "count" or (config.warmup == "zero" and s.statistic in ZERO_START)
@@ -178,7 +188,7 @@ def _sample_frames(df: DataFrame, keys: list[str], series: list[Series], config:
         elif s.kind == "window":
             if length >= config.wide_window and s.statistic in PARTS:
                 blocks.append(s)
-            elif length >= config.wide_window and s.statistic in ("quantile", "iqr"):
+            elif _in_python(s, config):
                 ranked.append(s)
             else:
                 frame = W.partitionBy(*keys).orderBy("n").rangeBetween(1 - s.start, -s.end)
@@ -257,7 +267,7 @@ def _block_windows(df: DataFrame, keys: list[str], series: list[Series]) -> tupl
 
 
 def _ranked_windows(df: DataFrame, keys: list[str], series: list[Series], config: CheckerConfig) -> DataFrame:
-    """Long rolling quantiles, one (asset, sensor, range) at a time; groups are bounded by the layout."""
+    """Long rolling quantiles and modes, one (asset, sensor, range) at a time; groups are bounded by the layout."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(s.name, T.DoubleType()) for s in series])
 
     def roll(rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +277,9 @@ def _ranked_windows(df: DataFrame, keys: list[str], series: list[Series], config
             return rows.assign(**{s.name: np.nan for s in series})
         for s in series:
             window = samples["value"].rolling(s.start - s.end, min_periods=1)
-            if s.statistic == "iqr":
+            if s.statistic == "mode":
+                answer = sliding.rolled(samples["value"].to_numpy(), s.start - s.end, "mode")
+            elif s.statistic == "iqr":
                 answer = (window.quantile(0.75) - window.quantile(0.25)).to_numpy()
             else:
                 answer = window.quantile(config.quantile).to_numpy()
@@ -300,8 +312,12 @@ def _sample_split(df: DataFrame, rows: int, series: list[Series], config: Checke
     return filled.unionByName(nulls.select(*ROW, *known))
 
 
-def _time_frames(df: DataFrame, keys: list[str], series: list[Series], config: CheckerConfig, carry: bool = False) -> DataFrame:
+def _time_frames(df: DataFrame, keys: list[str], series: list[Series], config: CheckerConfig, keep: list[str] = ROW, carry: bool = False) -> DataFrame:
     columns = {}
+    windows = [s for s in series if s.kind == "window"]
+    if windows:
+        df = _clock_windows(df, keys, windows, config)
+        columns = {s.name: F.nanvl(F.col(f"`{s.name}`"), F.lit(None)) for s in windows}
     by_time = W.partitionBy(*keys).orderBy("ts_us")
     sample = F.struct("ts_us", "seq", "value")
     for s in series:
@@ -312,39 +328,59 @@ def _time_frames(df: DataFrame, keys: list[str], series: list[Series], config: C
             columns[s.name] = last["value"]
             if carry:
                 columns[s.name] = F.coalesce(columns[s.name], F.col(f"`_carry_{s.name}`"))
-        elif s.kind == "window":
-            frame = by_time.rangeBetween(1 - s.start, -s.end)
-            columns[s.name] = over_frame(s.statistic, F.col("value"), frame, config.quantile)
-    extra = [c for c in df.columns if c == "_bucket"]
-    return _finish(df, ROW + extra, series, columns, config)
+    return _finish(df, keep, series, columns, config)
+
+
+def _clock_windows(df: DataFrame, keys: list[str], series: list[Series], config: CheckerConfig) -> DataFrame:
+    """Windows by the clock, one (asset, sensor, bucket) at a time: ``sliding`` makes a row cost the same however many the window holds."""
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(s.name, T.DoubleType()) for s in series])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("ts_us", "ascending"), ("seq", "ascending")])
+        at, value = rows.column("ts_us").to_numpy(), rows.column("value").fill_null(np.nan).to_numpy()
+        there = ~np.isnan(value)
+        when, value = at[there], value[there]
+        for s in series:
+            low, high = np.searchsorted(when, at - s.start + 1, "left"), np.searchsorted(when, at - s.end, "right")
+            rows = rows.append_column(s.name, pa.array(sliding.over_ranges(value, low, np.maximum(low, high), s.statistic, config.quantile)))
+        return rows
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-def _time_split(df: DataFrame, series: list[Series], config: CheckerConfig) -> DataFrame:
-    """Time buckets four lookbacks long; rows near the end of one are history of the next."""
+def _time_split(df: DataFrame, rows: int, series: list[Series], config: CheckerConfig) -> DataFrame:
+    """Sensors too long for one task: buckets of rows, each with the history its windows reach back to.
+
+    Ranges of similar row count whose first rows lie in one stretch of the longest lookback are one bucket. So a bucket
+    holds a range of rows or those of one lookback, and history comes from the two buckets before it at most.
+    """
     reach = max([s.start for s in series] + [1])
-    size = 4 * reach
-    home = F.floor(F.col("ts_us") / F.lit(size))
-    copies = F.when(F.col("ts_us") >= (home + 1) * size - reach, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = df.withColumn("_bucket", F.explode(copies))
+    cut = layout.ranges(df, KEYS, ORDER, rows, max(1, config.max_task_rows // 4))
+    firsts = cut.groupBy(*KEYS, "_range").agg(F.min("ts_us").alias("first")).withColumn("_cell", F.floor(F.col("first") / F.lit(reach)))
+    by = W.partitionBy(*KEYS).orderBy("_cell")
+    buckets = firsts.groupBy(*KEYS, "_cell").agg(F.min("first").alias("start")).withColumns({"_bucket": F.row_number().over(by), **{f"_start{k}": F.lead("start", k).over(by) for k in (1, 2, 3)}})
+    placed = cut.join(layout.small(firsts.join(buckets, [*KEYS, "_cell"]).drop("first", "start", "_cell")), [*KEYS, "_range"]).drop("_range")
+    bucket, at = F.col("_bucket"), F.col("ts_us")
+    moved = F.coalesce(at >= F.col("_start1"), F.lit(False))  # rows of one instant belong together
+    copies = [F.when(~moved, bucket), *[F.when(at > F.col(f"_start{k}") - reach, bucket + k) for k in (1, 2, 3)]]
+    placed = placed.withColumns({"_home": bucket + moved.cast("int"), "_copies": F.filter(F.array(*copies), lambda b: b.isNotNull())})
+    spread = placed.withColumn("_bucket", F.explode("_copies")).drop("_copies", "_start1", "_start2", "_start3")
     lookbacks = [s for s in series if s.kind == "lookback"]
     if lookbacks:
-        spread = spread.join(_carried(df, home, size, reach, lookbacks), KEYS + ["_bucket"], "left")
-    computed = _time_frames(spread, KEYS + ["_bucket"], series, config, carry=bool(lookbacks))
-    return computed.where(F.col("_bucket") == home).drop("_bucket")
+        spread = spread.join(_carried(placed, buckets, reach, lookbacks), [*KEYS, "_bucket"], "left")
+    computed = _time_frames(spread, [*KEYS, "_bucket"], series, config, [*ROW, "_bucket", "_home"], carry=bool(lookbacks))
+    return computed.where("_bucket = _home").drop("_bucket", "_home")
 
 
-def _carried(df: DataFrame, home: Column, size: int, reach: int, lookbacks: list[Series]) -> DataFrame:
+def _carried(placed: DataFrame, buckets: DataFrame, reach: int, lookbacks: list[Series]) -> DataFrame:
     """Per bucket, the last sample before its copied history: what an older lookback still sees."""
     sample = F.struct("ts_us", "seq", "value")
-    ended = df.where("value is not null").withColumn("_bucket", home)
-    early = F.col("ts_us") < (F.col("_bucket") + 1) * size - reach
-    ends = ended.groupBy(*KEYS, "_bucket").agg(
-        F.max(sample).alias("last"), F.max(F.when(early, sample)).alias("early")
-    )
-    # One row per bucket that has readings, so a bucket after a gap still looks back past it.
-    buckets = df.select(*KEYS, home.alias("_bucket")).distinct().join(ends, KEYS + ["_bucket"], "left")
-    by_bucket = W.partitionBy(*KEYS).orderBy("_bucket")
-    previous = F.max("early").over(by_bucket.rangeBetween(-1, -1))
-    older = F.max("last").over(by_bucket.rangeBetween(W.unboundedPreceding, -2))
-    carried = F.coalesce(previous, older)["value"]
-    return buckets.select(*KEYS, "_bucket", *[carried.alias(f"_carry_{s.name}") for s in lookbacks])
+    starts = buckets.select(*KEYS, F.col("_bucket").alias("_home"), "_start1", "_start2")
+    ended = placed.where("value is not null").select(*KEYS, "_home", "ts_us", "seq", "value").join(layout.small(starts), [*KEYS, "_home"])
+    before = lambda k: F.max(F.when(F.col("ts_us") <= F.col(f"_start{k}") - reach, sample))
+    ends = ended.groupBy(*KEYS, "_home").agg(F.max(sample).alias("last"), before(1).alias("early1"), before(2).alias("early2"))
+    by = W.partitionBy(*KEYS).orderBy("_bucket")
+    all_ends = buckets.join(ends.withColumnRenamed("_home", "_bucket"), [*KEYS, "_bucket"], "left")
+    older = F.max("last").over(by.rowsBetween(W.unboundedPreceding, -3))
+    carried = F.greatest(older, F.lag("early2", 2).over(by), F.lag("early1", 1).over(by))["value"]
+    return all_ends.select(*KEYS, "_bucket", *[carried.alias(f"_carry_{s.name}") for s in lookbacks])

@@ -50,17 +50,17 @@ counted AS (
 """
 
 
-def _one(name: str, expression: str, statistic: str | None, sql_value: str, frame: str | None, config: CheckerConfig = SAMPLES):
+def _one(name: str, expression: str, statistic: str | None, sql_value: str, frame: str | None, config: CheckerConfig = SAMPLES, digits: int = 6):
     """Register a query with one feature of every reading."""
     over = f"{sql_value} OVER (PARTITION BY sensor_id ORDER BY {frame})" if frame else sql_value
     over = f"CASE WHEN n >= {config.min_samples} THEN {over} END" if config.min_samples > 1 else over
-    statement = f"WITH {READINGS} SELECT seq, sensor_id, round(CAST({over} AS DOUBLE), 6) AS feature FROM counted"
+    statement = f"WITH {READINGS} SELECT seq, sensor_id, round(CAST({over} AS DOUBLE), {digits}) AS feature FROM counted"
 
     @query(name, statement)
     def run(spark: SparkSession, folder: str) -> DataFrame:
         req = Requirement("any", expression, statistic)
         computed = windows.features(event_readings(spark, folder), [req], config)
-        return computed.select("seq", "sensor_id", F.round(F.col(f"`{req.series}`"), 6).alias("feature"))
+        return computed.select("seq", "sensor_id", F.round(F.col(f"`{req.series}`"), digits).alias("feature"))
 
 
 def last(samples: int, end: int = 0) -> str:
@@ -88,6 +88,8 @@ _one("w15_window_with_end_offset", "1h:5m", "max", "max(value)", last(55, 5))
 _one("w15_end_offset_ignored", "1h:5m", "max", "max(value)", last(55), CheckerConfig(end_offset="ignore"))
 _one("w16_clock_window_mean", "6h:1h", "mean", "avg(value)", clock(21_600_000_000, 3_600_000_000), CLOCK)
 _one("w16_clock_window_count", "6h:", "count", "count(value)", clock(21_600_000_000, 0), CLOCK)
+for _statistic, _value in (("sum", "sum(value)"), ("max", "max(value)"), ("min", "min(value)"), ("abs_max", "max(abs(value))"), ("variance", "var_samp(value)"), ("std", "stddev_samp(value)"), ("quantile", "quantile_cont(value, 0.5)")):
+    _one(f"w16_clock_window_{_statistic}", "6h:1h", _statistic, _value, clock(21_600_000_000, 3_600_000_000), CLOCK, 3 if _statistic == "variance" else 6)
 
 # Long windows: same answers, another plan.
 _one("w04_rolling_mean_long", "3h30m:", "mean", "avg(value)", last(210), CheckerConfig(min_samples=210))
@@ -109,6 +111,39 @@ def rolling_iqr(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _feature(spark: SparkSession, folder: str, expression: str, statistic: str, config: CheckerConfig = SAMPLES, value=None) -> DataFrame:
+    req, readings = Requirement("any", expression, statistic), event_readings(spark, folder)
+    computed = windows.features(readings if value is None else readings.withColumn("value", value), [req], config)
+    return computed.select("seq", "sensor_id", F.round(F.col(f"`{req.series}`"), 6).alias("feature"))
+
+
+@query(
+    "w16_clock_window_iqr",
+    f"""WITH {READINGS} SELECT seq, sensor_id, round(quantile_cont(value, 0.75) OVER w - quantile_cont(value, 0.25) OVER w, 6) AS feature
+    FROM counted WINDOW w AS (PARTITION BY sensor_id ORDER BY {clock(21_600_000_000, 3_600_000_000)})""",
+)
+def clock_iqr(spark: SparkSession, folder: str) -> DataFrame:
+    return _feature(spark, folder, "6h:1h", "iqr", CLOCK)
+
+
+def _mode(within: str) -> str:
+    """The most frequent whole value among the samples b that the condition gives to a reading a; of equal ones the least."""
+    return f"""WITH {READINGS}, whole AS (SELECT * REPLACE (floor(value) AS value) FROM counted),
+    times AS (SELECT a.seq, b.value, count(*) AS times FROM whole a JOIN whole b ON a.sensor_id = b.sensor_id AND b.value IS NOT NULL AND {within} GROUP BY ALL),
+    best AS (SELECT seq, arg_max(value, times * 1e6 - value) AS value FROM times GROUP BY seq)
+    SELECT c.seq, c.sensor_id, b.value AS feature FROM counted c LEFT JOIN best b USING (seq)"""
+
+
+@query("w16_clock_window_mode", _mode("b.ts_us BETWEEN a.ts_us - 21599999999 AND a.ts_us - 3600000000"))
+def clock_mode(spark: SparkSession, folder: str) -> DataFrame:
+    return _feature(spark, folder, "6h:1h", "mode", CLOCK, F.floor("value").cast("double"))
+
+
+@query("w13_rolling_mode_long", _mode("b.n BETWEEN a.n - 1439 AND a.n"))
+def long_mode(spark: SparkSession, folder: str) -> DataFrame:
+    return _feature(spark, folder, "1d:", "mode", value=F.floor("value").cast("double"))
+
+
 @query(
     "w13_rolling_mode",
     f"""WITH {READINGS},

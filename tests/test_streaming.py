@@ -13,6 +13,17 @@ from gaugeflow.sources import readings as rd
 from gaugeflow.streaming import microbatch, stateful
 
 MINUTE = 60_000_000
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful stream is a store of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SCHEMA = "asset string, sensor_id string, ts_us bigint, seq bigint, value double"
 RULES = [
     Rule("high", lambda s: s.get("a", "0") > 7, "high"),

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,50 @@ def test_nan_and_text_timestamps(spark):
     df = spark.createDataFrame([("s", "2024-01-01 00:00:00", float("nan")), ("s", "2024-01-01 00:01:00", 1.0)], "sensor_id string, ts string, value double")
     rows = rd.from_long(df).orderBy("ts_us").collect()
     assert [r.value for r in rows] == [None, 1.0] and rows[1].ts_us - rows[0].ts_us == MINUTE
+
+
+@pytest.mark.parametrize("statistic", ["mean", "std", "variance", "sum", "max", "min", "abs_max", "count", "quantile", "iqr", "mode"])
+def test_clock_windows_in_buckets_of_rows(spark, statistic):
+    """Bursts, gaps, ties of one instant and nulls; every layout against looking at each window by itself."""
+    rng = random.Random(11)
+    data, at = [], 0
+    for seq in range(700):
+        at += rng.choice([0, 0, 0, 1, 1, 7, 400 if rng.random() < 0.1 else 2])
+        data.append(("", "a", at * 1_000_000, seq, rng.choice([None, 1e9]) if rng.random() < 0.05 else float(rng.randint(0, 6))))
+    df = spark.createDataFrame(data, "asset string, sensor_id string, ts_us bigint, seq bigint, value double").withColumn("ts", F.timestamp_micros("ts_us"))
+    asked = [Requirement("a", "60s:", statistic), Requirement("a", "300s:20s", statistic), Requirement("a", "3s:", statistic), Requirement("a", "45s"), Requirement("a", "0")]
+
+    def over(low, high):
+        w = np.array([v for *_, t, _, v in data if low <= t <= high and v is not None])
+        if not len(w):
+            return 0.0 if statistic == "count" else None
+        mode = min(set(w), key=lambda v: (-(w == v).sum(), v))
+        return {
+            "mean": w.mean(), "std": w.std(ddof=1) if len(w) > 1 else None, "variance": w.var(ddof=1) if len(w) > 1 else None, "sum": w.sum(), "max": w.max(), "min": w.min(),
+            "abs_max": np.abs(w).max(), "count": len(w), "quantile": np.quantile(w, 0.5), "iqr": np.quantile(w, 0.75) - np.quantile(w, 0.25), "mode": mode,
+        }[statistic]
+
+    def back(t):
+        held = [(x, s, v) for *_, x, s, v in data if x <= t - 45_000_000 and v is not None]
+        return max(held)[2] if held else None
+
+    want = {s: [over(t - 59_999_999, t), over(t - 299_999_999, t - 20_000_000), over(t - 2_999_999, t), back(t), v] for *_, t, s, v in data}
+    for config in (CheckerConfig(mode="time"), CheckerConfig(mode="time", layout="split", max_task_rows=100), CheckerConfig(mode="time", layout="split", max_task_rows=2000)):
+        got = {r.seq: [r[a.series] for a in asked] for r in windows.features(df, asked, config).collect()}
+        assert got.keys() == want.keys()
+        for seq in want:
+            assert all((g is None) == (w is None) and (g is None or abs(g - w) <= 1e-6 * max(1.0, abs(w))) for g, w in zip(got[seq], want[seq])), (config, seq, got[seq], want[seq])
+
+
+@pytest.mark.parametrize("config", [CheckerConfig(), CheckerConfig(layout="split", max_task_rows=300)])
+def test_long_mode(spark, config):
+    rng = random.Random(12)
+    data = [("", "a", s * 1_000_000, s, None if rng.random() < 0.1 else float(rng.randint(0, 9))) for s in range(900)]
+    df = spark.createDataFrame(data, "asset string, sensor_id string, ts_us bigint, seq bigint, value double").withColumn("ts", F.timestamp_micros("ts_us"))
+    asked = Requirement("a", "200m:", "mode")
+    got = {r.seq: r[asked.series] for r in windows.features(df, [asked], config).collect()}
+    seen = []
+    for *_, seq, value in data:
+        seen += [] if value is None else [value]
+        last = seen[-200:]
+        assert got[seq] == (min(set(last), key=lambda v: (-last.count(v), v)) if last else None)
