@@ -107,14 +107,15 @@ def svm(x: np.ndarray, y: np.ndarray, *, epochs: int, penalty: float, seed: int)
     return mean_w, mean_b
 
 
-def fit(docs: DataFrame, text: Column, label: Column, key: Column, *, each: int = 500, bits: int = 12, epochs: int = 20, penalty: float = 1e-3, seed: int = 1) -> Model:
-    """A model from about `each` labelled documents per language (the only bound; languages beyond 1000 are left out).
+def fit(docs: DataFrame, text: Column, label: Column, key: Column | None = None, *, each: int = 500, bits: int = 12, epochs: int = 20, penalty: float = 1e-3, seed: int = 1) -> Model:
+    """A model from about `each` labelled documents per language; of many languages fewer each, see sampling.per_class.
+    `key` is not looked at: rows are drawn, not keys.
 
     Whole texts of the sample are counted by the executors; one row of 2 ** bits shares per document comes to the
     driver, which fits the machines. Null labels are not used. Without any label the model has no family.
     """
-    rows = docs.select(key.alias("key"), label.alias("label"), text.alias("text"))
-    found = per_class(rows, "label", "key", each).select("label", "text").mapInArrow(sample_features(bits), "label string, share binary").toArrow().sort_by([("label", "ascending"), ("share", "ascending")])
+    rows = docs.select(label.alias("label"), text.alias("text"))
+    found = per_class(rows, "label", each).select("label", "text").mapInArrow(sample_features(bits), "label string, share binary").toArrow().sort_by([("label", "ascending"), ("share", "ascending")])
     labels = np.array(found.column("label").to_pylist(), object)
     families: dict[str, list[str]] = {}
     for language in sorted(set(labels)):

@@ -148,14 +148,16 @@ def encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", each: int = 1500, hidden: int = 16, steps: int = 400, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
     """A model from about `each` documents of either label (the only bound), with labels (key, label: 0 or 1) by key.
+    Keys are drawn first, then rows of these keys.
 
     The executors encode whole texts of the sample; their passages (about 700 bytes each) come to the driver, which
     trains. Keys with several labels take the lower one; null keys and labels are left out. Where only one label is
     found every document scores that label, and 0.5 where none is.
     """
     told = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.min(label).cast("int").alias("label"))
-    chosen = per_class(told, "label", "key", each)  # about 2 * each rows
+    chosen = per_class(told, "label", each)  # about 2 * each keys
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("label", "text")
+    rows = per_class(rows, "label", each)  # a key may be that of many rows
     found = rows.mapInArrow(encoder, "label int, bag binary").toArrow().sort_by([("label", "ascending"), ("bag", "ascending")])
     y = found.column("label").to_numpy()
     if len(set(y)) < 2:

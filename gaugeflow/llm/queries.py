@@ -74,7 +74,7 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = crc_part(F.col("doc_id"), 4) == 2
-    model = language.fit(docs.where(~held_out), F.col("text"), F.col("lang"), F.col("doc_id"))
+    model = language.fit(docs.where(~held_out), F.col("text"), F.col("lang"))
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

@@ -6,7 +6,7 @@ from llm_rows import frame, odd_rows
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES} and set(queries.QUERIES) | {"pipeline"} <= names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES} and set(queries.QUERIES) | {"pipeline"} <= names
 
 
 def test_stages_keep_the_columns(spark, odd, nothing, data, tmp_path):
