@@ -80,3 +80,37 @@ def test_odd_rows(spark):
     told = [(r.page_id, r.text) for r in html_text.extract(pages, html_text.fit(pages)).collect()]
     assert sorted(told, key=str) == sorted([(1, ""), (2, ""), (3, "plain words only"), (3, "plain words only"), (None, "a & b"), (4, ("long " * 50_000).strip())], key=str)
     assert html_text.extract(pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
+
+
+LONG = "Many more words than the article has. " * 60
+KEPT = "\n\n".join(["Real title", ("First paragraph with plain words. " * 8).strip(), ("Second paragraph and more words. " * 8).strip()])
+
+
+@pytest.mark.parametrize("part", ["<nav>{}</nav>", "<footer><p>{}</p></footer>", "<aside><p>{}</p></aside>", "<div class='sidebar'><p>{}</p></div>", "<section class='comments'><article><p>{}</p></article></section>", "<div id='comments'><div class='comment'><p>{}</p></div></div>", "<form><p>{}</p></form>", "<div class='related'><p>{}</p></div>"])
+@pytest.mark.parametrize("page", ["<body><article>{a}{p}</article></body>", "<body><article>{a}</article>{p}</body>", "<body>{p}<main>{a}</main></body>", "<body><main><article>{a}</article>{p}</main></body>"])
+def test_long_parts_stay_apart(spark, part, page):
+    weights = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    html_page = page.format(a=ARTICLE, p=part.format(LONG))
+    assert html_text.main_text(html_page, weights) == html_text.main_text(html_page, html_text.Weights()) == KEPT
+
+
+@pytest.mark.parametrize("part", ["<nav>{}</nav>", "<footer><p>{}</p></footer>", "<section class='comments'><article><p>{}</p></article></section>", "<aside><p>{}</p></aside>"])
+def test_long_parts_beside_a_plain_text(part):
+    assert html_text.main_text(f"<body><div>{ARTICLE}</div>{part.format(LONG)}</body>", html_text.Weights()).startswith("Real title") or "comments" in part
+    assert "Many more" not in html_text.main_text(f"<body><article>{ARTICLE}</article>{part.format(LONG)}</body>", html_text.Weights())
+
+
+def test_the_only_article_may_stand_among_comments():
+    assert html_text.main_text(f"<div class='comments-page'><article>{ARTICLE}</article></div>", html_text.Weights()) == KEPT
+
+
+@pytest.mark.parametrize("unit", ["<font>w ", "<b>w <i>x </u>", "<div>w ", "<a \"w ", "</p>w ", "<div class='share'>w "])
+def test_time_is_linear_in_the_page(unit):
+    import time
+
+    seconds = []
+    for n in (8_000, 64_000):
+        begin = time.process_time()
+        html_text.main_text(unit * n, html_text.Weights())
+        seconds.append(time.process_time() - begin)
+    assert seconds[1] < 16 * seconds[0] + 0.5, seconds
