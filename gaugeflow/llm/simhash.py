@@ -218,12 +218,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     any other. Null keys are never the smallest: a component of null keys only has a null component. Repeated rows are
     rows of one component. Empty input gives no rows; other columns stay in `row`.
     """
-    hashed = docs.select(F.struct(*carry).alias("row"), F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("code"))
-    ids = stored(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("code"))) if carry != (key,) else stored(hashed.select("key", "code"))
+    # written once: the fingerprint is the dearest part and both what links and what is linked need it
+    hashed = stored(docs.select(F.struct(*carry).alias("row"), F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("code")))
+    ids = hashed.select("key", "code")
     codes = stored(ids.groupBy("code").agg(F.min("key").alias("least")))
     roots = stored(components(links(codes, max_bits=max_bits)))
     told = stored(codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")))
     smallest = stored(told.groupBy("root").agg(F.min("least").alias("component")))
     told = stored(told.join(smallest, "root").select("code", "root", "component"))
-    rows = ids.select(F.struct(F.col("key").alias(key)).alias("row"), "key", "code") if carry == (key,) else hashed
-    return rows.join(told, "code").select("row", "code", "root", "component")
+    return hashed.join(told, "code").select("row", "code", "root", "component")
