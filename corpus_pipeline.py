@@ -27,10 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of fingerprints within two bits: the one with the smallest id (of repeated rows, one)."""
+    """One document of each group of fingerprints within two bits: the one with the smallest id (of several, the least by all columns)."""
     small_batches(spark)
     told = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    return told.where(F.col("row.doc_id").eqNullSafe(F.col("component"))).dropDuplicates(["root"]).select("row.*")
+    return told.where(F.col("row.doc_id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
