@@ -93,7 +93,9 @@ def analyse(body: Column | str) -> Column:
 def requirements(rules: DataFrame, body: str = "rule_body") -> DataFrame:
     """Distinct (sensor_id, time_expression, statistic) over all rules; a rule that does not parse has none."""
     return (
-        rules.select(F.explode(analyse(body)["calls"]).alias("call"))
+        rules.select(body)
+        .distinct()  # each text is parsed once
+        .select(F.explode(analyse(body)["calls"]).alias("call"))
         .select("call.*")
         .where(F.col("sensor_id").isNotNull() & (F.col("sensor_id") != ""))
         .where(F.col("time_expression").isNotNull() & (F.col("time_expression") != ""))

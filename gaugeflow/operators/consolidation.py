@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions import rulecalls
+from gaugeflow.functions import rulecalls, texts
 from gaugeflow.model import ACTION_TYPES, MAX_RULES_PER_BATCH
 from gaugeflow.operators import layout, rulebase
 
@@ -23,8 +23,9 @@ def batches(rules: DataFrame, size: int = MAX_RULES_PER_BATCH, group_layout: str
     """
     if whole_up_to and rules.limit(whole_up_to + 1).count() <= whole_up_to:
         return rules.withColumns({"batch_key": F.lit("all"), "batch_no": F.lit(0).cast("bigint")})
-    sensors = rulecalls.sensor_set(F.col("rule_body"))
-    keyed = rules.withColumn("batch_key", F.when(F.size(sensors) > 0, F.array_join(sensors, ",")).otherwise(NO_SENSORS))
+    # parsed once per distinct text and written: sets are counted before rules are placed in them
+    keyed = texts.once(rules, "rule_body", "_sensors", rulecalls.sensor_set, keep=lambda told: layout.stored(told, "sensors"))
+    keyed = keyed.withColumn("batch_key", F.when(F.size("_sensors") > 0, F.array_join("_sensors", ",")).otherwise(NO_SENSORS)).drop("_sensors")
     placed = layout.running_count(keyed, ["batch_key"], ["rule_id"], name="_place", layout=group_layout)
     return placed.withColumn("batch_no", F.floor((F.col("_place") - 1) / F.lit(size))).drop("_place")
 

@@ -44,12 +44,14 @@ def parse_answers(answers: DataFrame, answer: str = "answer", keys: tuple[str, .
     rows = read.select(*keys, error.alias("error"), "root").select(
         *keys, "error", F.posexplode_outer(F.when(F.col("error").isNull(), got(F.col("root"), "$.rules", "array<variant>"))).alias("rule_idx", "rule")
     )
-    kinds = {f: F.schema_of_variant(got(F.col("rule"), f"$.{f}")) for f in RULE_FIELDS}
-    wrong = ~F.schema_of_variant("rule").startswith("OBJECT")
-    for kind in kinds.values():
-        wrong = wrong | F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
-    fields = [F.when(kind == "STRING", got(F.col("rule"), f"$.{f}", "string")).alias(f) for f, kind in kinds.items()]
-    return rows.where("rule_idx is not null or error is not null").select(
+    # the object is taken apart once, by its keys; what is no object has no keys and is told apart by that
+    rows = rows.where("rule_idx is not null or error is not null").withColumn("rule", got(F.col("rule"), "$", "map<string,variant>"))
+    rows = rows.withColumns({f"_{f}": F.try_element_at("rule", F.lit(f)) for f in RULE_FIELDS}).withColumns({f"_kind_{f}": F.schema_of_variant(f"_{f}") for f in RULE_FIELDS})
+    wrong = F.col("rule").isNull()
+    for f in RULE_FIELDS:
+        wrong = wrong | F.coalesce(~F.col(f"_kind_{f}").isin("STRING", "VOID"), F.lit(False))
+    fields = [F.when(F.col(f"_kind_{f}") == "STRING", got(F.col(f"_{f}"), "$", "string")).alias(f) for f in RULE_FIELDS]
+    return rows.select(
         *keys, "rule_idx", *fields, F.coalesce("error", F.when(F.col("rule_idx").isNotNull() & F.coalesce(wrong, F.lit(True)), F.lit("types"))).alias("error")
     )
 

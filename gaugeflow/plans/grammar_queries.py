@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions import rulecalls, timeexpr
+from gaugeflow.functions import rulecalls, texts, timeexpr
 from gaugeflow.plans.registry import derived, plain, query
 
 # One expression per order line, over every form the grammar accepts or rejects.
@@ -88,7 +88,7 @@ def duration_strict(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t03_interval", f"WITH {EXPR}, {parsed_sql('e', 'expr')} SELECT {ID_LIST}, start_us, end_us, is_interval FROM p")
 def interval(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = expressions(spark, folder).withColumn("t", timeexpr.interval(F.col("expr")))
+    parsed = texts.once(expressions(spark, folder), "expr", "t", timeexpr.interval)
     return parsed.select(*IDS, "t.start_us", "t.end_us", "t.is_interval")
 
 
@@ -205,4 +205,5 @@ def requirements(spark: SparkSession, folder: str) -> DataFrame:
     (SELECT rule_id, string_agg(DISTINCT sensor_id, ',' ORDER BY sensor_id) AS sensors FROM c WHERE rule_id % 11 <> 9 GROUP BY rule_id) s ON r.rule_id = s.rule_id""",
 )
 def sensors_per_rule(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_texts(spark, folder).select("rule_id", F.array_join(rulecalls.sensor_set(F.col("rule_body")), ",").alias("sensors"))
+    read = texts.once(rule_texts(spark, folder), "rule_body", "sensors", rulecalls.sensor_set)
+    return read.select("rule_id", F.array_join("sensors", ",").alias("sensors"))
