@@ -46,6 +46,30 @@ def chunks_by_separator(spark: SparkSession, folder: str) -> DataFrame:
     return dc.chunk_by_separator(documents(spark, folder).select("doc_id", "text"))
 
 
+@query(
+    "d01_separator_properties",
+    r"""SELECT doc_id, 0 AS too_long, 0 AS words_lost, true AS from_start, true AS to_end FROM documents WHERE regexp_matches(text, '[^ \t\n\v\f\r]')""",
+)
+def separator_properties(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds of chunks that end at separators: none is too long, no word is lost, and they run from the start of a text to its end."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    made = dc.chunk_by_separator(docs)
+    words = lambda text: F.array_distinct(F.split(text, r"\s+"))
+    of_chunks = made.groupBy("doc_id").agg(
+        F.count_if(F.length("page_content") > 1000).cast("int").alias("too_long"),
+        F.array_distinct(F.flatten(F.collect_list(words(F.col("page_content"))))).alias("kept"),
+        F.min_by("page_content", "chunk_index").alias("first"),
+        F.max_by("page_content", "chunk_index").alias("last"),
+    )
+    both = of_chunks.join(docs, "doc_id")
+    short = F.filter(words(F.col("text")), lambda w: (F.length(w) < 1000) & (w != ""))
+    return both.select(
+        "doc_id", "too_long", F.size(F.array_except(short, "kept")).alias("words_lost"),
+        F.startswith(F.btrim("text", F.lit(" \t\n\x0b\f\r")), F.col("first")).alias("from_start"),
+        F.endswith(F.btrim("text", F.lit(" \t\n\x0b\f\r")), F.col("last")).alias("to_end"),
+    )
+
+
 @query(
     "d02_chunk_records",
     f"""WITH {CHUNKS} SELECT doc_id, chunk_index, substr(page_content, 1, 500) AS content_preview, sha256(page_content) AS content_hash,

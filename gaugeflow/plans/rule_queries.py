@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from gaugeflow.model import CheckerConfig, Requirement, Rule, RuleFunction
 from gaugeflow.operators import rules as ru
 from gaugeflow.operators.rules import truthy
 from gaugeflow.plans.feature_queries import FRAME, event_readings
-from gaugeflow.plans.registry import derived, plain, query
+from gaugeflow.plans.catalog_queries import RULES
+from gaugeflow.plans.registry import derived, plain, query, table
+from gaugeflow.sources import rules as sr
 
 HIGH = Rule("high_click_alert", lambda s: truthy(s.get("click", "0")) & (s.get("click", "0") > 120), "high_click", "Click above 120")
 SUSTAINED = Rule(
@@ -238,3 +242,36 @@ def pair_rows(spark: SparkSession, folder: str) -> DataFrame:
 def rules_as_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = derived(spark, folder, RULE_ROWS, "part")
     return ru.check_rows(event_readings(spark, folder), rows, align=False, snapshot=False).select("seq", "rule_name", "result")
+
+
+# Rules whose text is catalogued and whose function is registered under their name.
+FOUND = """SELECT seq, '{spread}' AS rule_name, printf('click %.2f over mean', click) AS result FROM status
+    WHERE click <> 0 AND click_mean <> 0 AND click - click_mean > 80 AND '{spread}' IN (SELECT name FROM loaded)
+    UNION ALL SELECT seq, '{ratio}', 'ratio high' FROM status WHERE view_mean <> 0 AND click / view_mean > 3 AND '{ratio}' IN (SELECT name FROM loaded)"""
+
+
+def _registry(spread: str, ratio: str) -> dict[str, RuleFunction]:
+    return {spread: replace(SPREAD, name=spread), ratio: replace(FRAGILE, name=ratio), "unused": replace(FRAGILE, name="unused")}
+
+
+@query(
+    "r19_registered_rules",
+    f"""WITH rules AS ({plain(RULES)}), {FRAME}, loaded AS (SELECT rule_type AS name FROM rules WHERE collection_id = 3 AND verification_status = 'ok')
+    {FOUND.format(spread="safety", ratio="operational")}""",
+)
+def registered_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """From the catalogue to events: the rules of a collection by their kind, each kind a registered function."""
+    loaded = sr.load_rules(derived(spark, folder, RULES, "lineitem"), collection_id=3, parity=True)
+    rules = ru.from_rule_table(loaded.select(F.col("rule_type").alias("rule_name")), _registry("safety", "operational"))
+    return ru.check(event_readings(spark, folder), rules, snapshot=False).select("seq", "rule_name", "result")
+
+
+@query(
+    "s08_rules_from_list",
+    f"WITH {FRAME}, loaded AS (SELECT lower(r_name) AS name FROM region) {FOUND.format(spread='europe', ratio='asia')}",
+)
+def rules_from_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules given as dicts in a program, here one per region, to the events of those that have a function."""
+    given = [{"rule_name": row["name"], "rule_body": "def f(status): return None"} for row in table(spark, folder, "region").select(F.lower("r_name").alias("name")).collect()]  # five regions
+    rules = ru.from_rule_table(sr.from_dicts(spark, given), _registry("europe", "asia"))
+    return ru.check(event_readings(spark, folder), rules, snapshot=False).select("seq", "rule_name", "result")
