@@ -135,6 +135,15 @@ def top_k_grid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("d06_near_top_k", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def near_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The bucketed search for every fiftieth vector against all: at least nine tenths of the exact answers."""
+    vectors, queries = all_queries(spark, folder)
+    asked = queries.where("query_id % 50 = 0")
+    told = rt.recall(rt.near_top_k(vectors, asked), rt.top_k(vectors, asked))
+    return told.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(
     "d07_contexts",
     f"""WITH {TOP} SELECT query_id, count(*) AS num_retrieved_docs,

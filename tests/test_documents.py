@@ -109,3 +109,20 @@ def test_sensor_csv_and_upsert(spark, tmp_path):
     path.write_text("id,name,description,unit,example\n,none,,,\n")
     with pytest.raises(ValueError):
         ss.read_csv(spark, str(path), 4)
+
+
+def test_near_top_k_is_exact_within_its_buckets(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).tolist()) for i in range(800)] + [(800 + i, centres[0].tolist()) for i in range(300)] + [(2000, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = rt.top_k(vectors.where("embedding IS NOT NULL"), asked.where("embedding IS NOT NULL"), 10)
+    near = rt.near_top_k(vectors, asked, 10, bits=5, free=1, tables=4, block_rows=100)  # neighbours are close: few buckets do
+    assert rt.recall(near, exact).first().recall > 0.95
+    score = {(r.query_id, r["rank"]): r.score for r in exact.collect()}
+    assert all(r.score <= score[r.query_id, r["rank"]] + 1e-9 for r in near.collect())
+    every = rt.near_top_k(vectors, asked, 10, bits=2, free=2, tables=1, block_rows=100)  # all buckets: the exact answer
+    key = lambda df: sorted((r.query_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    assert key(every) == key(exact)
+    assert rt.near_top_k(vectors.limit(0), asked).count() == 0
