@@ -19,8 +19,11 @@ from pyspark.sql import SparkSession
 
 from gaugeflow.model import CheckerConfig, Requirement
 from gaugeflow.operators import windows
+from gaugeflow.operators.rules import check_rows
 from gaugeflow.plans import all_queries
 from gaugeflow.plans.feature_queries import event_readings
+from gaugeflow.plans.registry import derived
+from gaugeflow.plans.rule_queries import RULE_ROWS
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -37,6 +40,16 @@ def window(minutes: int, statistic: str, **config):
     return lambda spark, folder: windows.features(event_readings(spark, folder), [req], CheckerConfig(**config))
 
 
+def rules(count: int):
+    """So many rules held as rows, of two conditions each."""
+
+    def run(spark, folder):
+        rows = derived(spark, folder, RULE_ROWS, "part").where(f"rule_id <= {count}")
+        return check_rows(event_readings(spark, folder), rows, align=False, snapshot=False)
+
+    return run
+
+
 def cases() -> dict:
     out = {
         f"window_{minutes}_{statistic}": window(minutes, statistic)
@@ -45,6 +58,7 @@ def cases() -> dict:
     }
     out["window_1440_mean_sliding"] = window(1440, "mean", wide_window=10_000)
     out["window_100_mean_split"] = window(100, "mean", layout="split", max_task_rows=40_000)
+    out |= {f"rules_{count}": rules(count) for count in (3, 100, 1000)}
     queries = all_queries()
     return out | {name: queries[name] for name in REGISTERED}
 
