@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.model import CheckerConfig, Requirement, Rule, RuleFunction, Status
-from gaugeflow.operators import layout, ruleindex, windows
+from gaugeflow.operators import layout, ruleindex, ruletrace, windows
 from gaugeflow.sources import readings as rd
 
 log = logging.getLogger(__name__)
@@ -206,8 +206,30 @@ class _FunctionStatus:
 
 
 def _called(table: DataFrame, rules: Sequence[RuleFunction], config: CheckerConfig) -> DataFrame:
-    """Run rule functions over Arrow batches of moments; anything but None is an event."""
+    """What rule functions say of every moment; anything but None is an event.
+
+    Functions that can be traced become expressions, the others run over Arrow batches of moments.
+    """
     names = list(dict.fromkeys(r.name for rule in rules for r in rule.requirements))
+    trees = [(rule, ruletrace.traced(rule.fn, names)) for rule in rules]
+    parts, told = [], [(rule, tree) for rule, tree in trees if tree is not None]
+    if told:
+        arrays, group, size = [], [], 0
+        for rule, tree in told:
+            group.append(ruletrace.outcome(tree, rule.name, rule.description))
+            size += ruletrace.leaves(tree)
+            if size >= RULES_PER_PROJECTION or rule is told[-1][0]:
+                arrays.append(F.filter(F.array(*group), lambda said: said.isNotNull()))
+                group, size = [], 0
+        parts.append(table.select(*MOMENT, F.inline(F.concat(*arrays))))
+    rest = [rule for rule, tree in trees if tree is None]
+    if rest:
+        parts.append(_run(table, rest, names))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _run(table: DataFrame, rules: Sequence[RuleFunction], names: list[str]) -> DataFrame:
+    """Rule functions as they are, over Arrow batches of moments."""
     calls = [(rule.name, rule.description, rule.fn) for rule in rules]
     moment = table.select(*MOMENT, *[f"`{n}`" for n in names])
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moment.schema.fields if f.name in MOMENT)

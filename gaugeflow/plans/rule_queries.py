@@ -162,6 +162,40 @@ def rule_functions(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("seq", "rule_name", "result")
 
 
+def _zone(status):
+    """Several ways to an event, with missing values and a computed feature."""
+    now, mean, spread = status.get("click", "0"), status.get("click", "10m:", "mean"), status.get("click", "10m:", "std")
+    if now is None or mean is None:
+        return "no click" if status.get("view", "0") is None else None
+    if spread and abs(now - mean) > 2 * spread:
+        return "far above" if now > mean else "far below"
+    return next((f"level {step}" for step in (120, 100) if now > step), None)
+
+
+TRACED = [
+    RuleFunction("high_click", lambda s: "high" if s.get("click", "0") and s.get("click", "0") > 120 else None, (Requirement("click", "0"),)),
+    RuleFunction("sustained_view", lambda s: "sustained" if (s.get("view", "10m:", "mean") or 0) > 70 else None, (Requirement("view", "10m:", "mean"),)),
+    RuleFunction("error_peak", lambda s: "peak" if (s.get("error", "10m:", "max") or 0) > 200 else None, (Requirement("error", "10m:", "max"),)),
+    RuleFunction("click_zone", _zone, (Requirement("click", "0"), Requirement("click", "10m:", "mean"), Requirement("click", "10m:", "std"), Requirement("view", "0"))),
+]
+
+
+@query(
+    "r11_traced_functions",
+    f"""WITH {FRAME}, zone AS (SELECT seq, CASE
+        WHEN click IS NULL OR click_mean IS NULL THEN CASE WHEN view IS NULL THEN 'no click' END
+        WHEN click_std <> 0 AND abs(click - click_mean) > 2 * click_std THEN CASE WHEN click > click_mean THEN 'far above' ELSE 'far below' END
+        WHEN click > 120 THEN 'level 120' WHEN click > 100 THEN 'level 100' END AS result FROM status)
+    SELECT seq, 'high_click' AS rule_name, 'high' AS result FROM status WHERE click > 120
+    UNION ALL SELECT seq, 'sustained_view', 'sustained' FROM status WHERE view_mean > 70
+    UNION ALL SELECT seq, 'error_peak', 'peak' FROM status WHERE error_max > 200
+    UNION ALL SELECT seq, 'click_zone', result FROM zone WHERE result IS NOT NULL""",
+)
+def traced_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """Python rule functions that become expressions: no Python worker takes part."""
+    return ru.check(event_readings(spark, folder), TRACED, snapshot=False).select("seq", "rule_name", "result")
+
+
 @query("r10_function_errors", f"WITH {FRAME} SELECT seq, 'click_view_ratio' AS rule_name FROM status WHERE click IS NULL OR view_mean IS NULL")
 def function_errors(spark: SparkSession, folder: str) -> DataFrame:
     status = ru.status_table(event_readings(spark, folder), list(FRAGILE.requirements))
