@@ -12,21 +12,38 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), None]
 
 
-def expected(rows, trained, strength=200.0):
-    words, pairs = Counter(), Counter()
-    for k, t, *_ in rows:
-        if trained(k):
+def expected(rows, trained, m=200.0, k=8.0):
+    """By an automaton that is walked literally, one word after the other, the state carried along."""
+    words, pairs, triples = Counter(), Counter(), Counter()
+    for key, t, *_ in rows:
+        if trained(key):
             x = tokens(t)
             words.update(x)
             pairs.update(zip([None, *x[:-1]], x))
+            triples.update(zip([None, *x[:-2]], x[:-1], x[1:]))
     n, v = sum(words.values()), len(words)
     once, twice = (sum(c == i for c in words.values()) for i in (1, 2))
     d = once / (once + 2 * twice) if once and twice else 0.5
-    for k, t, *_ in rows:
-        x = tokens(t)
+    one = lambda w: (words[w] - d) / n if words[w] else d * v / n
+    two = lambda p, w: (pairs[p, w] + m * one(w)) / (words[p] + m)
+    three = lambda o, p, w: (triples[o, p, w] + k * two(p, w)) / (pairs[o, p] + k)
+    for key, t, *_ in rows:
+        x, score, state = tokens(t), 0.0, (None,)
+        for w in x:
+            while True:
+                if len(state) == 2 and triples[*state, w]:
+                    score, state = score + math.log10(three(*state, w)), (state[1], w)
+                    break
+                if len(state) == 1 and pairs[*state, w]:
+                    score, state = score + math.log10(two(*state, w)), (*state, w)
+                    break
+                if not state:
+                    score, state = score + math.log10(one(w)), (w,) if words[w] else ()
+                    break
+                score += math.log10(k / (pairs[state] + k) if len(state) == 2 else m / (words[state[0]] + m))
+                state = state[1:]
         base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in x)
-        own = sum(math.log10((pairs[p, w] + strength * ((words[w] - d) / n if words[w] else d * v / n)) / (words[p] + strength)) for p, w in zip([None, *x[:-1]], x))
-        yield (-1 if k is None else k), len(x), sum(words[w] > 0 for w in x), n, round(base, 6), round(own, 6)
+        yield (-1 if key is None else key), len(x), sum(words[w] > 0 for w in x), n, round(base, 6), round(score, 6)
 
 
 @pytest.mark.parametrize("block_bytes", [300, 8 << 20])
