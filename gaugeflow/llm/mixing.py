@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.shared import ensure_checkpoint_dir
+from gaugeflow.operators.layout import small
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = 11
@@ -16,6 +17,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def order_of(key: Column, text: Column, seed: int) -> Column:
+    """The seeded place of a row in its source: rows of one key, or without one, are told apart by their texts."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.md5(text), F.lit(""))))
+
+
 def _ranked(sources: DataFrame) -> DataFrame:
     """The sources with their position by code point, null last; each task ranks one range of names."""
     ensure_checkpoint_dir(sources.sparkSession)
@@ -54,17 +60,18 @@ def mix(
     Sources in order of their name (code points, null last) take the weights in turn and share all words by them;
     a target above max_epochs times its source's size is clamped there and the excess goes to the others by weight
     (water-filling). A document is repeated floor(target / size) times; the rest of the target is filled by whole
-    documents in an order given by md5(key, seed), each taken if its middle lies before the rest's end, so a source's
+    documents in an order given by md5(key, seed, md5(text)), each taken if its middle lies before the rest's end, so a source's
     words differ from its target by half a document at most. Reruns agree: nothing depends on partitions.
 
     Only a slice of 16 ** -order_digits of a source is ever ordered in one task: slices before and after the one in
-    which the rest ends are decided as a whole. Joins are on (source, slice), so a source of any share is spread.
+    which the rest ends are decided as a whole, and rows of one key are dealt by their texts (only equal rows share a place). The join is on (source, slice), so a source of any share is spread; slices within the bounds of
+    ``layout.small`` are broadcast, so texts are not shuffled.
 
     Null or empty texts have size 0 and are repeated like others; null keys order as the empty string; a null source
     is a source. Repeated rows count each. Empty input gives no rows; extra columns stay inside `row`.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    order = order_of(docs[key], docs[text], seed)
     base = docs.select(F.struct(*carry).alias("row"), docs[source].alias("_source"), word_count(docs[text]).alias("size"), order.alias("_order"))
     base = base.withColumn("_slice", F.substring("_order", 1, order_digits))
     slices = base.groupBy("_source", "_slice").agg(F.sum("size").alias("_own")).checkpoint()  # 16 ** order_digits rows a source at most
@@ -82,7 +89,7 @@ def mix(
         # 1: every document of the slice is taken once more, 0: none, null: the rest ends inside or near the slice
         F.when(F.col("_rest") <= 0, 0).when(F.col("_before") + F.col("_own") <= F.col("_rest"), 1).when(F.col("_before") >= F.col("_rest"), 0).alias("_more"),
     )
-    told = base.join(slices, F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_slice") == F.col("_part")))
+    told = base.join(small(slices), F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_slice") == F.col("_part")))
     out = ["row", "size", "source_size", "target"]
     decided = told.where(F.col("_more").isNotNull()).select(*out, (F.col("_whole") + F.col("_more")).alias("repeats"))
     ahead = Window.partitionBy("_name", "_part").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)

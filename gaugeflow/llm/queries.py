@@ -36,7 +36,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     "op6_mixing",
     rf"""
     WITH base AS (
-        SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':{mixing.SEED}')) AS o,
+        SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':{mixing.SEED}:', coalesce(md5(text), ''))) AS o,
                coalesce(len(regexp_extract_all(text, '{mixing.WORDS}')), 0) AS size
         FROM documents
     ), sources AS (

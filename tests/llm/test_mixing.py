@@ -1,8 +1,10 @@
 from collections import defaultdict
 
+import pytest
 from compare import database, difference
 from gaugeflow.llm import mixing, queries
 from llm_rows import frame
+from pyspark.sql import functions as F
 
 
 def test_statement(spark, data):
@@ -40,6 +42,18 @@ def test_excess_goes_to_the_others(spark):
     assert told["a"] == 30 and abs(told["b"] - 970 * 2 / 3) < 1e-9 and abs(told[None] - 970 / 3) < 1e-9
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_one_key_is_spread_by_its_texts(spark, key):
+    docs = frame(spark, [(key, f"w{i} " * (1 + i % 7), "en", "a" if i % 3 else "b") for i in range(3000)])
+    rows = mixing.mix(docs, carry=("doc_id", "source")).collect()
+    targets, taken = {r.row.source: r.target for r in rows}, defaultdict(int)
+    for r in rows:
+        taken[r.row.source] += r.size * r.repeats
+    assert len(rows) == 3000 and all(abs(taken[s] - targets[s]) <= 4 for s in targets)
+    order = docs.select(F.substring(mixing.order_of(docs["doc_id"], docs["text"], mixing.SEED), 1, 3).alias("slice"))
+    assert order.groupBy("slice").count().agg(F.max("count")).first()[0] < 12
+
+
 def test_repeated_keeps_the_columns(odd, nothing):
     assert mixing.repeated(odd).columns == odd.columns
     assert mixing.repeated(nothing).count() == 0 and mixing.mix(nothing).count() == 0
