@@ -123,3 +123,17 @@ def test_only_firing_pairs_are_rows(spark, readings):
     assert plan.count("MapInArrow") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
     assert ru.check_rows(readings, rows.limit(0)).count() == 0
     assert ru.check_rows(readings, rows, CheckerConfig(mode="time"), snapshot=False).count() > 0
+
+
+def test_what_fires_meets_no_other_table(spark, readings):
+    # far more events than rows and rules: joined to the rules' names they were taken for the small side and sent to the driver
+    rows = spark.createDataFrame(rule_rows(mixed=False), ROWS)
+    plan = ru.check_rows(readings, rows, snapshot=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_batches_of_what_fires_are_bounded(spark, readings, monkeypatch):
+    rows = spark.createDataFrame(rule_rows(), ROWS)
+    whole = told(ru.check_rows(readings, rows, snapshot=False))
+    monkeypatch.setattr(ruleindex, "FIRED_AT_ONCE", 3)
+    assert whole and told(ru.check_rows(readings, rows, snapshot=False)) == whole
