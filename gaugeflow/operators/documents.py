@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from gaugeflow.model import CHUNK_OVERLAP, CHUNK_SIZE, PREVIEW_LENGTH
 
 # Separators tried in turn by the separator-aware splitter.
 SEPARATORS = ("\n\n", "\n", " ", "")
+# Bytes of text a Python worker cuts at a time, or one text if it is longer.
+CUT_BYTES = 1 << 20
 
 
 def stride_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -44,8 +48,10 @@ def chunk(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap:
 
 
 def chunk_by_separator(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks that end at paragraphs, lines or words where they can, in Arrow batches of documents."""
+    """Chunks that end at paragraphs, lines or words where they can; a worker holds the chunks of CUT_BYTES of text at a time."""
     kept = [c for c in docs.columns if c != text]
+    fields = [f.name for f in docs.schema.fields if f.name != text]
+    at_once = CUT_BYTES
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
     separators = SEPARATORS
 
@@ -84,14 +90,25 @@ def chunk_by_separator(docs: DataFrame, text: str = "text", size: int = CHUNK_SI
                 yield piece
         yield from packed(run)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = [[c for c in (part.strip() for part in cut(body or "", 0)) if c] for body in batch[text]]
-            out = batch[kept].assign(chunk_index=[list(range(len(c))) for c in chunks], page_content=chunks)
-            out = out.explode(["chunk_index", "page_content"]).dropna(subset=["page_content"])
-            yield out.astype({"chunk_index": "int32"})
-
-    return docs.mapInPandas(split, f"{head}{', ' if head else ''}chunk_index int, page_content string")
+            bodies = batch.column(text)
+            ends = np.cumsum(pc.binary_length(bodies).fill_null(0).to_numpy(), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // at_once)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                row, number, content = [], [], []
+                for place in range(a, b):
+                    parts = (part.strip() for part in cut(bodies[place].as_py() or "", 0))
+                    for n, part in enumerate(part for part in parts if part):
+                        row.append(place)
+                        number.append(n)
+                        content.append(part)
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in fields), pa.array(number, pa.int32()), pa.array(content, pa.string())], [*fields, "chunk_index", "page_content"])
+            del batch, bodies
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(split, f"{head}{', ' if head else ''}chunk_index int, page_content string")
 
 
 def chunk_records(chunks: DataFrame, preview: int = PREVIEW_LENGTH) -> DataFrame:

@@ -126,3 +126,12 @@ def test_near_top_k_is_exact_within_its_buckets(spark):
     key = lambda df: sorted((r.query_id, r["rank"], round(r.score, 9)) for r in df.collect())
     assert key(every) == key(exact)
     assert rt.near_top_k(vectors.limit(0), asked).count() == 0
+
+
+def test_separator_chunks_of_a_few_texts_at_a_time(spark, monkeypatch):
+    df, _ = texts(spark)
+    df = df.unionByName(spark.createDataFrame([(90, None)], df.schema)).coalesce(1)
+    told = lambda: sorted(map(tuple, dc.chunk_by_separator(df).collect()))
+    whole = told()
+    monkeypatch.setattr(dc, "CUT_BYTES", 700)
+    assert whole and told() == whole
