@@ -87,7 +87,8 @@ def analyse(body: Column | str) -> Column:
     def read(bodies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_read_calls(b) for b in bodies], columns=["syntax_ok", "calls"])
 
-    return F.pandas_udf(read, ANALYSIS)(body)
+    # called deterministic, it would run a second time as a filter below an explode, within the tasks of the scan
+    return F.pandas_udf(read, ANALYSIS).asNondeterministic()(body)
 
 
 def requirements(rules: DataFrame, body: str = "rule_body") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import rulecalls, texts, timeexpr
+from gaugeflow.operators import layout
 from gaugeflow.plans.registry import derived, plain, query
 
 # One expression per order line, over every form the grammar accepts or rejects.
@@ -187,7 +188,8 @@ def rule_calls(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {RULES}, {CALLS} SELECT rule_id, call_idx, sensor_id, time_expression, statistic FROM c WHERE rule_id % 11 <> 9",
 )
 def rule_calls_by_syntax(spark: SparkSession, folder: str) -> DataFrame:
-    read = rule_texts(spark, folder).select("rule_id", rulecalls.analyse("rule_body").alias("read"))
+    rules = layout.spread(rule_texts(spark, folder).select("rule_id", "rule_body"))
+    read = rules.select("rule_id", rulecalls.analyse("rule_body").alias("read"))
     return read.select("rule_id", F.posexplode("read.calls").alias("call_idx", "call")).select("rule_id", "call_idx", "call.*")
 
 

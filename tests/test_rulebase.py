@@ -189,3 +189,10 @@ def test_consolidation(spark, sensors):
     jobs = spark.createDataFrame([(77,), (78,)], "job_id bigint")
     assert [r.job_id for r in co.not_yet_applied(jobs, created).collect()] == [78]
     assert [r.job_id for r in co.already_applied(jobs, created).collect()] == [77]
+
+
+def test_texts_are_parsed_once_and_by_all_cores(spark, data):
+    from gaugeflow.plans import all_queries
+
+    plan = all_queries()["t08_rule_calls_by_syntax"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "RoundRobin" in plan[plan.index("EvalPython") :]
