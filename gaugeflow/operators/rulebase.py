@@ -69,8 +69,8 @@ def schema_errors(name: Column, body: Column, required: tuple[str, ...] = ()) ->
     return F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]), lambda e: e.isNotNull())
 
 
-def check_schema(rules: DataFrame, per: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) rules; rejected ones carry ``errors``, and every rule is in one of the two.
+def checked(rules: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Every rule with its ``errors``, none for one that is valid; each is read once.
 
     All fields but rule_type are required, as far as the table has them. A row that ``parse_answers``
     gave an error is rejected for it. With ``per``, one bad rule takes all rules of the same answer
@@ -80,14 +80,20 @@ def check_schema(rules: DataFrame, per: tuple[str, ...] = ()) -> tuple[DataFrame
     errors = schema_errors(F.col("rule_name"), F.col("rule_body"), required)
     if "error" in rules.columns:
         errors = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("answer: "), "error"))).otherwise(errors)
-    checked = rules.withColumn("errors", errors)
+    told = rules.withColumn("errors", errors)
     if per:
-        bad = checked.where(F.size("errors") > 0).select(*per).distinct().withColumn("_bad", F.lit(True))
+        bad = told.where(F.size("errors") > 0).select(*per).distinct().withColumn("_bad", F.lit(True))
         beside = F.array(F.lit("another rule of the answer is rejected"))
-        checked = checked.join(bad, list(per), "left").withColumn(
+        told = told.join(bad, list(per), "left").withColumn(
             "errors", F.when(F.col("_bad") & (F.size("errors") == 0), beside).otherwise(F.col("errors"))
         ).drop("_bad")
-    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+    return told
+
+
+def check_schema(rules: DataFrame, per: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) rules of ``checked``; rejected ones carry ``errors``, and every rule is in one of the two."""
+    told = checked(rules, per)
+    return told.where(F.size("errors") == 0).drop("errors"), told.where(F.size("errors") > 0)
 
 
 def resolve_sensors(rules: DataFrame, mappings: DataFrame, sensors: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import consolidation as co
+from gaugeflow.operators import layout
 from gaugeflow.operators import rulebase as rb
 from gaugeflow.plans.grammar_queries import CALLS, RULES, parsed_sql, rule_texts
 from gaugeflow.plans.registry import derived, plain, query, table
@@ -36,7 +37,8 @@ rows AS (SELECT task_id, rule_idx, rule ->> 'rule_name' AS rule_name, rule ->> '
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, ANSWERS, "orders")
+    """Parsing is dear per answer: the rows are spread before their texts are made."""
+    return spark.sql(ANSWERS, orders=layout.spread(table(spark, folder, "orders")))
 
 
 @query("v01_parse_answers", f"WITH {PARSED} SELECT * FROM rows")
@@ -55,10 +57,7 @@ def parse_answers(spark: SparkSession, folder: str) -> DataFrame:
 )
 def schema_checks(spark: SparkSession, folder: str) -> DataFrame:
     parsed = rb.parse_answers(answers(spark, folder)).where("error is null")
-    valid, rejected = rb.check_schema(parsed)
-    return valid.withColumn("errors", F.array().cast("array<string>")).unionByName(rejected).select(
-        "task_id", "rule_idx", F.array_join("errors", "; ").alias("errors")
-    )
+    return rb.checked(parsed).select("task_id", "rule_idx", F.array_join("errors", "; ").alias("errors"))
 
 
 @query(

@@ -196,3 +196,10 @@ def test_texts_are_parsed_once_and_by_all_cores(spark, data):
 
     plan = all_queries()["t08_rule_calls_by_syntax"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EvalPython") == 1 and "RoundRobin" in plan[plan.index("EvalPython") :]
+
+
+def test_answers_are_read_once(spark, data):
+    from gaugeflow.plans import all_queries
+
+    plan = all_queries()["v02_schema_checks"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "RoundRobin" in plan
