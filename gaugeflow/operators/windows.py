@@ -295,16 +295,20 @@ def _sample_split(df: DataFrame, rows: int, series: list[Series], config: Checke
     """Sensors too long for one task: equal ranges of n, each with the history before it."""
     reach = max([s.start for s in series] + [1]) + 1
     size = max(config.max_task_rows // 4, 4 * reach)
-    numbered = layout.positions(df, KEYS, ORDER, F.col("value"), "n", rows, max(1, config.max_task_rows // 4))
+    numbered, offsets = layout.positions(df, KEYS, ORDER, F.col("value"), "n", rows, max(1, config.max_task_rows // 4))
     home = F.floor((F.col("n") - 1) / F.lit(size))
     copies = F.when(F.col("n") > (home + 1) * size - reach, F.array(home, home + 1)).otherwise(F.array(home))
     samples = numbered.where("value is not null").withColumn("_bucket", F.explode(copies))
-    computed = _sample_frames(samples, KEYS + ["_bucket"], series, config, ROW + ["n", "_bucket"])
+    computed = _sample_frames(samples, KEYS + ["_bucket"], series, config, ROW + ["n", "_range", "_bucket"])
     computed = computed.where(F.col("_bucket") == home)
     filled = computed.select(*ROW, *[f"`{s.name}`" for s in series])
-    # Null rows answer like the sample before them, apart from their own current value.
-    answers = computed.select(*KEYS, "n", *[f"`{s.name}`" for s in series if s.kind != "current"])
-    nulls = numbered.where("value is null").join(answers, KEYS + ["n"], "left")
+    # Null rows answer like the sample before them, apart from their own current value. A sensor may be null from one
+    # sample to its end, or have none: rows meet that sample per range, not all in one task.
+    later = offsets.groupBy(*KEYS, F.col("_before").alias("n")).agg(F.collect_list("_range").alias("_later"))
+    answers = computed.select(*KEYS, "n", "_range", *[f"`{s.name}`" for s in series if s.kind != "current"]).join(F.broadcast(later), KEYS + ["n"], "left")
+    ranges = F.concat(F.array("_range"), F.coalesce("_later", F.array().cast("array<int>")))
+    answers = answers.withColumn("_range", F.explode(ranges)).drop("_later")
+    nulls = numbered.where("value is null").join(answers, KEYS + ["n", "_range"], "left")
     known = [
         F.lit(None).cast("double").alias(s.name) if s.kind == "current" else _from_start(F.col(f"`{s.name}`"), s, config).alias(s.name)
         for s in series

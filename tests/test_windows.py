@@ -164,3 +164,20 @@ def test_long_mode(spark, config):
         seen += [] if value is None else [value]
         last = seen[-200:]
         assert got[seq] == (min(set(last), key=lambda v: (-last.count(v), v)) if last else None)
+
+
+def test_rows_of_a_silent_sensor_are_not_one_task(spark):
+    # one sensor without a sample, one with a single one: all their rows have the same n
+    rows = spark.range(6000).select(F.explode(F.array(F.lit("never"), F.lit("once"))).alias("sensor_id"), "id", F.timestamp_seconds("id").alias("ts"))
+    rows = rows.withColumn("value", F.when((F.col("sensor_id") == "once") & (F.col("id") == 700), F.lit(3.0)))
+    readings = rd.from_long(rows, seq="id")
+    asked = [Requirement("any", "0"), Requirement("any", "10m:", "max"), Requirement("any", "10m:", "count")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = windows.features(readings, asked, CheckerConfig(layout="split", max_task_rows=2000))
+        plain = windows.features(readings, asked, CheckerConfig(layout="plain"))
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        tasks = found.where("value is null").withColumn("task", F.spark_partition_id()).groupBy("task").count()
+        assert tasks.agg(F.max("count")).first()[0] < 6000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
