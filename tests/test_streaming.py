@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,47 @@ def test_rule_stream_equals_batch(spark, tmp_path, align):
     pick = lambda df: sorted((r.asset, str(r.timestamp), r.seq, r.rule_name, r.result) for r in df.collect())
     want = pick(ru.check(batch(spark, data), rules, align=align))
     assert want and pick(spark.read.parquet(str(tmp_path / "o"))) == want
+
+
+class Held(dict):
+    """State of one key, and the handle that gives it out."""
+
+    getMapState = getValueState = lambda self, name, *schemas: self.setdefault(name, Held())
+    getValue = dict.get
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+    registerTimer = deleteTimer = lambda self, at: None
+    exists = lambda self: "now" in self
+    update = lambda self, value: self.__setitem__("now", value)
+    get = lambda self: self["now"]
+    clear = lambda self: self.pop("now", None)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_key_is_answered_some_rows_at_a_time(monkeypatch):
+    monkeypatch.setattr(stateful, "PARCEL_ROWS", 16)
+    asked = [Requirement("any", "0"), Requirement("any", "10m:", "max")]
+    plan = [(r.series, r.sensor_id, windows.resolve(r, CheckerConfig())) for r in asked]
+    at = np.random.default_rng(2).permutation(3000)
+    frame = pd.DataFrame({"ts_us": at * 500, "seq": 0, "sensor_id": "s", "value": (at * 7 % 1001).astype(float)})  # two rows a millisecond
+
+    def told(run_rows):
+        state = Held()
+        rolling = stateful._Rolling(plan, ["asset", "sensor_id"], CheckerConfig(), run_rows)
+        rolling.init(state)
+        list(rolling.handleInputRows(("", "s"), (frame.iloc[a : a + 100] for a in range(0, 3000, 100)), None))
+        return [part for ms in (700, 5000) for part in rolling.handleExpiredTimer(("", "s"), Watermark(ms), None)], state
+
+    (whole, _), (parts, state) = told(1 << 20), told(200)
+    assert len(whole) == 2 and len(parts) > 4 and max(map(len, parts)) < 600 and not state["waiting"]
+    pd.testing.assert_frame_equal(pd.concat(whole, ignore_index=True), pd.concat(parts, ignore_index=True))
+    assert len(pd.concat(parts)) == 3000
+
+
+def test_state_in_small_runs_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "RUN_ROWS", 7)
+    test_state_by_sensor_equals_batch(spark, tmp_path)
