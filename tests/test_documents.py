@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,45 @@ def test_separator_chunks_of_a_few_texts_at_a_time(spark, monkeypatch):
     whole = told()
     monkeypatch.setattr(dc, "CUT_BYTES", 700)
     assert whole and told() == whole
+
+
+def brute(asked, vectors, ids, k):
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
+    scores = np.einsum("qd,vd->qv", unit(asked.astype("float64")), unit(vectors.astype("float64")))
+    return [[ids[v] for v in sorted(range(len(ids)), key=lambda v, s=s: (-round(s[v], 12), ids[v]))[:k]] for s in scores]
+
+
+@pytest.mark.parametrize("named", [int, lambda i: f"v{i:04}"])
+def test_top_k_of_all_against_all_goes_to_many_tasks(spark, monkeypatch, named):
+    """One file of vectors that all ask each other is no single task, and small blocks make no more copies of them."""
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(600, 8)).astype("float32")
+    vectors[100:400] = vectors[100]  # copies: the lowest ids are told
+    vectors[400:420] = vectors[400] * 2.0 ** np.arange(20)[:, None]  # the same direction
+    ids = [named(int(i)) for i in rng.permutation(600)]
+    kind = "bigint" if named is int else "string"
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], f"vec_id {kind}, embedding array<float>").coalesce(1)
+    grids, inner = [], rt._in_grid
+    monkeypatch.setattr(rt, "_in_grid", lambda *a: grids.append(a[4:6]) or inner(*a))
+    want = dict(zip(ids, brute(vectors, vectors, ids, 5)))
+    for how in ({"task_pairs": 40_000}, {"broadcast_bytes": 0, "block_bytes": 1, "tile_bytes": 64, "task_pairs": 40_000}, {"broadcast_bytes": 0, "cell_bytes": 200 * 64}):
+        got = {}
+        for r in rt.top_k(df, df.withColumnRenamed("vec_id", "query_id"), 5, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want, how
+    assert grids == [(3, 3)] * 3
+
+
+def test_best_of_many_batches(spark):
+    """Batch by batch the best stay exact, in every tile; NaN sorts first, as in Spark."""
+    rng = np.random.default_rng(2)
+    vectors, ids = rng.normal(size=(3000, 16)).astype("float32"), rng.permutation(3000)
+    vectors[1000:1500] = vectors[:500] + rng.normal(size=(500, 16)) * 1e-4  # closer than single precision can tell
+    best = rt._Best(vectors[:700], 4)
+    for a, b in ((0, 2), (2, 1200), (1200, 1201), (1201, 3000)):
+        best.meet(vectors[a:b], ids[a:b], tile_bytes=1 << 18)
+    assert best.ids.tolist() == brute(vectors[:700], vectors, ids, 4)
+    vectors[5] = np.nan
+    best = rt._Best(vectors[10:12], 3)
+    best.meet(vectors, ids)
+    assert best.ids[:, 0].tolist() == [ids[5]] * 2 and np.isnan(best.scores[:, 0]).all() and np.isfinite(best.scores[:, 1:]).all()
