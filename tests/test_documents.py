@@ -178,3 +178,12 @@ def test_best_of_many_batches(spark):
     best = rt._Best(vectors[10:12], 3)
     best.meet(vectors, ids)
     assert best.ids[:, 0].tolist() == [ids[5]] * 2 and np.isnan(best.scores[:, 0]).all() and np.isfinite(best.scores[:, 1:]).all()
+
+
+def test_near_top_k_hands_on_copies_in_small_batches():
+    planes = np.random.default_rng(0).normal(size=(4, 6, 64))
+    rows = np.random.default_rng(1).normal(size=(1000, 64))
+    batch = pa.record_batch({"id": pa.array(range(1000)), "embedding": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+    made = list(rt._signed(planes, 4)(iter([batch])))
+    assert sum(b.num_rows for b in made) == 1000 * 4 * 16 and max(b.nbytes for b in made) < 2 * rt.COPIED_BYTES
+    assert {tuple(b["embedding"][0].as_py()) for b in made} <= {tuple(r) for r in rows}
