@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -96,6 +97,28 @@ def test_files(spark, tmp_path):
     assert got == {"a.md": ("ba7816bf", 3, "text/markdown"), "b.bin": ("6e340b9c", 1, "application/octet-stream")}
 
 
+def test_files_too_long_for_a_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sd, "PIECE_BYTES", 1 << 16, raising=False)
+    rng = np.random.default_rng(5)
+    lengths = {
+        "one.bin": 1 << 16, "more.bin": (1 << 16) + 1, "odd, {a}[b]?.bin": 500_009, "odd, {a}[b]c.bin": 99_991, "even.md": 7 << 16, "slop.txt": 72_089, "none.txt": 0, "a.gz": 9,
+    }
+    for name, n in lengths.items():
+        (tmp_path / name).write_bytes(b"\xef\xbb\xbf\n\0"[:n] + rng.bytes(max(0, n - 5)))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 16))  # as 2 GB is of itself: no row holds a longer file
+    try:
+        rows = sd.ingest_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    got = {r.filename: (r.content_hash, r.file_size) for r in rows}
+    assert len(rows) == len(lengths)
+    assert got == {name: (hashlib.sha256((tmp_path / name).read_bytes()).hexdigest(), n) for name, n in lengths.items()}
+    (tmp_path / "long[1].gz").write_bytes(rng.bytes(200_000))  # not a packed file, but named as one
+    (tmp_path / "long1.gz").write_bytes(rng.bytes(100_000))
+    got = {r.filename: r.content_hash for r in sd.ingest_files(spark, str(tmp_path), "long*").collect()}
+    assert got == {name: hashlib.sha256((tmp_path / name).read_bytes()).hexdigest() for name in ("long[1].gz", "long1.gz")}
+
+
 def test_sensor_csv_and_upsert(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text("id,name,description,unit,example\n a ,First,,%,1\n,none,,,\nb,,,,\na,Second, d ,,\nc,Third,,,\n")
