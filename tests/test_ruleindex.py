@@ -137,3 +137,23 @@ def test_batches_of_what_fires_are_bounded(spark, readings, monkeypatch):
     whole = told(ru.check_rows(readings, rows, snapshot=False))
     monkeypatch.setattr(ruleindex, "FIRED_AT_ONCE", 3)
     assert whole and told(ru.check_rows(readings, rows, snapshot=False)) == whole
+
+
+@pytest.mark.parametrize("pairs", [ruleindex.PAIRS_AT_ONCE, 100])
+def test_lists_stand_for_the_pairs_that_fire(monkeypatch, pairs):
+    # rows that fire the same rules told them again and again: a task wrote as many names and results as there are events
+    monkeypatch.setattr(ruleindex, "PAIRS_AT_ONCE", pairs)
+    rng = np.random.default_rng(6)
+    rule = np.repeat(np.arange(1_500), 2)
+    feature = np.tile([0, 1], 1_500)
+    index = ruleindex.RuleIndex(rule, feature, rng.integers(1, 7, len(rule)), rng.normal(size=len(rule)).round(2))
+    values = {f: np.where(rng.random(2_000) < 0.1, np.nan, rng.normal(size=2_000).round(2)) for f in range(2)}
+    want = [(r, n) for row, found in index.match(values, 2_000) for r, n in zip(row.tolist(), found.tolist())]
+    got, entries = [], 0
+    for x in index.together(values):
+        entries += len(x.row) + len(x.rule)
+        for a, b, c, d in zip([0, *x.row_ends[:-1]], x.row_ends, [0, *x.rule_ends[:-1]], x.rule_ends):
+            assert 0 < (b - a) * (d - c) <= pairs
+            got += [(r, n) for r in x.row[a:b].tolist() for n in x.rule[c:d].tolist()]
+    assert len(got) == len(set(got)) and sorted(got) == sorted(want)
+    assert entries < len(got) / (4 if pairs > 1_000 else 2)
