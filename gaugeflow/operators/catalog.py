@@ -83,31 +83,50 @@ def by_ids(rows: DataFrame, ids: DataFrame, *order: str) -> DataFrame:
     return rows.join(ids, "id", "left_semi").orderBy(*(order or ("id",)))
 
 
+def placed(context: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Context of tasks with the preview of each chunk and the name of its document, as ``rule_detail`` wants them.
+
+    Names meet the chunks before these meet the context, which has several rows per chunk. Written once to the shared
+    folder: a step of its own, whose shuffles are gone when rules come in.
+    """
+    names = documents.select(F.col("id").alias("document_id"), F.col("filename").alias("document_filename"))
+    texts = chunks.select(F.col("id").alias("chunk_id"), "document_id", "content_preview").join(names, "document_id", "left").drop("document_id")
+    return layout.settled(context.join(texts, "chunk_id", "left"), "context")
+
+
 def rule_detail(rules: DataFrame, documents: DataFrame, chunks: DataFrame, context: DataFrame, searches: DataFrame) -> DataFrame:
     """Rules with document name, chunk index, ranked context chunks and ranked searches.
 
     Context and searches are gathered per rule before they meet it; a rule has as many as the
-    retrieval depth and the search limit allow.
+    retrieval depth and the search limit allow. Context that was ``placed`` has its texts. With the task_id of
+    ``provenance`` all meet by task, as context and searches lie already, and the rules with their names and places, of
+    which only the columns wanted should be given, are written once to the shared folder before.
     """
     names = documents.select(F.col("id").alias("document_id"), F.col("filename").alias("document_filename"))
     places = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "content_preview")
     entry = F.struct("rank", "chunk_id", "relevance_score", "content_preview", "document_filename")
-    context_lists = (
-        context.join(places, "chunk_id", "left")
-        .join(names, "document_id", "left")
-        .groupBy("rule_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("context_chunks"))
-    )
-    search_lists = searches.groupBy("rule_id").agg(
+    by_task = "task_id" in context.columns and "task_id" in searches.columns
+    key = ["task_id", "rule_id"] if by_task else ["rule_id"]
+    if "content_preview" not in context.columns:
+        context = context.join(places, "chunk_id", "left").join(names, "document_id", "left")
+    context_lists = context.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("context_chunks"))
+    search_lists = searches.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("search_rank", "search_query", "search_results"))).alias("grounding_searches")
     )
-    return (
+    detail = (
         rules.withColumnRenamed("id", "rule_id")
         .join(names, "document_id", "left")
         .join(places.select("chunk_id", "chunk_index"), "chunk_id", "left")
-        .join(context_lists, "rule_id", "left")
-        .join(search_lists, "rule_id", "left")
     )
+    if not by_task:
+        return detail.join(context_lists, "rule_id", "left").join(search_lists, "rule_id", "left")
+    detail = layout.settled(detail, "rules")
+    for lists in (context_lists, search_lists):
+        lists = lists.withColumnsRenamed({"task_id": "_task", "rule_id": "_rule"})
+        # not an equality of rules: as a key of the join it would have all of it shuffled anew
+        own = (F.col("rule_id") >= F.col("_rule")) & (F.col("rule_id") <= F.col("_rule"))
+        detail = detail.join(lists, (F.col("task_id") == F.col("_task")) & own, "left").drop("_task", "_rule")
+    return detail
 
 
 def issues(rules: DataFrame) -> DataFrame:
@@ -153,14 +172,17 @@ def append_rules(table: DataFrame, ready: DataFrame) -> DataFrame:
     return table.unionByName(ready, allowMissingColumns=True)
 
 
-def provenance(rules: DataFrame, context: DataFrame, searches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def provenance(rules: DataFrame, context: DataFrame, searches: DataFrame, by_task: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rule x context chunk, rule x search) rows; what a task retrieved belongs to each of its rules.
 
-    ``context``: task_id, chunk_id?, relevance_score, rank. Chunks without an id are not kept.
+    ``context``: task_id, chunk_id?, relevance_score, rank, and the texts of ``placed``, if it was. Chunks without an id are
+    not kept. With ``by_task`` the rows keep their task_id.
     """
     own = rules.select(F.col("id").alias("rule_id"), "task_id")
-    chunks = own.join(context.where("chunk_id is not null"), "task_id").select("rule_id", "chunk_id", "relevance_score", "rank")
-    found = own.join(searches, "task_id").select("rule_id", "search_query", "search_results", "search_rank")
+    key = ["task_id", "rule_id"] if by_task else ["rule_id"]
+    texts = [c for c in ("content_preview", "document_filename") if c in context.columns]
+    chunks = own.join(context.where("chunk_id is not null"), "task_id").select(*key, "chunk_id", "relevance_score", "rank", *texts)
+    found = own.join(searches, "task_id").select(*key, "search_query", "search_results", "search_rank")
     return chunks, found
 
 

@@ -239,7 +239,8 @@ def searches(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rule_detail(spark: SparkSession, folder: str) -> DataFrame:
     rules, docs, chunks = (view(spark, folder, name) for name in ("rules", "docs", "chunks"))
-    rule_chunks, rule_searches = ct.provenance(rules, context(spark, folder), searches(spark, folder))
+    rules = rules.select("id", "task_id", "document_id", "chunk_id", "rule_name")
+    rule_chunks, rule_searches = ct.provenance(rules, ct.placed(context(spark, folder), chunks, docs), searches(spark, folder), by_task=True)
     made = ct.rule_detail(rules, docs, chunks, rule_chunks, rule_searches)
     entry = lambda c: F.concat_ws(":", c["rank"], c["chunk_id"], c["content_preview"], c["document_filename"])
     return made.select(

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import catalog as ct
+from gaugeflow.operators import layout
 from gaugeflow.operators import rules as ru
+from gaugeflow.plans import catalog_queries
 from gaugeflow.sources import readings as rd
 from gaugeflow.sources import rules as sr
 from gaugeflow.sources import sinks
@@ -137,3 +139,55 @@ def test_csv_sink_appends(spark, tmp_path):
     assert len(back) == 4 and {r.sensor_values["s"] for r in back} == {3.0, 4.0} and back[0].explanation == "Rule 'high' returned: high"
     sinks.write_csv(events, path)
     assert sinks.read_csv(spark, path).count() == 2
+
+
+def detail_tables(spark):
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rules = [(1, 10, 1, 100, "a"), (2, 10, 1, 101, "b"), (3, 11, 9, 999, "no document, no chunk"), (4, None, 2, 200, "no task"), (5, 12, None, None, "nothing"), (6, 13, 2, 201, "no context")]
+    context = [(10, 101, 0.5, 2), (10, 100, 0.9, 1), (10, 200, 0.5, 2), (11, 888, 0.1, 1), (11, None, 0.2, 2), (12, 201, 0.3, 1), (14, 100, 0.3, 1), (None, 100, 0.3, 1)]
+    return (
+        made(rules, "id bigint, task_id bigint, document_id bigint, chunk_id bigint, rule_name string"),
+        made([(1, "one.md"), (2, None)], "id bigint, filename string"),
+        made([(100, 1, 0, "p0"), (101, 1, 1, "p1"), (200, 2, 0, None), (201, 7, 0, "lost")], "id bigint, document_id bigint, chunk_index int, content_preview string"),
+        made(context, "task_id bigint, chunk_id bigint, relevance_score double, rank int"),
+        made([(10, "q2", "[]", 2), (10, "q1", "[]", 1), (13, "q", "[]", 1)], "task_id bigint, search_query string, search_results string, search_rank int"),
+    )
+
+
+def test_rule_detail_by_task_is_that_by_rule(spark):
+    rules, documents, chunks, context, searches = detail_tables(spark)
+    whole = ct.rule_detail(rules, documents, chunks, *ct.provenance(rules, context, searches))
+    steps = ct.rule_detail(rules, documents, chunks, *ct.provenance(rules, ct.placed(context, chunks, documents), searches, by_task=True))
+    shown = lambda df: {r.rule_id: r.asDict(True) for r in df.collect()}
+    got = shown(steps)
+    assert got == shown(whole) and len(got) == rules.count()
+    assert [(e["chunk_id"], e["content_preview"], e["document_filename"]) for e in got[1]["context_chunks"]] == [(100, "p0", "one.md"), (101, "p1", "one.md"), (200, None, None)]
+    assert [s["search_query"] for s in got[2]["grounding_searches"]] == ["q1", "q2"]
+    assert got[4]["context_chunks"] is None and got[3]["document_filename"] is None and got[6]["chunk_index"] == 0
+
+
+def test_rule_detail_moves_each_table_once(spark, data):
+    # thirteen shuffles, of context alone four, lay on disk together until the query ended
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog_queries.rule_detail(spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("SortMergeJoin") == 4 and plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 4
+
+
+def test_a_settled_step_leaves_no_shuffle(spark):
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",")
+        return {int(b.split("_")[1]) for b in blocks.split(",") if b.startswith("shuffle_")}
+
+    rows = spark.range(2_000).selectExpr("id", "id % 7 as k").groupBy("k").count()
+    rows.collect()
+    before = max(shuffles(), default=-1)
+    assert before >= 0
+    told = spark.conf.get(layout.DROP_SHUFFLES, None)
+    kept = layout.settled(spark.range(2_000).selectExpr("id", "id % 7 as k").groupBy("k").count(), "kept")
+    assert sorted(kept.collect()) == sorted(rows.collect()) and not {x for x in shuffles() if x > before}
+    assert spark.conf.get(layout.DROP_SHUFFLES, None) == told
