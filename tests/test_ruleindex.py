@@ -157,3 +157,16 @@ def test_lists_stand_for_the_pairs_that_fire(monkeypatch, pairs):
             got += [(r, n) for r in x.row[a:b].tolist() for n in x.rule[c:d].tolist()]
     assert len(got) == len(set(got)) and sorted(got) == sorted(want)
     assert entries < len(got) / (4 if pairs > 1_000 else 2)
+
+
+def test_blocks_that_no_row_reaches_are_passed_over(monkeypatch):
+    # every row looked for its cell in every block, though most thresholds are far from it
+    looked = []
+    whole = np.searchsorted
+    monkeypatch.setattr(ruleindex.np, "searchsorted", lambda a, v, *side: (looked.append(np.size(v)), whole(a, v, *side))[1])
+    rule = np.repeat(np.arange(20_480), 2)
+    index = ruleindex.RuleIndex(rule, np.tile([0, 1], 20_480), np.full(len(rule), 1), np.arange(len(rule)).astype(float))
+    looked.clear()
+    rows = 50_000
+    assert list(index.together({0: np.full(rows, 600.0), 1: np.full(rows, 1e6)}))
+    assert sum(looked) < 4 * rows
