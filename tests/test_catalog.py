@@ -167,7 +167,7 @@ def test_rule_detail_by_task_is_that_by_rule(spark):
 
 
 def test_rule_detail_moves_each_table_once(spark, data):
-    # thirteen shuffles, of context alone four, lay on disk together until the query ended
+    # fifteen shuffles, of context alone four, lay on disk together until the query ended
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
